@@ -139,11 +139,11 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * q[start] + (end - start).astype(U) * U(_SEED))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in order, the words' starts, and the number of each text's first word (with an end)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the words' starts, and the number of each text's first word (with an end). between: bytes that part words."""
     low = LOWER[data]
     n = len(low)
-    inside = ~WHITE[low]
+    inside = ~between[low]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = inside.copy()
