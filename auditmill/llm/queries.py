@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import extract, fingerprint, licenses, minhash, mixing, packing, suffix
+from auditmill.llm import extract, fingerprint, licenses, minhash, mixing, packing, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -55,6 +61,7 @@ QUERIES = {
     "op4_extract": op4_extract,
     "op5_fingerprint": op5_fingerprint,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
 }
