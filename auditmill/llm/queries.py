@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import extract, fingerprint, licenses, minhash, mixing, packing, suffix, toxicity
+from auditmill.llm import ann, extract, fingerprint, licenses, minhash, mixing, packing, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_test(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th embedding among all."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return mixing.mix_table(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_suffix": op2_suffix,
     "op4_extract": op4_extract,
     "op5_fingerprint": op5_fingerprint,
+    "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
