@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import ann, extract, fingerprint, licenses, minhash, mixing, packing, suffix, toxicity
+from auditmill.llm import ann, extract, fingerprint, licenses, minhash, mixing, packing, paragraphs, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs of all documents, and whose they repeat."""
+    return paragraphs.by_document(table(spark, sf_dir, "documents"))
+
+
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extract.extract(table(spark, sf_dir, "pages"))
@@ -63,6 +68,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_suffix": op2_suffix,
+    "op3_paragraphs": op3_paragraphs,
     "op4_extract": op4_extract,
     "op5_fingerprint": op5_fingerprint,
     "op6_ann": op6_ann,
