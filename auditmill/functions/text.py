@@ -8,6 +8,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 HANGUL = r"\p{IsHangul}"
@@ -154,7 +155,7 @@ def _folded(s: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", s or "").casefold().split())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fold(text: pa.Array) -> pa.Array:
     """Compatibility form, case-folded, white space collapsed: what keywords are matched in."""
     return pa.array([_folded(s) for s in text.to_pylist()], pa.string())
@@ -190,7 +191,7 @@ def keyword_hits(text: str | None, keyword: str | None) -> int:
     return n
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def count_keyword(text: pa.Array, keyword: pa.Array) -> pa.Array:
     return pa.array([keyword_hits(t, k) for t, k in zip(text.to_pylist(), keyword.to_pylist())], pa.int64())
 

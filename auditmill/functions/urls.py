@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlspli
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # Click identifiers that don't change a page, asset suffixes, and path segments that hold no content.
 TRACKING = ("gclid", "fbclid", "msclkid", "yclid", "mc_cid", "mc_eid", "_ga", "_gl")
@@ -51,12 +52,12 @@ def url_key(raw: str | None, base: str | None = None) -> str:
     return f"{u.scheme}://{u.netloc}{path}" + (f"?{query}" if query else "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def normalize(url: pa.Array, base: pa.Array) -> pa.Array:
     return pa.array([normalize_url(u, b or None) for u, b in zip(url.to_pylist(), base.to_pylist())], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def key(url: pa.Array, base: pa.Array) -> pa.Array:
     return pa.array([url_key(u, b or None) for u, b in zip(url.to_pylist(), base.to_pylist())], pa.string())
 
@@ -163,7 +164,7 @@ def blocked_ipv4(address: Column) -> Column:
     return F.coalesce(~fine | inner, F.lit(True))
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def blocked_address(address: pa.Array) -> pa.Array:
     """blocked_ipv4 for addresses of either version."""
     import ipaddress

@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 # Types that no longer earn rich results, fields that types need, and marks of unfilled templates.
 DEPRECATED = ("HowTo", "SpecialAnnouncement", "ClaimReview", "VehicleListing", "EstimatedSalary", "LearningVideo", "CourseInfo")
@@ -20,7 +21,6 @@ REQUIRED = {
 PLACEHOLDERS = [re.compile(p, re.I) for p in (r"\[business name\]", r"\[your [^\]]+\]", r"replace[_-]", r"\btodo\b", r"\bfixme\b")]
 
 _FINDING = pa.struct([("rule", pa.string()), ("severity", pa.string()), ("type", pa.string()), ("field", pa.string()), ("value", pa.string()), ("points", pa.int32())])
-_DDL = "array<struct<rule:string,severity:string,type:string,field:string,value:string,points:int>>"
 
 
 def required_fields(spark: SparkSession) -> DataFrame:
@@ -102,12 +102,12 @@ def lint(raw: str | None) -> list[dict]:
     return out + [row("placeholder", "block", "", k, v) for k, v in placeholders(data)]
 
 
-@F.arrow_udf(_DDL)
+@F.arrow_udf(from_arrow_type(pa.list_(_FINDING)))
 def findings(raw: pa.Array) -> pa.Array:
     return pa.array([validate(r) for r in raw.to_pylist()], pa.list_(_FINDING))
 
 
-@F.arrow_udf(_DDL)
+@F.arrow_udf(from_arrow_type(pa.list_(_FINDING)))
 def lint_findings(raw: pa.Array) -> pa.Array:
     return pa.array([lint(r) for r in raw.to_pylist()], pa.list_(_FINDING))
 

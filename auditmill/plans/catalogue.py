@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from auditmill.plans import feed_queries, page_queries, site_queries, text_queries, url_queries  # noqa: F401  they register themselves
+from auditmill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

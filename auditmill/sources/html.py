@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -28,14 +29,6 @@ TYPE = pa.struct(
         ("hreflang", pa.list_(pa.struct([("hreflang", _S), ("href", _S), ("valid", pa.bool_())]))),
     ]
 )
-DDL = (
-    "struct<title:string,crawl_title:string,lang:string,description:string,robots:string,viewport:string,og_title:string,og_description:string,og_image:string,"
-    "charset:string,canonical:string,body_text:string,visible_text:string,h1_count:bigint,h2_count:bigint,h3_count:bigint,list_count:bigint,table_count:bigint,"
-    "has_author:boolean,has_date:boolean,noindex:boolean,h1:array<string>,paragraphs:array<string>,anchors:array<string>,jsonld:array<string>,"
-    "headings:array<struct<level:int,text:string>>,images:array<struct<src:string,alt:string,has_size:boolean,lazy:boolean>>,"
-    "hreflang:array<struct<hreflang:string,href:string,valid:boolean>>>"
-)
-
 
 def excludes(directives: str) -> bool:
     """Whether a robots directive list forbids indexing; an agent's name may stand before a directive."""
@@ -177,7 +170,7 @@ def page_facts(page: str | None) -> dict:
     return _Facts().facts(page or "")
 
 
-@F.arrow_udf(DDL)
+@F.arrow_udf(from_arrow_type(TYPE))
 def parse_page(html: pa.Array) -> pa.Array:
     """All facts of a page. A null page has none, and empty texts."""
     return pa.array([page_facts(h) for h in html.to_pylist()], TYPE)

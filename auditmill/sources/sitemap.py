@@ -8,6 +8,7 @@ import io
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from auditmill.functions import urls as U
 
@@ -19,7 +20,10 @@ def clamp(asked: int | None, default: int, most: int) -> int:
     return default if not asked or asked < 1 else min(asked, most)
 
 
-@F.arrow_udf("struct<body:string,error:string>")
+_FILE = pa.struct([("body", pa.string()), ("error", pa.string())])
+
+
+@F.arrow_udf(from_arrow_type(_FILE))
 def decoded(raw: pa.Array) -> pa.Array:
     """A file's text: unzipped if it begins as gzip, with the reason why not if it can't be."""
     out = []
@@ -35,7 +39,7 @@ def decoded(raw: pa.Array) -> pa.Array:
         if text[:512].lstrip("﻿ \t\r\n").lower().startswith(("<!doctype html", "<html")):
             text, error = "", "an HTML page"
         out.append({"body": text, "error": error})
-    return pa.array(out, pa.struct([("body", pa.string()), ("error", pa.string())]))
+    return pa.array(out, _FILE)
 
 
 def _field(block, tag: str):
