@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from auditmill.llm.common import LOWER, U, chunks, prefix_hash, small_batches, span_hash, text_bytes
 
 #: The labelled texts that the model is fitted on at most.
-TOXIC_ROWS, CLEAN_ROWS = 4000, 12000
+TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: Score from which a text is toxic.
 TOXIC = 0.3
 STEMS = (4, 5, 6)
 #: Toxic texts that an entry of the lexicon must be the first to cover.
 LEAST_GAIN = 3
+#: Toxic texts that must have a word or stem for it to be looked at.
+LEAST_SEEN = 4
 TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[a-z\u0080-\U0010ffff]+")
 #: Bytes between words: all of ASCII but lower-case letters (upper case is lowered before).
@@ -197,9 +199,7 @@ def _keys(text: str) -> set[str]:
     for w in set(WORD.findall(text.translate(TO_LOWER))):
         if len(w) >= 3:
             out.add(w + "$")
-            for n in STEMS:
-                if len(w) >= n:
-                    out.add(w[:n])
+            out.update(w[:n] for n in STEMS if len(w) >= n)
     return out
 
 
@@ -209,9 +209,15 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
     good = [t for t, y in zip(texts, toxic) if not y]
     if not bad or not good:
         return Grammar({w + "$": 3.0 for w in INSULTS}, [-3.0, 1.5, 1.0, 1.0, 0.5, 0.5, 0.5])
-    sets = [_keys(t) for t in bad]
-    seen = Counter(k for s in sets for k in s)
-    seen = {k: n for k, n in seen.items() if n >= 4}
+    # what fewer than LEAST_SEEN texts have is sorted out by counts of hashes, so that it needs no memory
+    counts = np.zeros(1 << 22, np.uint16)
+    for t in bad:
+        counts[np.unique([hash(k) & (len(counts) - 1) for k in _keys(t)])] += 1
+    often = (counts >= LEAST_SEEN).tolist()
+    seen: Counter = Counter()
+    for t in bad:
+        seen.update(k for k in _keys(t) if often[hash(k) & (len(often) - 1)])
+    seen = {k: n for k, n in seen.items() if n >= LEAST_SEEN}
     clean: Counter = Counter()
     for t in good:
         clean.update(k for k in _keys(t) if k in seen)
@@ -220,7 +226,7 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
     # of equally good ones a whole word, then the longest stem: no wider than the labels ask for
     names = sorted(keep, key=lambda k: (not k.endswith("$"), -len(k), k))
     number = {k: i for i, k in enumerate(names)}
-    pairs = np.array([(number[k], i) for i, s in enumerate(sets) for k in s & keep], np.int64).reshape(-1, 2)
+    pairs = np.array([(number[k], i) for i, s in ((i, _keys(t)) for i, t in enumerate(bad)) for k in s & keep], np.int64).reshape(-1, 2)
     cost = np.array([3.0 * clean[k] for k in names])
     lexicon, covered = {}, np.zeros(len(bad), bool)
     while len(pairs):
