@@ -29,6 +29,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _count_class(text: Column, others: str) -> Column:
+    """Characters that aren't in the class `others`. What is left after removing runs of it is counted, so nothing is made per character."""
+    return F.length(F.regexp_replace(text, f"{others}+", ""))
+
+
 def by_script(script: Column, values: tuple) -> Column:
     """The value for a script, the first one's for unknown scripts."""
     out = F.when(script == SCRIPTS[1], values[1])
@@ -39,19 +44,29 @@ def by_script(script: Column, values: tuple) -> Column:
 
 def script_counts(text: Column) -> tuple[Column, Column, Column, Column]:
     """Letters of each script; all letters that belong to no other count as latin."""
-    cjk, hangul, nospace = (_count(text, rf"[\p{{L}}&&[{c}]]") for c in (CJK, HANGUL, NOSPACE))
-    return _count(text, r"\p{L}") - cjk - hangul - nospace, cjk, hangul, nospace
+    cjk, hangul, nospace = (_count_class(text, rf"[\P{{L}}[^{c}]]") for c in (CJK, HANGUL, NOSPACE))
+    return _count_class(text, r"\P{L}") - cjk - hangul - nospace, cjk, hangul, nospace
 
 
-def classify(text: Column) -> Column:
-    """The script with most letters; of equal ones the first; latin without letters."""
+def _counted(text: Column):
+    """Takes an expression of the four counts, each of which is then taken once, however often it is named."""
     latin, cjk, hangul, nospace = script_counts(text)
+    one = F.array(F.struct(latin.alias("latin"), cjk.alias("cjk"), hangul.alias("hangul"), nospace.alias("nospace")))
+    return lambda f: F.get(F.transform(one, f), F.lit(0))
+
+
+def _most(c: Column) -> Column:
     return (
-        F.when((nospace > latin) & (nospace > cjk) & (nospace > hangul), "no-space")
-        .when((hangul > latin) & (hangul > cjk), "hangul").when(cjk > latin, "cjk").otherwise("latin")
+        F.when((c.nospace > c.latin) & (c.nospace > c.cjk) & (c.nospace > c.hangul), "no-space")
+        .when((c.hangul > c.latin) & (c.hangul > c.cjk), "hangul").when(c.cjk > c.latin, "cjk").otherwise("latin")
     )
 
 
+def classify(text: Column) -> Column:
+    """The script with most letters; of equal ones the first; latin without letters."""
+    return _counted(text)(_most)
+
+
 def script_of_lang(lang: Column) -> Column:
     """The script a language tag stands for; null if it says nothing."""
     tag = F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), r"^[^-_]*", 0))
@@ -61,9 +76,12 @@ def script_of_lang(lang: Column) -> Column:
 def classify_with_hint(text: Column, lang: Column) -> Column:
     """The language's script if the text is empty or has a letter of it, else the text's own."""
     hint = script_of_lang(lang)
-    _, cjk, hangul, nospace = script_counts(text)
-    has = F.when(hint == "cjk", cjk > 0).when(hint == "hangul", hangul > 0).when(hint == "no-space", nospace > 0)
-    return F.when(hint.isNotNull() & ((text == "") | has), hint).otherwise(classify(text))
+
+    def settle(c: Column) -> Column:
+        has = F.when(hint == "cjk", c.cjk > 0).when(hint == "hangul", c.hangul > 0).when(hint == "no-space", c.nospace > 0)
+        return F.when(hint.isNotNull() & ((text == "") | has), hint).otherwise(_most(c))
+
+    return _counted(text)(settle)
 
 
 def count_words(text: Column) -> Column:
@@ -71,7 +89,7 @@ def count_words(text: Column) -> Column:
 
 
 def count_chars(text: Column) -> Column:
-    return _count(text, r"[\p{L}\p{Nd}]").cast("long")
+    return _count_class(text, r"[^\p{L}\p{Nd}]").cast("long")
 
 
 def length(text: Column, script: Column) -> Column:
@@ -88,8 +106,9 @@ def first_words(text: Column, n: int) -> Column:
 
 def first_units(text: Column, script: Column, n: int) -> Column:
     """As first_words; in scripts without spaces the text's beginning with n units."""
-    unit = rf"(?:[\p{{L}}&&[{CJK}{NOSPACE}]]|[[\p{{L}}\p{{Nd}}]&&[^{CJK}{NOSPACE}]]+)"
-    cut = F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{Nd}}]*{unit}){{{n}}}", 0)
+    # possessive, so that a text with fewer units fails at once
+    unit = rf"(?:[\p{{L}}&&[{CJK}{NOSPACE}]]|[[\p{{L}}\p{{Nd}}]&&[^{CJK}{NOSPACE}]]++)"
+    cut = F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{Nd}}]*+{unit}){{{n}}}+", 0)
     return F.when(script.isin("cjk", "no-space"), F.when(cut == "", text).otherwise(cut)).otherwise(first_words(text, n))
 
 
@@ -109,7 +128,7 @@ def _wide() -> str:
 
 def display_width(text: Column) -> Column:
     """Columns of a fixed-width display: wide characters two, combining marks none."""
-    return (F.length(text) + _count(text, _wide()) - _count(text, r"\p{Mn}")).cast("long")
+    return (F.length(text) + _count(text, _wide()) - _count_class(text, r"\P{Mn}")).cast("long")
 
 
 def truncate(text: Column, n: int) -> Column:
@@ -155,6 +174,28 @@ def _folded(s: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", s or "").casefold().split())
 
 
+@cache
+def _patterns() -> dict:
+    import regex
+
+    sets = {"cjk": r"[\p{Han}\p{Hiragana}\p{Katakana}&&\p{L}]", "hangul": r"[\p{Hangul}&&\p{L}]", "no-space": r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}&&\p{L}]"}
+    return {k: regex.compile(v, regex.V1) for k, v in sets.items()} | {"all": regex.compile(r"\p{L}")}
+
+
+def script_name(text: str, lang: str = "") -> str:
+    """classify_with_hint for one text."""
+    tag = lang.replace("_", "-").split("-")[0].lower()
+    hint = {"ja": "cjk", "zh": "cjk", "ko": "hangul", "th": "no-space", "lo": "no-space", "km": "no-space", "my": "no-space"}.get(tag)
+    if text.isascii():
+        return hint if hint and not text else "latin"
+    p = _patterns()
+    n = {k: len(p[k].findall(text)) for k in ("cjk", "hangul", "no-space")}
+    if hint and (not text or n[hint]):
+        return hint
+    n = {"latin": len(p["all"].findall(text)) - sum(n.values())} | n
+    return max(n, key=n.get)
+
+
 @F.arrow_udf(StringType())
 def fold(text: pa.Array) -> pa.Array:
     """Compatibility form, case-folded, white space collapsed: what keywords are matched in."""

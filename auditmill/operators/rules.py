@@ -118,7 +118,7 @@ def skipped_levels(headings: Column) -> Column:
 def content(pages: DataFrame, keyword: str | None = None) -> DataFrame:
     """pages: facts. Adds length, script, minutes, paragraphs by shape, density."""
     f = lambda n: F.col(f"facts.{n}")
-    df = pages.withColumn("script", T.classify_with_hint(f("body_text"), f("lang")))
+    df = pages.withColumn("script", f("body_script"))
     s = F.col("script")
     size = lambda p: T.length(p, s)
     df = df.withColumns({"units": T.length(f("body_text"), s), "sizes": F.transform(f("paragraphs"), size), "paragraph_words": F.transform(f("paragraphs"), T.count_words)})

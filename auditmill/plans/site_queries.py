@@ -1 +1,261 @@
+"""Checks across pages, crawling and sitemaps, on a site derived from the pages table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditmill.operators import crawl, site
+from auditmill.plans import site_fixture as X
+from auditmill.plans.registry import query, table
+from auditmill.sources import robots, sitemap
+
+_WITH = f"WITH site AS {X.SITE}, link AS {X.LINK}, alternate AS {X.ALTERNATE}, sitemap AS {X.SITEMAP}"
+_WITH += """, ins AS (SELECT dst_key AS key, count(*) AS in_links, list_sort(list(src_key))[1:3] AS referrers FROM (SELECT DISTINCT src_key, dst_key FROM link WHERE src_key <> dst_key AND dst_key IN (SELECT key FROM site)) GROUP BY dst_key)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY final_key ORDER BY CASE WHEN hops > 0 THEN 1 ELSE 0 END, url) AS rn FROM site)
+, uniq AS (SELECT * FROM ranked WHERE hops = 0 OR rn = 1)
+, good AS (SELECT * FROM uniq WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key))
+, landed AS (SELECT *, row_number() OVER (PARTITION BY final_key ORDER BY url) AS ln FROM site)
+, look AS (SELECT key AS at, status, noindex, final_key, hops, key FROM site UNION ALL SELECT final_key, status, noindex, final_key, hops, key FROM landed WHERE ln = 1 AND final_key NOT IN (SELECT key FROM site))"""
+_BROKEN = "status >= 400 AND status NOT IN (401, 403, 429, 503)"
+
+
+def _in(spark, d):
+    return X.site(spark, d), X.link(spark, d)
+
+
+@query(f"{_WITH} SELECT key, in_links, array_to_string(referrers, ' ') AS referrers FROM ins")
+def in_link_counts(spark, d):
+    return site.in_links(*_in(spark, d)).select("key", "in_links", F.array_join("referrers", " ").alias("referrers"))
+
+
+@query(f"{_WITH} SELECT url, status || ' ' || in_links AS detail FROM site JOIN ins USING (key) WHERE {_BROKEN}")
+def broken_links(spark, d):
+    return site.broken_links(*_in(spark, d))
+
+
+@query(f"{_WITH} SELECT url, CAST(in_links AS VARCHAR) AS detail FROM site JOIN ins USING (key) WHERE depth > 0 AND hops >= 1")
+def redirect_links(spark, d):
+    return site.linked_redirects(*_in(spark, d))
+
+
+@query(f"{_WITH} SELECT url, CAST(hops AS VARCHAR) AS detail FROM site WHERE hops >= 2")
+def redirect_chains(spark, d):
+    return site.redirect_chains(X.site(spark, d))
+
+
+@query(f"{_WITH} SELECT url, 'title' AS missing FROM good WHERE title = '' UNION ALL SELECT url, 'description' FROM good WHERE description = ''")
+def missing_meta(spark, d):
+    p = X.site(spark, d)
+    return site.missing(p, "title").select("url", F.lit("title").alias("missing")).union(site.missing(p, "description").select("url", F.lit("description").alias("missing")))
+
+
+_DUP = lambda c, v: f"SELECT '{c}' AS field, {v} AS value, count(*) AS pages, min(url) AS first, array_to_string(list_sort(list(url))[2:4], ' ') AS others FROM good WHERE {c} <> '' GROUP BY value HAVING count(*) > 1"
+
+
+@query(f"{_WITH} {_DUP('title', 'lower(title)')} UNION ALL {_DUP('description', 'lower(description)')} UNION ALL {_DUP('text_hash', 'text_hash')}")
+def duplicate_groups(spark, d):
+    p = X.site(spark, d)
+    of = lambda c, fold: site.duplicates(p, c, fold).select(F.lit(c).alias("field"), "value", "pages", "first", "others")
+    return of("title", True).union(of("description", True)).union(of("text_hash", False))
+
+
+_CANON = """SELECT u.url, u.canonical, CASE WHEN u.canonical LIKE 'https://other%' THEN 'elsewhere' WHEN l.at IS NULL OR l.status IN (401, 403, 429, 503) THEN 'unverified' WHEN l.status <> 200 THEN 'not-200' WHEN l.hops > 0 AND l.final_key <> u.canonical_key THEN 'redirects' WHEN l.noindex THEN 'noindex' ELSE 'fine' END AS kind
+ FROM uniq u LEFT JOIN look l ON l.at = u.canonical_key WHERE u.status = 200 AND u.canonical_key <> '' AND u.canonical_key <> u.final_key"""
+
+
+@query(f"{_WITH} {_CANON}")
+def canonical_audit(spark, d):
+    return site.canonical_kinds(X.site(spark, d))
+
+
+_ALT = """SELECT a.src_key, a.dst_key, CASE WHEN l.key IS NULL OR l.status IN (401, 403, 429, 503) THEN 'unverified' WHEN l.status <> 200 THEN 'not-200' WHEN NOT EXISTS (SELECT 1 FROM alternate b WHERE b.src_key = l.key AND b.dst_key = a.src_key) THEN 'one-way' ELSE 'fine' END AS kind
+ FROM (SELECT DISTINCT src_key, dst_key FROM alternate WHERE src_key <> dst_key AND src_key IN (SELECT key FROM site WHERE status = 200)) a LEFT JOIN look l ON l.at = a.dst_key"""
+
+
+@query(f"{_WITH} {_ALT}")
+def hreflang_reciprocity(spark, d):
+    return site.alternate_kinds(X.site(spark, d), X.alternate(spark, d))
+
+
+_LISTED = """SELECT loc, CASE WHEN status <> 200 THEN 'not-200' WHEN hops > 0 THEN 'redirect' WHEN noindex THEN 'noindex' WHEN canonical_key <> '' AND canonical_key <> final_key THEN 'canonicalised' ELSE 'fine' END AS kind FROM sitemap JOIN site USING (key) WHERE status NOT IN (401, 403, 429, 503)"""
+
+
+@query(f"{_WITH} {_LISTED}")
+def sitemap_listed_problems(spark, d):
+    return site.sitemap_kinds(X.site(spark, d), X.sitemap(spark, d))
+
+
+@query(f"{_WITH} SELECT url FROM good WHERE key NOT IN (SELECT key FROM sitemap) AND final_key NOT IN (SELECT key FROM sitemap)")
+def sitemap_missing(spark, d):
+    return site.not_listed(X.site(spark, d), X.sitemap(spark, d)).select("url")
+
+
+@query(f"{_WITH} SELECT loc AS url FROM sitemap WHERE key NOT IN (SELECT key FROM site UNION ALL SELECT final_key FROM site UNION ALL SELECT dst_key FROM link)")
+def orphans(spark, d):
+    return site.orphans(*_in(spark, d), X.sitemap(spark, d)).select("url")
+
+
+@query(f"{_WITH} SELECT url, CAST(depth AS VARCHAR) AS detail FROM site WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key) AND depth > 3")
+def deep_pages(spark, d):
+    return site.deep(X.site(spark, d))
+
+
+@query(f"{_WITH} SELECT url FROM uniq")
+def distinct_landing(spark, d):
+    return site.distinct_pages(X.site(spark, d)).select("url")
+
+
+_ALL = f"""SELECT 'CRITICAL' AS severity, 'Broken links' AS category, url FROM site JOIN ins USING (key) WHERE {_BROKEN}
+ UNION ALL SELECT 'WARNING', 'Linked redirects', url FROM site JOIN ins USING (key) WHERE depth > 0 AND hops >= 1 UNION ALL SELECT 'WARNING', 'Redirect chains', url FROM site WHERE hops >= 2
+ UNION ALL SELECT 'CRITICAL', 'Missing title', url FROM good WHERE title = '' UNION ALL SELECT 'WARNING', 'Missing description', url FROM good WHERE description = ''
+ UNION ALL SELECT 'WARNING', 'Duplicate ' || CASE field WHEN 'text_hash' THEN 'text' ELSE field END, first FROM ({_DUP('title', 'lower(title)')} UNION ALL {_DUP('description', 'lower(description)')} UNION ALL {_DUP('text_hash', 'text_hash')})
+ UNION ALL SELECT CASE kind WHEN 'not-200' THEN 'CRITICAL' WHEN 'noindex' THEN 'CRITICAL' WHEN 'redirects' THEN 'WARNING' ELSE 'INFO' END, 'Canonical ' || replace(kind, 'not-200', 'not 200'), url FROM ({_CANON}) WHERE kind NOT IN ('fine', 'unverified')
+ UNION ALL SELECT 'WARNING', 'Hreflang ' || replace(kind, 'not-200', 'not 200'), src_key FROM ({_ALT}) WHERE kind IN ('not-200', 'one-way')
+ UNION ALL SELECT 'WARNING', 'Sitemap ' || replace(kind, 'not-200', 'not 200'), loc FROM ({_LISTED}) WHERE kind <> 'fine'
+ UNION ALL SELECT 'INFO', 'Deep pages', url FROM site WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key) AND depth > 3
+ UNION ALL SELECT 'INFO', 'Missing from sitemap', url FROM good WHERE key NOT IN (SELECT key FROM sitemap) AND final_key NOT IN (SELECT key FROM sitemap)
+ UNION ALL SELECT 'WARNING', 'Orphans', loc FROM sitemap WHERE key NOT IN (SELECT key FROM site UNION ALL SELECT final_key FROM site UNION ALL SELECT dst_key FROM link)"""
+
+
+@query(f"{_WITH} SELECT severity, category, count(*) AS affected, array_to_string(list_sort(list(url))[1:20], ' ') AS sample FROM ({_ALL}) GROUP BY ALL")
+def site_issue_summary(spark, d):
+    return site.summary(site.issues(*_in(spark, d), X.alternate(spark, d), X.sitemap(spark, d)))
+
+
+@query(f"{_WITH} SELECT count(*) AS pages, count(*) FILTER (WHERE status IN (401, 403, 429, 503)) AS blocked, (SELECT count(*) FROM sitemap) AS listed, false AS truncated FROM site")
+def site_notes(spark, d):
+    return site.notes(X.site(spark, d), X.sitemap(spark, d))
+
+
+# ---------------------------------------------------------------- crawling
+@query(f"WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), edge AS (SELECT page_id AS src, (page_id * 3 + k) % n AS dst FROM pages, n, range(1, 5) t(k)), walk(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = id WHERE depth < 12) SELECT id AS key, min(depth) AS depth FROM walk GROUP BY id")
+def bfs_depth(spark, d):
+    pages = table(spark, d, "pages").select("page_id")
+    n = pages.count()
+    edges = pages.select(F.col("page_id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.col("page_id") * 3 + k) % n)).alias("dst"))
+    return crawl.breadth_first(spark.range(1).select(F.col("id").alias("key")), edges)
+
+
+@query()
+def crawl_budget(spark, d):
+    """A crawl of 60 pages from the first one; only pages that answer lead on."""
+    pages = X.site(spark, d)
+    snapshot = pages.select("key", "status", F.lit("s.example").alias("host"))
+    links = X.link(spark, d).select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"))
+    return crawl.crawl(pages.where("id = 0").select("key"), snapshot, links, max_pages=60)
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), hop AS (SELECT page_id AS id, CASE WHEN page_id % 11 = 4 OR page_id % 29 = 6 THEN (page_id * 13 + 5) % n END AS target, page_id % 11 = 4 OR page_id % 29 = 6 AS moves, page_id % 7 = 0 AND page_id % 11 = 4 AS lost FROM pages, n),
+ walk AS (SELECT id AS start, id, 0 AS hops, '' AS error, moves AND NOT lost AS open FROM hop UNION ALL SELECT w.start, h.target, w.hops + 1, '', t.moves AND NOT t.lost FROM walk w JOIN hop h ON h.id = w.id JOIN hop t ON t.id = h.target WHERE w.open AND w.hops < 10),
+ last AS (SELECT start, arg_max(id, hops) AS final, max(hops) AS hops FROM walk GROUP BY start)
+SELECT start AS url, final AS final_url, last.hops AS hops, CASE WHEN h.moves AND h.lost THEN 'redirect without location' WHEN h.moves THEN 'too many redirects' ELSE '' END AS error FROM last JOIN hop h ON h.id = final""")
+def redirect_resolve(spark, d):
+    pages = table(spark, d, "pages").select("page_id")
+    n = pages.count()
+    i = F.col("page_id")
+    moves = (i % 11 == 4) | (i % 29 == 6)
+    lost = (i % 7 == 0) & (i % 11 == 4)
+    hops = pages.select(i.alias("url"), F.when(moves & ~lost, (i * 13 + 5) % n).alias("target"), moves.alias("redirects"))
+    return crawl.resolve_redirects(pages.select(i.alias("url")), hops)
+
+
+# ---------------------------------------------------------------- robots
+_ROBOTS = "# all\nUser-agent: *\nDisallow: /cart\nDisallow: /*.pdf$\nAllow: /cart/help\nSitemap: https://s.example/map.xml\nDisallow: /tmp*\nCrawl-delay: 2\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: Google\nDisallow:\nDisallow: /exact$\nUser-agent: ClaudeBot\nDisallow: /\nAllow: /\n"
+_FILES = lambda spark: spark.createDataFrame([("s", _ROBOTS)], "site string, body string")
+
+
+@query("SELECT * FROM (VALUES (1, 'user-agent', '*'), (1, 'disallow', '/cart'), (1, 'disallow', '/*.pdf$'), (1, 'allow', '/cart/help'), (1, 'disallow', '/tmp*'), (1, 'crawl-delay', '2'), (2, 'user-agent', 'GPTBot'), (2, 'user-agent', 'CCBot'), (2, 'disallow', '/'), (3, 'user-agent', 'Google'), (3, 'disallow', ''), (3, 'disallow', '/exact$'), (4, 'user-agent', 'ClaudeBot'), (4, 'disallow', '/'), (4, 'allow', '/')) t(grp, directive, value)")
+def robots_groups(spark, d):
+    return robots.groups(_FILES(spark)).select(F.col("grp").cast("int").alias("grp"), "directive", "value")
+
+
+@query("SELECT 's' AS site, 9::BIGINT AS rules, 4::BIGINT AS groups, 5::BIGINT AS agents")
+def robots_counts(spark, d):
+    return robots.counts(_FILES(spark))
+
+
+_PATH = "(SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*([^?#]*)', 1) || CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.pdf?x' WHEN 2 THEN '' ELSE '/z' END AS rest, CASE page_id % 5 WHEN 0 THEN '/cart' WHEN 1 THEN '/cart/help' WHEN 2 THEN '/tmp1' ELSE '' END AS pre FROM pages)"
+
+
+@query(f"""SELECT DISTINCT path, CASE WHEN path LIKE '/cart/help%' AND NOT (regexp_matches(path, '\\.pdf$') AND length('/*.pdf$') > length('/cart/help')) THEN true WHEN path LIKE '/cart%' THEN false WHEN path LIKE '/tmp%' THEN false WHEN regexp_matches(path, '\\.pdf$') THEN false ELSE true END AS allowed FROM (SELECT pre || rest AS path FROM {_PATH})""")
+def robots_longest_match(spark, d):
+    i = F.col("page_id")
+    rest = F.concat(F.regexp_extract("url", "^[^:]*://[^/]*([^?#]*)", 1), F.when(i % 6 == 0, ".pdf").when(i % 6 == 1, ".pdf?x").when(i % 6 == 2, "").otherwise("/z"))
+    pre = F.when(i % 5 == 0, "/cart").when(i % 5 == 1, "/cart/help").when(i % 5 == 2, "/tmp1").otherwise("")
+    paths = table(spark, d, "pages").select(F.lit("s").alias("site"), F.concat(pre, rest).alias("path")).distinct()
+    ruled = robots.rules(robots.groups(_FILES(spark))).where("grp = 1")
+    return robots.verdicts(paths, ruled).select("path", "allowed")
+
+
+@query("SELECT * FROM (VALUES ('Googlebot', 'google', 'Partial Restrictions'), ('Google-Extended', 'google', 'Partial Restrictions'), ('OAI-SearchBot', '*', 'Partial Restrictions'), ('GPTBot', 'GPTBot', 'Disallowed'), ('ClaudeBot', 'ClaudeBot', 'Partial Restrictions'), ('PerplexityBot', '*', 'Partial Restrictions'), ('CCBot', 'CCBot', 'Disallowed'), ('Bytespider', '*', 'Partial Restrictions'), ('Applebot-Extended', '*', 'Partial Restrictions')) t(bot, label, status)")
+def ai_crawler_policy(spark, d):
+    return robots.policy(_FILES(spark)).select("bot", "label", "status")
+
+
+# ---------------------------------------------------------------- sitemaps
+_ESC = "replace(replace(url, '&', '&amp;'), '''', '&apos;')"
+
+
+def _maps(spark, d, files: int = 7):
+    """Sitemap files with the pages' URLs, dealt by page_id."""
+    rows = table(spark, d, "pages").select(F.concat(F.lit("f"), (F.col("page_id") % files).cast("string")).alias("file"), "page_id", F.concat(F.lit("<url><loc> "), sitemap.escape(F.col("url")), F.lit(" </loc><priority>0.5</priority></url>")).alias("x"))
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda s: s.x), ""), F.lit("<url><loc></loc></url><url><loc>cut"))
+    return rows.groupBy("file").agg(body.alias("body"))
+
+
+@query("SELECT 'f' || page_id % 7 AS file, CAST(page_id // 7 AS INTEGER) AS pos, url AS loc, '' AS lastmod, 0.5::DOUBLE AS priority FROM pages")
+def sitemap_parse(spark, d):
+    return sitemap.urls(_maps(spark, d)).select("file", "pos", "loc", "lastmod", "priority")
+
+
+@query("SELECT 'f' || page_id % 7 AS file, count(*) AS urls, count(*) > 50000 AS too_many FROM pages GROUP BY file")
+def sitemap_totals(spark, d):
+    return sitemap.totals(sitemap.urls(_maps(spark, d)))
+
+
+_SAMPLE = """WITH f AS (SELECT 'f' || page_id % 7 AS file, page_id // 7 AS pos, url AS loc, page_id FROM pages), n AS (SELECT file, count(*) AS n FROM f GROUP BY file),
+ turn AS (SELECT file, n, row_number() OVER (ORDER BY k, file) AS t FROM n, range(0, 10) r(k) WHERE k < n), q AS (SELECT file, n, count(*) AS q FROM turn WHERE t <= 10 GROUP BY file, n)
+SELECT f.file, f.loc FROM q, range(0, 10) r(j), f WHERE j < q AND f.file = q.file AND f.pos = (j * n) // q"""
+
+
+@query(_SAMPLE)
+def sitemap_sample(spark, d):
+    return sitemap.sample(sitemap.urls(_maps(spark, d)), 10).select("file", "loc")
+
+
+@query("""SELECT url AS loc, CASE page_id % 23 WHEN 3 THEN 'broken' WHEN 5 THEN 'blocked' WHEN 7 THEN 'broken' ELSE CASE WHEN page_id % 17 = 0 THEN 'broken' WHEN page_id % 11 = 4 THEN 'redirect' ELSE 'ok' END END AS verdict FROM pages WHERE NOT (page_id % 17 = 0 AND page_id % 23 = 5)""")
+def sitemap_health(spark, d):
+    i = F.col("page_id")
+    pages = table(spark, d, "pages").where(~((i % 17 == 0) & (i % 23 == 5)))
+    status = F.when(i % 23 == 3, 404).when(i % 23 == 5, 503).when(i % 23 == 7, 500).otherwise(200)
+    snapshot = pages.where(i % 17 != 0).select("url", status.alias("status"), F.when(i % 11 == 4, 1).otherwise(0).alias("hops"))
+    return sitemap.health(pages.select(F.col("url").alias("loc")), snapshot)
+
+
+@query(f"SELECT url, '<url><loc>' || {_ESC} || '</loc>' || CASE WHEN page_id % 2 = 0 THEN '<lastmod>2026-01-0' || (1 + page_id % 9) || '</lastmod>' ELSE '' END || '</url>' AS xml FROM pages")
+def sitemap_xml_out(spark, d):
+    i = F.col("page_id")
+    return sitemap.entries(table(spark, d, "pages").select("url", F.lit("").alias("final_url"), F.when(i % 2 == 0, F.concat(F.lit("2026-01-0"), (1 + i % 9).cast("string"))).otherwise("").alias("lastmod")))
+
+
+@query("SELECT * FROM (VALUES ('root', 0), ('a', 1), ('b', 1), ('a1', 2), ('a2', 2), ('deep', 3)) t(file, depth)")
+def sitemap_tree(spark, d):
+    """An index with a cycle, a file listed twice, and one below the depth that is read."""
+    index = lambda *cs: "<sitemapindex>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in cs) + "</sitemapindex>"
+    files = spark.createDataFrame([("root", index("a", "b", "root")), ("a", index("a1", "a2", "b")), ("a2", index("deep")), ("deep", index("deeper"))], "file string, body string")
+    return sitemap.tree(files.where("file = 'root'").select("file"), files).select("file", "depth")
+
+
+@query("SELECT * FROM (VALUES ('https://a', 'https://a/map1', 'robots'), ('https://a', 'https://a/map2', 'robots'), ('https://b', 'https://b/sitemap.xml', '/sitemap.xml'), ('https://c', 'https://c/sitemap_index.xml', '/sitemap_index.xml')) t(site, file, source)")
+def sitemap_discover(spark, d):
+    sites = spark.createDataFrame([(x,) for x in ("https://a", "https://b", "https://c", "https://d")], "site string")
+    listed = spark.createDataFrame([("https://a", "https://a/map1", 1), ("https://a", "https://a/map2", 5)], "site string, value string, line int")
+    files = [("https://a/sitemap.xml", "<urlset/>"), ("https://b/sitemap.xml", "<urlset>"), ("https://b/sitemap_index.xml", "<sitemapindex>"), ("https://c/sitemap.xml", "nothing"), ("https://c/sitemap_index.xml", "<sitemapindex/>")]
+    return sitemap.discover(sites, listed, spark.createDataFrame(files, "file string, body string")).select("site", "file", "source")
+
+
+@query()
+def sitemap_on_hosts(spark, d):
+    locs = table(spark, d, "pages").select(F.col("url").alias("loc"))
+    hosts = locs.select(F.regexp_extract("loc", "://([^/]*)", 1).alias("host")).where("host like '%.com'").distinct()
+    return sitemap.on_hosts(locs, hosts)

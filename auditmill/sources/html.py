@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from auditmill.functions.text import script_name
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -19,7 +21,7 @@ CODE = re.compile(r"^[a-zA-Z]{2,3}(-[a-zA-Z]{4})?(-([a-zA-Z]{2}|\d{3}))?$")
 
 _S = pa.string()
 TYPE = pa.struct(
-    [(n, _S) for n in ("title", "crawl_title", "lang", "description", "robots", "viewport", "og_title", "og_description", "og_image", "charset", "canonical", "body_text", "visible_text")]
+    [(n, _S) for n in ("title", "crawl_title", "lang", "description", "robots", "viewport", "og_title", "og_description", "og_image", "charset", "canonical", "body_text", "body_script", "visible_text")]
     + [(n, pa.int64()) for n in ("h1_count", "h2_count", "h3_count", "list_count", "table_count")]
     + [(n, pa.bool_()) for n in ("has_author", "has_date", "noindex")]
     + [
@@ -162,6 +164,7 @@ class _Facts(HTMLParser):
         self.close()
         self._close(0)
         self.f["body_text"] = " ".join("".join(x + " " for x in self.body).split())
+        self.f["body_script"] = script_name(self.f["body_text"], self.f["lang"])
         self.f["visible_text"] = " ".join(" ".join(self.visible).split())
         return self.f
 
