@@ -1 +1,183 @@
+"""Structured data, drift and feeds. Inputs are derived from the tables at hand."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditmill.operators import drift, jsonld
+from auditmill.plans.registry import query, table
+from auditmill.sources import feeds
+
+_TYPES = ("Product", "Event", "HowTo", "Person", "FAQPage")
+_TYPE = "['Product','Event','HowTo','Person','FAQPage'][1 + p_partkey % 5]"
+_REQ = "(VALUES ('Product', 'name'), ('Product', 'image'), ('Product', 'offers'), ('Event', 'name'), ('Event', 'startDate'), ('Event', 'location'), ('Person', 'name'), ('FAQPage', 'mainEntity')) r(type, field)"
+_HAS = "CASE field WHEN 'name' THEN p_partkey % 3 <> 0 WHEN 'offers' THEN p_partkey % 2 = 0 ELSE false END"
+
+
+def _things(spark, d):
+    """A JSON-LD block for each part: one of five types, with or without name and offers, some with unfilled values."""
+    i = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (1 + i % 5).cast("int"))
+    name = F.when(i % 3 != 0, F.when(i % 7 == 0, "TODO later").otherwise(F.col("p_name")))
+    offer = F.when(i % 2 == 0, F.struct(F.when(i % 4 == 0, F.col("p_retailprice")).alias("price"), F.lit("EUR").alias("priceCurrency")))
+    block = F.to_json(F.struct(F.when(i % 11 != 0, "https://schema.org").alias("@context"), kind.alias("@type"), name.alias("name"), offer.alias("offers")))
+    return table(spark, d, "part").select(i.alias("id"), kind.alias("type"), F.when(i % 13 == 0, F.concat(F.lit("{"), block)).otherwise(block).alias("raw"))
+
+
+def _found(spark, d, f=jsonld.findings):
+    return _things(spark, d).select("id", F.explode(f("raw")).alias("f")).select("id", "f.*")
+
+
+@query(f"SELECT p_partkey AS id, type, field FROM part JOIN {_REQ} ON type = {_TYPE} WHERE p_partkey % 13 <> 0 AND NOT {_HAS}")
+def jsonld_required(spark, d):
+    """By a join with the table of needed fields."""
+    rows = _things(spark, d).where("id % 13 <> 0").select("id", "type", jsonld.present_fields(F.col("raw")).alias("present"))
+    return jsonld.missing_fields(rows)
+
+
+@query(f"SELECT p_partkey AS id, type, field FROM part JOIN {_REQ} ON type = {_TYPE} WHERE p_partkey % 13 <> 0 AND NOT {_HAS}")
+def jsonld_required_deep(spark, d):
+    """The same by the validator that walks each block."""
+    return _found(spark, d).where("rule = 'missing-field'").select("id", "type", "field")
+
+
+@query(f"SELECT p_partkey AS id, {_TYPE} AS type FROM part WHERE p_partkey % 13 <> 0 AND {_TYPE} = 'HowTo'")
+def jsonld_deprecated(spark, d):
+    return _found(spark, d).where("rule = 'deprecated'").select("id", "type")
+
+
+@query(f"SELECT p_partkey AS id, 'price' AS field FROM part WHERE p_partkey % 13 <> 0 AND {_TYPE} = 'Product' AND p_partkey % 2 = 0 AND p_partkey % 4 <> 0")
+def jsonld_offers(spark, d):
+    return _found(spark, d).where("rule = 'offer-field'").select("id", "field")
+
+
+@query(f"""SELECT rule, severity, count(*) AS findings FROM (SELECT 'invalid-json' AS rule, 'warn' AS severity FROM part WHERE p_partkey % 13 = 0 UNION ALL SELECT 'deprecated', 'block' FROM part WHERE p_partkey % 13 <> 0 AND {_TYPE} = 'HowTo'
+ UNION ALL SELECT 'missing-context', 'warn' FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 = 0 UNION ALL SELECT 'placeholder', 'block' FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 7 = 0) GROUP BY ALL""")
+def jsonld_lint(spark, d):
+    return _found(spark, d, jsonld.lint_findings).groupBy("rule", "severity").agg(F.count("*").alias("findings"))
+
+
+@query(f"SELECT {_TYPE} AS type, count(*) AS blocks FROM part WHERE p_partkey % 13 <> 0 GROUP BY type")
+def jsonld_types(spark, d):
+    kind = F.expr("try_variant_get(try_parse_json(raw), '$[\"@type\"]', 'string')")
+    return _things(spark, d).select(kind.alias("type")).where("type is not null").groupBy("type").agg(F.count("*").alias("blocks"))
+
+
+@query(f"""WITH m AS (SELECT p_partkey AS id, count(*) AS n FROM part JOIN {_REQ} ON type = {_TYPE} WHERE NOT {_HAS} GROUP BY p_partkey),
+ x AS (SELECT p_partkey AS id, p_partkey % 13 = 0 AS broken, coalesce(n, 0) AS n, CASE WHEN {_TYPE} = 'Product' AND p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 1 ELSE 0 END AS offer, CASE WHEN {_TYPE} = 'HowTo' THEN 1 ELSE 0 END AS dep, CASE WHEN {_TYPE} = 'FAQPage' THEN 1 ELSE 0 END AS faq,
+  CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 7 = 0 THEN 1 ELSE 0 END AS ph FROM part LEFT JOIN m ON id = p_partkey)
+SELECT id, CASE WHEN broken THEN 1 ELSE n + offer + ph END AS errors, CAST(CASE WHEN broken THEN 0 ELSE dep + faq END AS BIGINT) AS warnings, CAST(greatest(0, CASE WHEN broken THEN 70 ELSE 100 - 5 * n - 3 * offer - 5 * dep - 10 * ph END) AS BIGINT) AS score FROM x""")
+def jsonld_audit(spark, d):
+    return jsonld.audit(_things(spark, d), "id").select("id", "errors", "warnings", "score")
+
+
+# ---------------------------------------------------------------- drift
+_AT = lambda v: f"(SELECT sha256('u' || page_id)[1:16] AS url_key, {v}::BIGINT AS v, sha256(html || CASE WHEN page_id % 5 = 0 THEN '{v}' ELSE '' END) AS content_sha256, CASE WHEN page_id % 7 = 0 AND {v} = 2 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN 'T{v}' ELSE 'T' END AS title, page_id % 1000 * {v} AS ttfb FROM pages)"
+
+
+def _snapshots(spark, d, v: int):
+    i = F.col("page_id")
+    return table(spark, d, "pages").select(
+        F.substring(F.sha2(F.concat(F.lit("u"), i.cast("string")), 256), 1, 16).alias("url_key"), F.timestamp_add("DAY", F.lit(v), F.lit("2026-01-01").cast("timestamp")).alias("timestamp"),
+        F.sha2(F.concat("html", F.when(i % 5 == 0, str(v)).otherwise("")), 256).alias("content_sha256"), F.when((i % 7 == 0) & F.lit(v == 2), 404).otherwise(200).alias("status_code"), F.when(i % 3 == 0, f"T{v}").otherwise("T").alias("title"),
+        F.array(F.lit("a"), F.when(i % 4 == 0, str(v)).otherwise("b")).alias("h1"), (i % 1000 * v).alias("ttfb_ms"),
+    )
+
+
+@query(f"""WITH b AS {_AT(1)}, c AS {_AT(2)}, x AS (SELECT p.page_id, sha256('u' || page_id)[1:16] AS url_key FROM pages p)
+SELECT url_key, field, before, after, significant FROM (
+ SELECT url_key, 'content_sha256' AS field, b.content_sha256[1:12] AS before, c.content_sha256[1:12] AS after, true AS significant FROM b JOIN c USING (url_key) UNION ALL SELECT url_key, 'status_code', CAST(b.status_code AS VARCHAR), CAST(c.status_code AS VARCHAR), true FROM b JOIN c USING (url_key)
+ UNION ALL SELECT url_key, 'title', b.title, c.title, true FROM b JOIN c USING (url_key) UNION ALL SELECT url_key, 'h1', 'a | ' || CASE WHEN page_id % 4 = 0 THEN '1' ELSE 'b' END, 'a | ' || CASE WHEN page_id % 4 = 0 THEN '2' ELSE 'b' END, true FROM x
+ UNION ALL SELECT url_key, 'ttfb_ms', CAST(b.ttfb AS VARCHAR), CAST(c.ttfb AS VARCHAR), abs(c.ttfb - b.ttfb) > 500 AND (b.ttfb = 0 OR abs(c.ttfb - b.ttfb) > 0.5 * b.ttfb) FROM b JOIN c USING (url_key)) WHERE before <> after""")
+def drift_compare(spark, d):
+    return drift.compare(_snapshots(spark, d, 2), _snapshots(spark, d, 1), ("content_sha256", "status_code", "title", "h1"))
+
+
+@query(f"SELECT url_key, title, status_code FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY v DESC) AS n FROM ({_AT(1)} UNION ALL {_AT(3)} UNION ALL {_AT(2)})) WHERE n = 1")
+def drift_latest(spark, d):
+    rows = _snapshots(spark, d, 1).union(_snapshots(spark, d, 3)).union(_snapshots(spark, d, 2))
+    return drift.latest(rows).select("url_key", "title", "status_code")
+
+
+@query("""SELECT abs(c - b) > 500 AND (b = 0 OR abs(c - b) > 0.5 * b) AS significant, count(*) AS pairs FROM (SELECT event_id % 2000 AS b, event_id * 7 % 3000 AS c FROM events) WHERE b <> c GROUP BY 1""")
+def drift_ttfb(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("url_key"), (F.col("event_id") % 2000).alias("b"), (F.col("event_id") * 7 % 3000).alias("c"))
+    found = drift.compare(e.select("url_key", F.col("c").alias("ttfb_ms")), e.select("url_key", F.col("b").alias("ttfb_ms")), ())
+    return found.groupBy("significant").agg(F.count("*").alias("pairs"))
+
+
+# ---------------------------------------------------------------- feeds
+def _cdx(spark, d):
+    i = F.col("page_id")
+    lang = F.when(i % 3 == 0, "eng,deu").when(i % 3 == 1, "fra ,").otherwise(F.lit(None))
+    rec = F.to_json(F.struct("url", F.when(i % 4 == 0, "application/pdf").otherwise("text/html").alias("mime"), lang.alias("languages")))
+    return feeds.parse_cdx(table(spark, d, "pages").select(F.when(i % 9 == 0, "{broken").otherwise(rec).alias("value")))
+
+
+@query("SELECT CASE WHEN page_id % 4 = 0 THEN 'application/pdf' ELSE 'text/html' END AS mime, count(*) AS records FROM pages WHERE page_id % 9 <> 0 GROUP BY mime")
+def cdx_breakdown(spark, d):
+    return feeds.mime_counts(_cdx(spark, d))
+
+
+@query("SELECT language, count(*) AS records FROM (SELECT unnest(CASE page_id % 3 WHEN 0 THEN ['eng', 'deu'] WHEN 1 THEN ['fra'] ELSE [] END) AS language FROM pages WHERE page_id % 9 <> 0) GROUP BY language")
+def cdx_languages(spark, d):
+    return feeds.language_counts(_cdx(spark, d))
+
+
+@query("SELECT CASE WHEN page_id % 2 = 0 THEN 'CC-' || page_id ELSE 'CC-MAIN-2026-34' END AS id FROM pages")
+def cdx_latest_index(spark, d):
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('[{"id":"CC-'), F.col("page_id").cast("string"), F.lit('"},{"id":"x"}]'))).otherwise("[]")
+    return table(spark, d, "pages").select(feeds.latest_index(body).alias("id"))
+
+
+@query("""SELECT event_type, CAST(user_id % 10 AS BIGINT) AS grp, count(*) AS clicks, CAST(sum(event_id % 50 + 1) AS BIGINT) AS impressions, round(sum((event_id % 9 + 1.0) * (event_id % 50 + 1)) / sum(event_id % 50 + 1), 6) AS position, round(count(*) / sum(event_id % 50 + 1), 9) AS ctr
+ FROM events GROUP BY event_type, grp ORDER BY clicks DESC, event_type, grp LIMIT 25""")
+def search_analytics(spark, d):
+    rows = table(spark, d, "events").select("event_type", (F.col("user_id") % 10).alias("grp"), F.lit(1).alias("clicks"), (F.col("event_id") % 50 + 1).alias("impressions"), (F.col("event_id") % 9 + 1.0).alias("position"))
+    return feeds.search_analytics(rows, ["event_type", "grp"]).withColumns({"position": F.round("position", 6), "ctr": F.round("ctr", 9)})
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, event_type AS metric, round(quantile_cont(value, 0.75), 6) AS p75 FROM events GROUP BY ALL")
+def crux_weekly_p75(spark, d):
+    from auditmill.streaming import monitor
+
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("metric"), "value")
+    return monitor.weekly_p75(rows).select(F.col("week").cast("timestamp_ntz").alias("week"), "metric", F.round("p75", 6).alias("p75"))
+
+
+@query("SELECT url, m AS metric, CAST(p AS INTEGER) AS period, CASE WHEN p = 1 THEN NULL ELSE CAST(page_id + p AS VARCHAR) END AS p75 FROM pages, (VALUES ('LCP'), ('CLS')) t(m), range(0, 3) r(p)")
+def crux_history(spark, d):
+    series = F.concat(F.lit('{"percentilesTimeseries":{"p75s":['), F.col("page_id").cast("string"), F.lit(',null,"'), (F.col("page_id") + 2).cast("string"), F.lit('"]}}'))
+    body = F.concat(F.lit('{"record":{"metrics":{"largest_contentful_paint":'), series, F.lit(',"cumulative_layout_shift":'), series, F.lit(',"other":'), series, F.lit("}}}"))
+    return feeds.crux_history(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("SELECT url, c AS category, CAST(round(100 * CASE c WHEN 'seo' THEN (page_id % 100) / 100.0 ELSE 0.5 END) AS BIGINT) AS score FROM pages, (VALUES ('seo'), ('performance')) t(c)")
+def psi_scores(spark, d):
+    body = F.concat(F.lit('{"lighthouseResult":{"categories":{"performance":{"score":0.5},"seo":{"score":'), F.format_string("%.2f", (F.col("page_id") % 100) / 100.0), F.lit("}}}}"))
+    return feeds.psi_scores(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("SELECT url, 'LCP' AS metric, CAST(page_id AS DOUBLE) AS percentile, 'FAST' AS rating FROM pages")
+def psi_field(spark, d):
+    body = F.concat(F.lit('{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":'), F.col("page_id").cast("string"), F.lit(',"category":"FAST"},"SOMETHING":{"percentile":1,"category":"SLOW"}}}}'))
+    return feeds.psi_field(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("SELECT url, CASE WHEN page_id % 2 = 0 THEN 'PASS' END AS verdict, 'Indexed' AS coverage FROM pages")
+def url_inspection(spark, d):
+    body = F.concat(F.lit('{"inspectionResult":{"indexStatusResult":{"coverageState":"Indexed"'), F.when(F.col("page_id") % 2 == 0, ',"verdict":"PASS"').otherwise(""), F.lit("}}}"))
+    return feeds.inspection(table(spark, d, "pages").select("url", body.alias("body"))).select("url", "verdict", "coverage")
+
+
+@query("SELECT page_id, sha256(url)[1:4] || '…' AS redacted, CASE page_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'key not valid' ELSE 'unexpected answer' END AS answer FROM pages")
+def indexnow(spark, d):
+    i = F.col("page_id")
+    return table(spark, d, "pages").select("page_id", feeds.redact(F.sha2("url", 256)).alias("redacted"), feeds.submit_status(F.when(i % 3 == 0, 200).when(i % 3 == 1, 403).otherwise(418)).alias("answer"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/in' WHEN 1 THEN '/path' WHEN 2 THEN '/out' ELSE '' END AS path FROM pages")
+def hook_paths(spark, d):
+    kind = F.col("page_id") % 4
+    payload = F.when(kind == 0, '{"tool_input":{"path":"/x","file_path":"/in"},"tool_response":{"file_path":"/out"}}').when(kind == 1, '{"tool_input":{"file_path":"","path":"/path"}}').when(kind == 2, '{"tool_input":{},"tool_response":{"filePath":"/out"}}').otherwise("{}")
+    return table(spark, d, "pages").select("page_id", feeds.hook_path(payload).alias("path"))
