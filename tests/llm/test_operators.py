@@ -1,0 +1,337 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from auditmill.llm import ann, extract, fingerprint, licenses, minhash, mixing, packing, paragraphs, suffix, toxicity
+from auditmill.llm.common import connected_components, shingle_sets, text_bytes
+
+LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, size=5):
+    w = SPLIT.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
+def components(n, links):
+    up = list(range(n))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return [top(i) for i in range(n)]
+
+
+def corpus(seed, n=150):
+    """Texts with exact and near copies, chains of copies, and one large group."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    made = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 120))) for _ in range(n // 3)]
+    while len(made) < n:
+        w = (made[0] if rnd.random() < 0.4 else rnd.choice(made)).split()
+        for _ in range(rnd.choice([0, 1, 1, 2, 6])):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary).upper()
+        made.append(rnd.choice([" ", "\n", "\t "]).join(w))
+    return made
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_near_duplicates(spark, num):
+    texts = corpus(num)
+    sets = [shingles(t) for t in texts]
+    want = components(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])])
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), num).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), w) for i, (s, w) in enumerate(zip(sets, want))}
+
+
+def test_signature_is_circulant():
+    sig = minhash.signature(np.array([5], np.uint64), 160)
+    assert len(np.unique(sig)) == 160  # one element: consecutive places of a permutation
+    both = minhash.signature(np.array([5, 9], np.uint64), 160)
+    assert (both == np.minimum(sig, minhash.signature(np.array([9], np.uint64), 160))).all()
+
+
+def test_similarity_estimate():
+    rnd = np.random.default_rng(0)
+    a = rnd.integers(0, 1 << 62, 2000).astype(np.uint64)
+    b = np.concatenate([a[:1500], rnd.integers(0, 1 << 62, 500).astype(np.uint64)])
+    same = (minhash.signature(a, 160) == minhash.signature(b, 160)).mean()
+    assert abs(same - 0.6) < 0.15
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    links = [(i, i + 1) for i in range(40)] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 30)]
+    links = [x for x in links if x[0] != x[1]]
+    want = components(400, links)
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: want[i] for x in links for i in x}
+
+
+def removed(texts, length):
+    texts = [t.encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 2, bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = True
+        out.append((len(t), int(gone.sum()), int((np.diff(gone.view(np.int8)) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone[1:-1]])).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("shard", [3 << 20, 400, 90])
+def test_repeated_strings(spark, shard):
+    rnd = random.Random(shard)
+    base = ["".join(rnd.choice("ab c") for _ in range(300)) for _ in range(5)]
+    texts = []
+    for _ in range(90):
+        t = rnd.choice(base)[rnd.randrange(200) :] + rnd.choice(base) + "aaaa" * rnd.randrange(40)
+        if rnd.random() < 0.6:
+            j = rnd.randrange(len(t))
+            t = t[:j] + "é" + t[j + 1 :]
+        texts.append(t)
+    texts += texts[:4] + ["", "short"]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=60, shard_bytes=shard).collect()}
+    assert [got[i] for i in range(len(texts))] == removed(texts, 60)
+
+
+def test_suffix_array():
+    rnd = random.Random(1)
+    text = bytes(rnd.choice(b"abc") for _ in range(700)) * 2
+    order, rank = suffix.suffix_array(np.frombuffer(text, np.uint8), 64)
+    assert [text[i : i + 64] for i in order] == sorted(text[i : i + 64] for i in range(len(text)))
+    shared = suffix.common_prefixes(np.frombuffer(text, np.uint8), order, 64)
+    for k in range(1, len(order)):
+        a, b = text[order[k - 1] :][:64], text[order[k] :][:64]
+        assert shared[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+def test_paragraphs(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(900)]
+    sentence = lambda n: " ".join(rnd.choices(words, k=n)).capitalize() + "."
+    shared = [" ".join(sentence(rnd.randint(8, 20)) for _ in range(5)) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        t = [sentence(rnd.randint(3, 25)) for _ in range(6)]
+        if rnd.random() < 0.7:
+            p = rnd.choice(shared).split(" ")
+            if rnd.random() < 0.5:
+                p[rnd.randrange(len(p))] = "other"
+            t.insert(rnd.randrange(6), " ".join(p))
+        texts.append(rnd.choice([" ", "\n"]).join(t))
+    units = []
+    for d, t in enumerate(texts):
+        raw = t.encode()
+        _, s, e, _, a, b = paragraphs.cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        units += [(d, i, raw[s[x] : e[y - 1]].decode()) for i, (x, y) in enumerate(zip(a, b)) if y - x >= paragraphs.LEAST]
+    sets = [shingles(u[2]) for u in units]
+    top = components(len(units), [(i, j) for i in range(len(units)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    size, want = Counter(top), defaultdict(lambda: [0, 0])
+    for i, c in enumerate(top):
+        if size[c] > 1:
+            want[units[i][0]][0] += 1
+            want[units[i][0]][1] += c != i
+    got = paragraphs.by_document(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [r.n_repeated, r.n_removed] for r in got} == {d: want[d] for d in range(len(texts))}
+    assert sum(v[1] for v in want.values()) > 20
+
+
+def test_extract():
+    page = """<html><head><title>T</title></head><body><div class="cookie-notice">We use cookies.</div><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
+    <article><h2>Head</h2><p>One &amp; <b>two</b>.<p>Three<script>var x = "<p>no</p>";</script></article><section class="comments"><p>Nice article, I love it so much.</p></section><footer>&copy; us</footer></body>"""
+    assert extract.main_text(page) == "Head One & two. Three"
+    assert extract.main_text("") == "" and extract.main_text("<article><p>unclosed <b>text") == "unclosed text"
+
+
+def test_minimum_cut():
+    rnd = random.Random(2)
+    for _ in range(30):
+        n = 6
+        pairs = {(a, b): rnd.random() for a in range(n) for b in range(a) if rnd.random() < 0.5}
+        cost = [(rnd.random(), rnd.random()) for _ in range(n)]
+        flow = extract.Flow(n + 2)
+        for i, (a, b) in enumerate(cost):
+            flow.join(n, i, a)
+            flow.join(i, n + 1, b)
+        for (a, b), w in pairs.items():
+            flow.join(a, b, w, w)
+        price = lambda on: sum(b if s else a for (a, b), s in zip(cost, on)) + sum(w for (a, b), w in pairs.items() if on[a] != on[b])
+        best = min(price([m >> i & 1 for i in range(n)]) for m in range(1 << n))
+        assert abs(price(flow.source_side(n, n + 1)[:n]) - best) < 1e-9
+
+
+def test_fingerprint_round_trip():
+    texts = corpus(3, 60)
+    for s in fingerprint.sketches(texts):
+        assert (fingerprint.decode(fingerprint.encode(s)) == s).all()
+    a, b = (fingerprint.sketches([" ".join(f"w{i}" for i in r)])[0] for r in (range(4000), range(1000, 5000)))
+    assert abs(fingerprint.resemblance(a, b) - 0.6) < 0.12 and abs(fingerprint.distinct(a) / 3996 - 1) < 0.3
+    whole = fingerprint.sketches([" ".join(f"w{i}" for i in range(5000))])[0]
+    assert (fingerprint.merge(a, b) == whole).mean() > 0.9 and fingerprint.containment(a, whole) > 0.8
+
+
+def test_edits(spark):
+    texts = corpus(5, 60)
+    got = {r.doc_id: r for r in fingerprint.edit_test(spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r, j = got[i * 3], shingles(t)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
+        both = j | shingles(edited)
+        # exact if both sets together are no larger than a sketch
+        assert abs(r.near_edited - len(j & shingles(edited)) / len(both)) < (1e-9 if len(both) <= fingerprint.K else 0.2)
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_neighbours(spark, scale):
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(6000, 32))
+    if scale:
+        x *= rnd.uniform(0.3, 3, (6000, 1))
+    x[3000:3500] = x[2999]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.search(df, every=100).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    hits = []
+    for q in range(0, 6000, 100):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        top = set(np.lexsort((np.arange(6000), -s))[:20].tolist())
+        mine = sorted(found[q])
+        assert [m[0] for m in mine] == list(range(1, 21)) and all(abs(s[v] - c) < 1e-9 for _, v, c in mine)
+        hits.append(len(top & {v for _, v, _ in mine}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_mix(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(["w"] * rnd.randint(1, 60)), ["a", "b", "c", "d", None][min(4, int(rnd.expovariate(0.8)))]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_table(docs).collect()
+    total, by = Counter(), defaultdict(list)
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    for r in got:
+        by[r.source].append(r)
+        assert r.size * r.copies == r.taken <= 2 * r.size and r.source_size == total[r.source]
+    assert abs(sum(r[0].target for r in by.values()) - 1.5 * sum(total.values())) < 1e-6
+    for s, rs in by.items():
+        assert rs[0].target <= 2 * total[s] + 1e-6 and abs(sum(r.taken for r in rs) - rs[0].target) <= 60
+    again = {(r.doc_id, r.taken) for r in mixing.mix_table(docs.repartition(7)).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+    copies = Counter(r.doc_id for r in mixing.mixed(docs.withColumn("copies", docs.doc_id)).collect())
+    assert copies == Counter({r.doc_id: r.copies for r in got if r.copies})
+
+
+def test_toxicity_held_out():
+    rnd = random.Random(8)
+    clean = ["".join(rnd.choice("abdeilmnorst") for _ in range(rnd.randint(3, 8))) for _ in range(900)]
+    bad = ["zork" + rnd.choice(["a", "en", "ung", "ie"]) for _ in range(20)] + ["grumph"]
+    texts, labels = [], []
+    for i in range(1200):
+        w = rnd.choices(clean, k=rnd.randint(5, 80))
+        if i % 6 == 0:
+            w.insert(rnd.randrange(len(w)), rnd.choice(bad))
+        texts.append(" ".join(w))
+        labels.append(int(i % 6 == 0))
+    grammar = toxicity.learn(texts[:800], labels[:800])
+    got = grammar.scores(*text_bytes(pa.array(texts[800:], pa.large_string())))
+    assert ((got >= toxicity.TOXIC) == np.array(labels[800:])).mean() > 0.98
+    fresh = grammar.scores(*text_bytes(pa.array(["so zorkissimo it is", "nothing to see", ""], pa.large_string())))
+    assert fresh[0] > 0.3 > fresh[1] == fresh[2]
+
+
+def test_grammar():
+    kinds = lambda s: "".join(toxicity.clause_matches(list(s), [1.0 if c in "IK" else 0.0 for c in s])[0])
+    assert [kinds(s) for s in ("ooI", "TooI", "NoI", "RoI", "TK", "K", "NooI", "RTNI")] == ["ooI", "TooJ", "Noi", "Roq", "TL", "k", "NooI", "RTNq"]
+
+
+def test_plan_is_full():
+    rnd = random.Random(3)
+    counts = Counter(rnd.choice([rnd.randint(1, 200), rnd.randint(1, 1024), 1024, 600]) for _ in range(4000))
+    bins = packing.plan(dict(counts))
+    used = Counter()
+    for lengths, times in bins:
+        assert sum(lengths) <= 1024
+        for x in lengths:
+            used[x] += times
+    assert used == counts
+    assert sum(t for _, t in bins) <= 1.01 * -(-sum(k * v for k, v in counts.items()) // 1024) + 1
+
+
+def test_fullest_bin():
+    rnd = random.Random(5)
+    for _ in range(60):
+        items = [rnd.randint(1, 40) for _ in range(9)]
+        got = packing.fullest(dict(Counter(items)), 60)
+        assert not Counter(got) - Counter(items) and max(items) in got
+        rest = list(items)
+        rest.remove(max(items))
+        sums = {0}
+        for x in rest:
+            sums |= {s + x for s in sums if s + x <= 60 - max(items)}
+        assert sum(got) == max(items) + max(sums)
+
+
+def test_pack(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = True
+    rnd = random.Random(7)
+    texts = [rnd.choice(["Hello world <|endoftext|> ", "déjà vu\n\n  ", "日本語 ", "x1y2 "]) * rnd.randint(0, 700) for _ in range(40)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    places = defaultdict(list)
+    for r in got:
+        ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        places[r.sequence_id].append((r.offset, r.length))
+        if r.piece == 0:
+            assert r.start == 0 and sum(x.length for x in got if x.doc_id == r.doc_id) == len(ids)
+        else:
+            assert r.length == 1024
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_licences(spark):
+    texts = ["Released under the MIT License. MIT license again", "the gnu general public license", "all rights reserved, Mit-Licence", "Licensed under CC BY-NC 4.0.", "", "apache license " * 3, "mit\nlicense", "permission is hereby granted, free of charge, to any person obtaining a copy of this software"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for i, t in enumerate(texts):
+        w = word.findall(t.translate(LOWER))
+        at = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    assert (got[3].labels, got[2].labels, got[7].labels, got[4].labels) == ("cc-by-nc", "all-rights-reserved", "mit", "")
+
+
+def test_shingles_of_words():
+    texts = ["A b c d e f", "a B c", "", None, "x\x0by\x0cz w v u", "à b c d e"]
+    got = shingle_sets(*text_bytes(pa.array(texts, pa.large_string())), 5)
+    assert [len(s) for s in got] == [len(shingles(t)) for t in texts]
