@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker treats at once; single longer texts are treated alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: White space that parts words: space and 0x09 to 0x0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

@@ -27,7 +27,7 @@ from auditmill.llm.common import U, chunks, mix, prefix_hash, signed, small_batc
 LENGTH = 400
 GRAM = 32
 #: Bytes of segments that one suffix array covers.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Window starts that are sampled at once, and bits for a place among them.
 SLICE, PLACE = 1 << 22, 23
 
