@@ -5,7 +5,8 @@ integral in pairs: mass, in words, moves from one document of a pair to the othe
 that neither's expected copies change, until one of them is integral; the other goes on. So all words a
 source takes stay at its target but for the last document's rounding. Pairs are made within chunks of a
 bounded number of documents, the largest first; each chunk leaves one fractional document, and those go up
-a tree of chunks until each source has one.
+a tree of chunks until each source has one. That one goes to the nearer number of copies, and at most two
+others are turned if their sizes make up for the rest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from auditmill.llm.common import written
 
 #: Documents in a chunk on average.
 CHUNK = 128
-WORD = r"[^\x20\x09-\x0D]+"
+#: Documents of a source that are turned at the end where that brings it nearer to its target.
+CORRECTIONS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 
@@ -139,8 +141,22 @@ def copies(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         left = 0 if left == 1 else -(-left // CHUNK)
     # each source's last document goes to the nearer number of copies
     done = done.unionByName(level.select("source", F.col("x.id").alias("doc_id"), F.col("x.size").alias("size"), F.round("x.copies").alias("copies")))
-    out = done.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of", "docs")
-    return out.withColumn("copies", F.col("copies").cast("long"))
+    done = written(done.withColumns({"copies": F.col("copies").cast("long"), "row": F.monotonically_increasing_id()}), "integral")
+    for _ in range(CORRECTIONS):
+        done = _corrected(done, of)
+    return done.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of", "docs", "row")
+
+
+def _corrected(done: DataFrame, of: DataFrame) -> DataFrame:
+    """Turns one document's copies in each source to the other whole number where that brings its words nearer to the target."""
+    now = done.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"))
+    now = now.join(of, F.col("source").eqNullSafe(F.col("of"))).where("source_size > 0").select("of", (F.col("words") - F.col("target")).alias("over"), (F.col("target") / F.col("source_size")).alias("share"))
+    rows = done.join(now, F.col("source").eqNullSafe(F.col("of"))).where("size > 0")
+    turns = F.when(F.col("over") > 0, F.col("copies") > F.floor("share")).otherwise(F.col("copies") < F.ceil("share"))
+    off = F.abs(F.abs("over") - F.col("size"))
+    best = rows.where(turns & (off < F.abs("over") - 0.5)).groupBy("of").agg(F.min(F.struct(off.alias("off"), "doc_id", "row", F.when(F.col("over") > 0, -1).otherwise(1).alias("step"))).alias("b"))
+    turned = done.join(best.select(F.col("b.row").alias("row"), "b.step"), "row", "left")
+    return written(turned.withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step"), "corrected")
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
