@@ -213,7 +213,7 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
     counts = np.zeros(1 << 22, np.uint16)
     for t in bad:
         counts[np.unique([hash(k) & (len(counts) - 1) for k in _keys(t)])] += 1
-    often = (counts >= LEAST_SEEN).tolist()
+    often = (counts >= LEAST_SEEN).tobytes()
     seen: Counter = Counter()
     for t in bad:
         seen.update(k for k in _keys(t) if often[hash(k) & (len(often) - 1)])
@@ -226,7 +226,9 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
     # of equally good ones a whole word, then the longest stem: no wider than the labels ask for
     names = sorted(keep, key=lambda k: (not k.endswith("$"), -len(k), k))
     number = {k: i for i, k in enumerate(names)}
-    pairs = np.array([(number[k], i) for i, s in ((i, _keys(t)) for i, t in enumerate(bad)) for k in s & keep], np.int64).reshape(-1, 2)
+    # (entry, text) in flat arrays: as objects they would take a hundred times the room
+    has = [np.fromiter((number[k] for k in _keys(t) & keep), np.int32) for t in bad]
+    pairs = np.stack([np.concatenate(has), np.repeat(np.arange(len(bad), dtype=np.int32), [len(h) for h in has])], axis=1)
     cost = np.array([3.0 * clean[k] for k in names])
     lexicon, covered = {}, np.zeros(len(bad), bool)
     while len(pairs):
@@ -295,8 +297,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     drawn = draw[0].unionByName(draw[1])
     # at most TOXIC_ROWS + CLEAN_ROWS pairs of numbers: a broadcast of a fixed size
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
-    got = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return learn([r.text or "" for r in got], [r.toxic for r in got])
+    got = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic").toArrow()
+    texts, toxic = got.column(0).to_pylist(), got.column(1).to_pylist()
+    del got
+    return learn([t or "" for t in texts], toxic)
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
