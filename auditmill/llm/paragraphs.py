@@ -2,7 +2,8 @@
 
 Paragraphs are cut where the text itself says so, so that a passage is cut alike wherever it stands: at line
 ends, after sentences of LONG words, and after about every second other sentence of SOME words, as a hash of
-its last word decides. Each paragraph of LEAST words has a MinHash signature of its five-word shingles; bands
+its last word decides. Each paragraph, a word long or more, has a MinHash signature of its five-word shingles
+(of fewer words, the whole sequence is one); bands
 are single coordinates, as few as reach the recall wanted: at a similarity of 0.8 three bands miss a pair
 with a probability of 0.8 %, and unlike paragraphs hardly share a shingle at all. Paragraphs that share a
 band's value are compared on their full sets (see minhash: with pivots, and an exact filter for the rest),
@@ -23,7 +24,7 @@ from auditmill.llm.common import U, WHITE, chunks, connected_components, mix, pr
 
 SHINGLE = 5
 BANDS = 3
-LEAST, SOME, LONG = 8, 5, 12
+LEAST, SOME, LONG = 1, 5, 12
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
@@ -50,28 +51,35 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashed, starts, ends, text[begin], begin, cuts + 1
 
 
-def _paragraphs(bands: int):
+def _paragraphs(bands: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sets of so few shingles are alike only if they are equal: one key, of the whole set, finds them all
+        alone = 0
+        while alone * den < num * (alone + 1) and alone < den:
+            alone += 1
         consts = mix(np.arange(1, SHINGLE + 1, dtype=U) * U(0x2545F4914F6CDD1D)) | U(1)
         for batch in batches:
             for part in chunks(batch, "text"):
                 data, off = text_bytes(part.column(2))
                 hashed, starts, ends, text, a, b = cut(data, off)
                 number = np.arange(len(a)) - np.searchsorted(text, text)
-                long = b - a >= LEAST
-                text, a, b, number = text[long], a[long], b[long], number[long]
                 if not len(a):
                     continue
-                m = len(hashed) - SHINGLE + 1
+                m = max(0, len(hashed) - SHINGLE + 1)
                 rolled = np.zeros(m, U)
                 for j in range(SHINGLE):
                     rolled += hashed[j : j + m] * consts[j]
                 rolled = mix(rolled)
-                # shingles of each paragraph, laid end to end
-                many = b - a - SHINGLE + 1
+                content = span_hash(prefix_hash(hashed), a, b)
+                # shingles of each paragraph, laid end to end; of fewer words than a shingle's, the whole sequence is one
+                many = np.maximum(b - a - SHINGLE + 1, 1)
                 to = np.cumsum(many)
                 at = np.arange(to[-1]) - np.repeat(to - many, many) + np.repeat(a, many)
-                mine = rolled[at]
+                short = b - a < SHINGLE
+                whole = np.repeat(short, many)
+                mine = np.empty(to[-1], U)
+                mine[~whole] = rolled[at[~whole]]
+                mine[whole] = content[short]
                 own = np.repeat(np.arange(len(a), dtype=U), many)
                 order = np.sort((own << U(40)) | (mine >> U(24)))
                 fresh = np.ones(len(order), bool)
@@ -81,8 +89,13 @@ def _paragraphs(bands: int):
                 low = np.minimum.reduceat(table[(mix(mine) & U(minhash.UNIVERSE - 1)).astype(np.int64)], to - many, axis=0)
                 # the table's values are coordinates of few bits: with the shingle that has the least, they make a key of 64
                 keys = _band_keys(mine, to - many, many, bands, low)
-                content = span_hash(prefix_hash(hashed), a, b)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(a) * bands + 1, bands, dtype=np.int32)), pa.array(signed(keys.ravel())))
+                few = n < alone
+                keys[few, 0] = mix(np.add.reduceat(np.where(fresh, mix(order & U((1 << 40) - 1)), U(0)), to - many)[few] + U(bands))
+                # a sequence that is one shingle has no equal but itself
+                each = np.where(short, 0, np.where(few, 1, bands))
+                used = np.arange(bands) < each[:, None]
+                ends_at = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(signed(keys[used])))
                 cols = [part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(number.astype(np.int32)), pa.array((starts[a] - off[text]).astype(np.int32)), pa.array((ends[b - 1] - off[text]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array((b - a).astype(np.int32)), pa.array(signed(content)), pa.array(n), lists], names=["doc_id", "k", "idx", "a", "b", "words", "h", "n", "bands"])
 
@@ -126,7 +139,7 @@ def classes(docs: DataFrame, num: int = 80, den: int = 100, bands: int = BANDS)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     schema = "doc_id long, k long, idx int, a int, b int, words int, h long, n long, bands array<long>"
-    units = written(rows.select("doc_id", "k", "text").mapInArrow(_paragraphs(bands), schema), "paragraphs")
+    units = written(rows.select("doc_id", "k", "text").mapInArrow(_paragraphs(bands, num, den), schema), "paragraphs")
     keys = units.select(F.explode("bands").alias("key"), F.col("h").alias("rep"), "n")
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = written(keys.join(shared, "key", "left_semi").distinct(), "members")
