@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 from string import Template
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clamp(score: Column) -> Column:
@@ -48,12 +50,19 @@ _PAGE = Template("<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"
 
 
 def render_html(title: str, scores: dict[str, int], findings: list[tuple[str, str, str, str]]) -> str:
-    """A page for one report; scores and findings are few and have been collected."""
+    """A page for one report; its scores and findings are few."""
     shade = lambda n: "good" if n >= 80 else "fair" if n >= 50 else "poor"
     cells = "".join(f'<tr><th>{html.escape(k)}<td class="{shade(v)}">{v}</tr>' for k, v in scores.items())
     rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}" for x in f) + "</tr>" for f in findings)
     return _PAGE.substitute(title=html.escape(title), scores=cells, rows=rows)
 
 
+@F.arrow_udf(StringType())
+def technical_report(url: pa.Array, score: pa.Array, issues: pa.Array) -> pa.Array:
+    """Each page's report from its own row; a page without URL has no title."""
+    rows = zip(url.to_pylist(), score.to_pylist(), issues.to_pylist())
+    return pa.array([render_html(u or "", {"technical": s}, [(i["severity"], i["category"], i["message"], i["details"]) for i in found]) for u, s, found in rows], pa.string())
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

@@ -55,10 +55,9 @@ def sitemap_gzip(spark, d):
 
 @query()
 def html_report(spark, d):
-    """One page's report, rendered."""
-    rows = rules.technical(html.parsed(table(spark, d, "pages").where("page_id = 0"))).select("url", "score", "issues").collect()
-    pages = [(r.url, report.render_html(r.url, {"technical": r.score}, [(i.severity, i.category, i.message, i.details) for i in r.issues])) for r in rows]
-    return spark.createDataFrame(pages, "url string, html string")
+    """Every page's report, rendered where its row is."""
+    rows = rules.technical(html.parsed(table(spark, d, "pages")))
+    return rows.select("url", report.technical_report(F.col("url"), F.col("score"), F.col("issues")).alias("html"))
 
 
 @query(r"SELECT url, sha256(html) AS content_sha256, len(regexp_extract_all(html, '<a href=')) AS internal_links FROM pages")
