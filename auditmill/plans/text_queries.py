@@ -84,6 +84,12 @@ def doc_keyword_folded(spark, d):
     return rows.withColumn("found", F.col("hits") > 0)
 
 
+@query()
+def doc_keyword_all(spark, d):
+    """doc_keyword_folded over documents of every language and of none; SQL folds other scripts differently."""
+    return docs(spark, d).select("doc_id", T.count_keyword(F.col("text"), F.lit("The")).alias("hits")).withColumn("found", F.col("hits") > 0)
+
+
 @query("""SELECT doc_id, CASE WHEN length(text) > 40 THEN text[1:40] || '...' ELSE coalesce(text, '') END AS shortened, CASE WHEN length(text) > 40 THEN text[1:37] || '...' ELSE coalesce(text, '') END AS fitted,
   coalesce(text[1:10], '') AS cut FROM documents""")
 def doc_truncate(spark, d):

@@ -49,6 +49,15 @@ def tracking_params_stripped(spark, d):
     return pages(spark, d).where(q.contains("utm_")).select("page_id", (U.normalize_absolute(F.col("url")) != U.key_absolute(F.col("url"))).alias("changed"), F.size(F.split(q, "&")).cast("long").alias("params"))
 
 
+@query()
+def tracking_params_all(spark, d):
+    """tracking_params_stripped over every URL, with the number of parameters that its key leaves out."""
+    params = F.filter(F.split(U.parts(F.col("url"))["query"], "&"), lambda p: p != "")
+    stripped = F.size(F.filter(params, lambda p: p.rlike(U._DROP)))
+    changed = U.normalize_absolute(F.col("url")) != U.key_absolute(F.col("url"))
+    return pages(spark, d).select("page_id", changed.alias("changed"), F.size(params).cast("long").alias("params"), stripped.cast("long").alias("stripped"))
+
+
 @query(f"SELECT page_id, path = '/' AND query = '' AS is_origin, scheme || '://' || host AS origin FROM {URLS}")
 def origin_check(spark, d):
     return pages(spark, d).select("page_id", U.is_origin(F.col("url")).alias("is_origin"), U.origin_of(F.col("url")).alias("origin"))
