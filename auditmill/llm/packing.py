@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -52,9 +53,35 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pieces(path: str, capacity: int, end: int):
+@cache
+def splitting(path: str):
+    """Encodes as the unchanged tokenizers file does: a text is split at the file's added tokens, which become their ids."""
+    ordinary = encoder(path).encode_ordinary
+    added = json.load(open(path, encoding="utf-8")).get("added_tokens", [])
+    for t in added:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"{path} has an added token with conditions on its surroundings: {t['content']}")
+    ids = {t["content"]: t["id"] for t in added}
+    if not ids:
+        return ordinary
+    # the leftmost, and of those the longest
+    cut = re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        out = []
+        for i, part in enumerate(parts):
+            out += [ids[part]] if i % 2 else ordinary(part)
+        return out
+
+    return encode
+
+
+def _pieces(path: str, capacity: int, end: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = splitting(path) if added else encoder(path).encode_ordinary
         for batch in batches:
             for part in chunks(batch, "text"):
                 rows = []
@@ -154,18 +181,19 @@ def _deal(places):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """Packs documents (doc_id, text; more columns are ignored) into sequences of at most `capacity` tokens.
 
     Returns a row for each piece: doc_id, piece int, start, length, ids_crc32, sequence_id, offset long. A null
     or empty text is its end token alone. A null doc_id stays null; rows that repeat are documents of their
-    own. An empty table gives no rows.
+    own. An empty table gives no rows. added: the tokenizer file's added tokens become their ids, as the file
+    itself says; else their strings are ordinary text.
     """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = written(rows.mapInArrow(_pieces(path, capacity, end), schema), "pieces")
+    pieces = written(rows.mapInArrow(_pieces(path, capacity, end, added), schema), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     places = docs.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
     # a rank is the pieces of that length in earlier blocks and those before it in its own block
