@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCKS_END_P = frozenset("address article aside blockquote dl div fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SPACE = re.compile(r"\s+")
+#: Where the content of such an element ends; the page itself is searched, as lower() can change its length.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 # What tags and class names say of the text below them, as log-odds of being content.
 TAGS = {"article": 3.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -8.0, "form": -9.0, "button": -9.0, "select": -9.0, "menu": -9.0, "dialog": -8.0, "header": -5.0, "fieldset": -6.0, "head": -12.0, "p": 0.5, "blockquote": 0.3, "pre": 0.5, "li": -0.3}
@@ -46,12 +48,14 @@ NAMES = [
 ]
 #: Price of labelling two neighbours unlike, and of two blocks whose common ancestor is one or two elements up.
 NEXT, NEAR = 0.4, 0.6
+#: Names say little against an element that holds so much of the page's text, and nothing against one around an article or main with so much of it.
+MOST, SHARE, LITTLE = 0.7, 0.2, -1.0
 
 
 class Block:
     __slots__ = ("path", "parts", "linked")
 
-    def __init__(self, path: tuple[tuple[int, str, float], ...]):
+    def __init__(self, path: tuple[tuple[int, str, float, float], ...]):
         self.path, self.parts, self.linked = path, [], 0
 
     def text(self) -> str:
@@ -67,11 +71,11 @@ def _names(attributes: str) -> float:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, each with its open elements as (number, tag, log-odds)."""
+    """The page's blocks of text in order, each with its open elements as (number, tag, log-odds of the tag, of its names)."""
     out: list[Block] = []
-    stack: list[tuple[int, str, float]] = []
+    stack: list[tuple[int, str, float, float]] = []
     now: Block | None = None
-    at, number, links, low = 0, 0, 0, None
+    at, number, links = 0, 0, 0
 
     def text(raw: str) -> None:
         nonlocal now
@@ -115,9 +119,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                low = low if low is not None else page.lower()
-                end = low.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
             continue
         if tag in CLOSES:
             pop(CLOSES[tag])
@@ -125,15 +128,41 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag not in VOID:
             number += 1
-            stack.append((number, tag, TAGS.get(tag, 0.0) + _names(m[3])))
+            stack.append((number, tag, TAGS.get(tag, 0.0), _names(m[3])))
     if at < len(page):
         text(page[at:])
     return [b for b in out if b.text()]
 
 
+def ease(found: list[Block], texts: list[str]) -> None:
+    """Takes back what names say against elements that can't be boilerplate as a whole.
+
+    Names of html and body speak of the layout. Those of an element that holds MOST of the page's text, or of one
+    around an article or main that holds a SHARE of it, don't outweigh what is nearer to the text.
+    """
+    if not any(names < 0 for b in found for _, _, _, names in b.path):
+        return
+    held: dict[int, int] = {}
+    for b, t in zip(found, texts):
+        for number, *_ in b.path:
+            held[number] = held.get(number, 0) + len(t)
+    whole = sum(map(len, texts))
+    for b in found:
+        near, path = False, []
+        for number, tag, odds, names in reversed(b.path):
+            if names < 0:
+                if near or tag in ("html", "body"):
+                    names = 0.0
+                elif held[number] >= MOST * whole:
+                    names = max(names, LITTLE)
+            path.append((number, tag, odds, names))
+            near = near or (tag in ("article", "main") and held[number] >= SHARE * whole)
+        b.path = tuple(reversed(path))
+
+
 def log_odds(block: Block, text: str) -> float:
     """The classifier: log-odds that a block is content."""
-    path = [w for _, _, w in block.path]
+    path = [odds + names for _, _, odds, names in block.path]
     bad, good = min([0.0, *path]), max([0.0, *path])
     n = len(text)
     score = -0.4 + good + bad + 0.3 * math.log1p(n / 20)
@@ -207,6 +236,7 @@ class Flow:
 def label(found: list[Block], texts: list[str]) -> list[bool]:
     """Which blocks are content: the source's side of the minimum cut."""
     n = len(found)
+    ease(found, texts)
     flow = Flow(n + 2)
     for i, (b, t) in enumerate(zip(found, texts)):
         x = log_odds(b, t)
