@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from auditmill.llm import minhash, mixing, packing, suffix, toxicity
 
+#: Bytes of a string that is taken for a repeated passage: 50 words of three letters and the spaces between them.
+PASSAGE = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores as toxic go; the model is learned from the labelled ones among docs."""
@@ -25,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start at two or more places go from all of them; n_chars follows the text."""
-    out = suffix.without_repeats(docs)
+    """Strings of PASSAGE bytes that start at two or more places go from all of them; n_chars follows the text."""
+    out = suffix.without_repeats(docs, length=PASSAGE)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -37,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences of 1024 tokens."""
-    return packing.pack(docs, added=True)
+    return packing.pack(docs)
 
 
 STAGES = [

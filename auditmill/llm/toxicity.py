@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses, with weights learned from labels.
 
-A text's words are tagged (insult, threat, target, negation, report, other); the tags of a clause run through
-a cascade of weighted transducers, each reading what the one before has written: insults and threats get
-their weights, a target near them raises it, a negation before them weakens it, a report ("he said", a
-quotation) weakens what it governs. What is left in the clause is its match. A text's score is a logistic
-model of its clauses' matches.
+A text's words are tagged (insult, threat, target, negation, report, other; quotation marks are tags too). A
+clause ends at . ! ? ; or a line's end and is read whole, once, by two weighted transducers: one from right to
+left, which raises insults and threats that a target follows ("kill them all"), and one from left to right, the
+composition of three: a target before an insult or threat raises it and a threat without any target is
+weakened; a negation before it weakens it; a report verb governs the rest of its clause and a quotation what
+stands within it, and weakens that. Quotation marks count in pairs within a line; one left over counts for
+nothing. What is left in the clause is its match. A text's score is a logistic model of its clauses' matches.
 
 The insult lexicon is learned: stems (beginnings of words) and whole words that occur in toxic texts and
 hardly in others, picked greedily until they cover the toxic texts. It is fitted on a bounded sample
-(TOXIC_ROWS and CLEAN_ROWS labelled texts, whole); scoring covers every text in full.
+(TOXIC_ROWS and CLEAN_ROWS labelled texts, whole), whose words are counted and tagged by the executors: the
+driver sees entries of the lexicon that are in question, the toxic texts that hold them, and a row of numbers
+for each text. Scoring covers every text in full.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditmill.llm.common import LOWER, U, chunks, prefix_hash, small_batches, span_hash, text_bytes
+from auditmill.llm.common import LOWER, U, chunks, forget, prefix_hash, small_batches, span_hash, text_bytes, written
 
 #: The labelled texts that the model is fitted on at most.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
@@ -34,12 +38,15 @@ STEMS = (4, 5, 6)
 LEAST_GAIN = 3
 #: Toxic texts that must have a word or stem for it to be looked at.
 LEAST_SEEN = 4
+#: Clean texts for each toxic one that may have it, both kinds being equally many.
+RARE = 0.02
 TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[a-z\u0080-\U0010ffff]+")
 #: Bytes between words: all of ASCII but lower-case letters (upper case is lowered before).
 BREAK = np.ones(256, bool)
 BREAK[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-CLAUSE_END = re.compile(rb"[.!?;:\n]")
+CLAUSE_END = np.zeros(256, bool)
+CLAUSE_END[[ord(c) for c in ".!?;\n"]] = True
 
 # Words of the grammar.
 INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting dumb imbecile vermin bastard".split()
@@ -49,46 +56,106 @@ NEGATIONS = "not no never neither nor without isn aren wasn don doesn didn nicht
 REPORTS = "said says say called wrote claimed quoted quote told heard reported according sagte schrieb dit dijo".split()
 
 
-class Transducer:
-    """A deterministic weighted transducer: (state, symbol) -> (state, symbol out, factor); other symbols pass and lead to `rest[state]`."""
+#: I insult, K threat, T target, N negation, R report, Q quotation mark, o other; J and L: insult or threat with a
+#: target, k: threat without one, i: negated, q: reported.
+SYMBOLS = "oTNRQIKJLkiq"
+#: Words between a target, or a negation, and what it bears on: fewer than these.
+REACH, NEGATES = 3, 2
+Step = Callable[[int, str], tuple[int, str, float]]
+
+
+def target_step(state: int, symbol: str) -> tuple[int, str, float]:
+    """A target near what comes next makes it a targeted one; the state counts down from it."""
+    if symbol == "T":
+        return REACH, symbol, 1.0
+    if symbol == "Q":
+        return state, symbol, 1.0
+    after = max(0, state - 1)
+    if state and symbol in "IK":
+        return after, {"I": "J", "K": "L"}[symbol], 1.5 if symbol == "I" else 1.0
+    return after, symbol, 1.0
+
+
+def aimless_step(state: int, symbol: str) -> tuple[int, str, float]:
+    """A threat that no target stood by is weak."""
+    return (0, "k", 0.3) if symbol == "K" else (0, symbol, 1.0)
+
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]], rest: dict[int, int]):
-        self.arcs, self.rest = arcs, rest
+def negation_step(state: int, symbol: str) -> tuple[int, str, float]:
+    """A negation shortly before weakens a match."""
+    if symbol == "N":
+        return NEGATES, symbol, 1.0
+    if symbol == "Q":
+        return state, symbol, 1.0
+    if state and symbol in "IKJLk":
+        return max(0, state - 1), "i", 0.5
+    return max(0, state - 1), symbol, 1.0
 
-    def run(self, symbols: list[str], weights: list[float]) -> tuple[list[str], list[float]]:
-        state, out, got = 0, [], []
+
+def report_step(state: int, symbol: str) -> tuple[int, str, float]:
+    """A report (bit 0) lasts to the clause's end, a quotation (bit 1) to its closing mark; both weaken what they hold."""
+    if symbol == "R":
+        return state | 1, symbol, 1.0
+    if symbol == "Q":
+        return state ^ 2, symbol, 1.0
+    return (state, "q", 0.5) if state and symbol in "IKJLki" else (state, symbol, 1.0)
+
+
+class Transducer:
+    """A deterministic weighted transducer over SYMBOLS, as tables by (state, symbol): next state, symbol out, factor."""
+
+    def __init__(self, *steps: Step):
+        """The composition of steps, each reading what the one before has written; its states are those that can be reached from all zero."""
+        number, todo, rows = {(0,) * len(steps): 0}, [(0,) * len(steps)], []
+        for at in todo:
+            row = []
+            for symbol in SYMBOLS:
+                after, put, factor = [], symbol, 1.0
+                for step, state in zip(steps, at):
+                    state, put, f = step(state, put)
+                    after.append(state)
+                    factor *= f
+                if tuple(after) not in number:
+                    number[tuple(after)] = len(number)
+                    todo.append(tuple(after))
+                row.append((number[tuple(after)], SYMBOLS.index(put), factor))
+            rows.append(row)
+        self.rows = rows
+
+    def run(self, symbols: list[int], weights: list[float]) -> tuple[list[int], list[float]]:
+        state, out, got, rows = 0, [], [], self.rows
         for s, w in zip(symbols, weights):
-            state, put, factor = self.arcs.get((state, s), (self.rest.get(state, state), s, 1.0))
+            state, put, factor = rows[state][s]
             out.append(put)
             got.append(w * factor)
         return out, got
 
 
-# Symbols: I insult, K threat, T target, N negation, R report, o other; J and L: insult or threat with a target,
-# i and k: negated, q: reported.
-#: A target at most three words before an insult or threat makes it a targeted one.
-TARGETED = Transducer(
-    {(s, "I"): (0, "J" if s else "I", 1.5 if s else 1.0) for s in range(4)}
-    | {(s, "K"): (0, "L" if s else "k", 1.0 if s else 0.3) for s in range(4)}
-    | {(s, "T"): (3, "T", 1.0) for s in range(4)},
-    {0: 0, 1: 0, 2: 1, 3: 2},
-)
-#: A negation at most two words before it weakens it.
-NEGATED = Transducer(
-    {(s, x): (0, "i" if s else x, 0.5 if s else 1.0) for s in range(3) for x in "IJKL"} | {(s, "N"): (2, "N", 1.0) for s in range(3)},
-    {0: 0, 1: 0, 2: 1},
-)
-#: A report governs the rest of its clause.
-REPORTED = Transducer({(0, "R"): (1, "R", 1.0)} | {(1, x): (1, "q", 0.5) for x in "IJKLi"}, {0: 0, 1: 1})
-CASCADE = (TARGETED, NEGATED, REPORTED)
+BACKWARD = Transducer(target_step)
+FORWARD = Transducer(target_step, aimless_step, negation_step, report_step)
 FEATURES = ("plain", "targeted", "threat", "weakened", "clauses", "heaviest")
+#: The feature that a symbol's weight goes to.
+FEATURE_OF = {SYMBOLS.index(s): f for s, f in zip("IJLkiq", (0, 1, 2, 3, 3, 3))}
+
 
+def clause_matches(symbols: list[int], weights: list[float]) -> tuple[list[int], list[float]]:
+    """What both transducers make of one clause's symbols (places in SYMBOLS)."""
+    symbols, weights = BACKWARD.run(symbols[::-1], weights[::-1])
+    return FORWARD.run(symbols[::-1], weights[::-1])
 
-def clause_matches(symbols: list[str], weights: list[float]) -> tuple[list[str], list[float]]:
-    """The cascade's composition on one clause."""
-    for t in CASCADE:
-        symbols, weights = t.run(symbols, weights)
-    return symbols, weights
+
+def quotation_marks(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that are part of a quotation mark, and the places of those marks that have a partner on their line."""
+    n = len(low)
+    padded = np.concatenate([low, np.zeros(2, np.uint8)])
+    two, three = padded[1 : n + 1], padded[2:]
+    wide = (low == 0xE2) & (two == 0x80) & (three >= 0x9C) & (three <= 0x9F)
+    angle = (low == 0xC2) & ((two == 0xAB) | (two == 0xBB))
+    mark = (low == 0x22) | wide | angle
+    part = mark.copy()
+    part[1:] |= wide[:-1] | angle[:-1]
+    part[2:] |= wide[:-2]
+    return part, np.flatnonzero(mark)
 
 
 class Grammar:
@@ -107,10 +174,8 @@ class Grammar:
         for size, stems in by_size.items():
             self.stems[size] = self._table(stems)
         self.whole = self._table(whole)
-        self.kinds = {}
-        for kind, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)):
-            self.kinds |= dict.fromkeys(ws, kind)
-        self.threats = self._table(dict.fromkeys(THREATS, 1.0))
+        kinds = {w: SYMBOLS.index(s) for s, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("K", THREATS)) for w in ws}
+        self.kinds = self._table(kinds)
 
     @staticmethod
     def _table(ws: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +198,17 @@ class Grammar:
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row of FEATURES for each text."""
         low = LOWER[data]
-        inside = ~BREAK[low]
+        out = np.zeros((len(offsets) - 1, len(FEATURES)))
+        part, marks = quotation_marks(low)
+        inside = ~BREAK[low] & ~part
         edge = np.zeros(len(low) + 1, bool)
         edge[offsets] = True
-        start = inside & (np.concatenate([[False], inside[:-1]]) == 0)
-        start |= inside & edge[:-1]
-        stop = inside & (np.concatenate([inside[1:], [False]]) == 0)
-        stop |= inside & edge[1:]
+        start, stop = inside.copy(), inside.copy()
+        start[1:] &= ~inside[:-1] | edge[1:-1]
+        stop[:-1] &= ~inside[1:] | edge[1:-1]
         starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        if not len(starts):
+            return out
         prefix = prefix_hash(low)
         size = ends - starts
         insult = np.zeros(len(starts))
@@ -149,44 +217,45 @@ class Grammar:
             insult[long] = np.maximum(insult[long], self._find(table, span_hash(prefix, starts[long], starts[long] + n)))
         full = span_hash(prefix, starts, ends)
         insult = np.maximum(insult, self._find(self.whole, full))
-        threat = self._find(self.threats, full) > 0
-        out = np.zeros((len(offsets) - 1, len(FEATURES)))
-        hits = np.flatnonzero((insult > 0) | threat)
-        raw = low.tobytes()
-        text = np.searchsorted(offsets, starts[hits], "right") - 1
-        done = -1
-        for h, t in zip(hits.tolist(), text.tolist()):
-            if h <= done:  # its clause has been treated
-                continue
-            lo, hi = int(offsets[t]), int(offsets[t + 1])
-            # the clause around the hit, 64 words to either side at most
-            a = b = h
-            while a > 0 and h - a < 64 and starts[a - 1] >= lo and not CLAUSE_END.search(raw, ends[a - 1], starts[a]):
-                a -= 1
-            while b + 1 < len(starts) and b - h < 64 and ends[b + 1] <= hi and not CLAUSE_END.search(raw, ends[b], starts[b + 1]):
-                b += 1
-            done = b
-            symbols, weights = [], []
-            for i in range(a, b + 1):
-                if insult[i]:
-                    symbols.append("I")
-                    weights.append(float(insult[i]))
-                elif threat[i]:
-                    symbols.append("K")
-                    weights.append(1.0)
-                else:
-                    symbols.append(self.kinds.get(raw[starts[i] : ends[i]].decode("utf-8", "replace"), "o"))
-                    weights.append(0.0)
-            symbols, weights = clause_matches(symbols, weights)
-            row, total = out[t], 0.0
-            for s, w in zip(symbols, weights):
-                if s in "IJLikq" and w:
-                    row[{"I": 0, "J": 1, "L": 2}.get(s, 3)] += w
+        kind = self._find(self.kinds, full).astype(np.int64)
+        kind[insult > 0] = SYMBOLS.index("I")
+        text = np.searchsorted(offsets, starts, "right") - 1
+        # clauses: runs of words of one text without an end mark between them
+        ends_before = np.concatenate([[0], np.cumsum(CLAUSE_END[low])])
+        fresh = np.ones(len(starts), bool)
+        fresh[1:] = (ends_before[starts[1:]] > ends_before[ends[:-1]]) | (text[1:] != text[:-1])
+        first = np.append(np.flatnonzero(fresh), len(starts))
+        hits = np.flatnonzero((insult > 0) | (kind == SYMBOLS.index("K")))
+        if not len(hits):
+            return out
+        quoted = self._quoted(low, offsets, marks, starts)
+        mark = SYMBOLS.index("Q")
+        for c in np.unique(np.searchsorted(first, hits, "right") - 1).tolist():
+            a, b = int(first[c]), int(first[c + 1])
+            symbols, weights = kind[a:b].tolist(), np.where(insult[a:b] > 0, insult[a:b], 1.0).tolist()
+            if marks.size:
+                within = quoted[a:b]
+                at = np.flatnonzero(np.diff(within.astype(np.int8), prepend=0)).tolist()
+                for i in reversed(at):
+                    symbols.insert(i, mark)
+                    weights.insert(i, 1.0)
+            row, total = out[text[a]], 0.0
+            for s, w in zip(*clause_matches(symbols, weights)):
+                if s in FEATURE_OF:
+                    row[FEATURE_OF[s]] += w
                     total += w
             row[4] += total > 0
             row[5] = max(row[5], total)
         return np.log1p(out)
 
+    @staticmethod
+    def _quoted(low: np.ndarray, offsets: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether each word stands within a quotation: an odd number of marks with a partner on their line before it."""
+        lines = np.cumsum(low == 10)[marks] + np.searchsorted(offsets, marks, "right") * (len(low) + 1)
+        _, begin, many = np.unique(lines, return_index=True, return_counts=True)
+        alone = (begin + many - 1)[many % 2 == 1]
+        return np.searchsorted(np.delete(marks, alone), starts) % 2 == 1
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x = self.features(data, offsets)
         return 1 / (1 + np.exp(-np.clip(self.model[0] + x @ np.array(self.model[1:]), -30, 30)))
@@ -203,55 +272,53 @@ def _keys(text: str) -> set[str]:
     return out
 
 
-def learn(texts: list[str], toxic: list[int]) -> Grammar:
-    """Fits lexicon and logistic model. Without texts of both kinds the fixed words stand alone."""
-    bad = [t for t, y in zip(texts, toxic) if y]
-    good = [t for t, y in zip(texts, toxic) if not y]
-    if not bad or not good:
-        return Grammar({w + "$": 3.0 for w in INSULTS}, [-3.0, 1.5, 1.0, 1.0, 0.5, 0.5, 0.5])
-    # what fewer than LEAST_SEEN texts have is sorted out by counts of hashes, so that it needs no memory
-    counts = np.zeros(1 << 22, np.uint16)
-    for t in bad:
-        counts[np.unique([hash(k) & (len(counts) - 1) for k in _keys(t)])] += 1
-    often = (counts >= LEAST_SEEN).tobytes()
-    seen: Counter = Counter()
-    for t in bad:
-        seen.update(k for k in _keys(t) if often[hash(k) & (len(often) - 1)])
-    seen = {k: n for k, n in seen.items() if n >= LEAST_SEEN}
-    clean: Counter = Counter()
-    for t in good:
-        clean.update(k for k in _keys(t) if k in seen)
-    rate = len(good) / len(bad)
-    keep = {k for k, n in seen.items() if clean[k] <= 0.02 * n * rate}
+def _wanted(bad: int, good: int, rate: float) -> bool:
+    return bad >= LEAST_SEEN and good <= RARE * bad * rate
+
+
+def pick(seen: dict[str, tuple[int, int]], pairs: np.ndarray, rate: float) -> dict[str, float]:
+    """The lexicon, greedily, with each entry's weight.
+
+    seen: (toxic, clean) texts of each candidate, in the order of its numbers; pairs: rows (candidate, toxic
+    text); rate: clean texts for each toxic one.
+    """
+    names = list(seen)
     # of equally good ones a whole word, then the longest stem: no wider than the labels ask for
-    names = sorted(keep, key=lambda k: (not k.endswith("$"), -len(k), k))
-    number = {k: i for i, k in enumerate(names)}
-    # (entry, text) in flat arrays: as objects they would take a hundred times the room
-    has = [np.fromiter((number[k] for k in _keys(t) & keep), np.int32) for t in bad]
-    pairs = np.stack([np.concatenate(has), np.repeat(np.arange(len(bad), dtype=np.int32), [len(h) for h in has])], axis=1)
-    cost = np.array([3.0 * clean[k] for k in names])
-    lexicon, covered = {}, np.zeros(len(bad), bool)
-    while len(pairs):
-        gain = np.bincount(pairs[~covered[pairs[:, 1]], 0], minlength=len(names)) - cost
+    by = np.array(sorted(range(len(names)), key=lambda i: (not names[i].endswith("$"), -len(names[i]), names[i])), np.int64)
+    place = np.empty(len(names), np.int64)
+    place[by] = np.arange(len(names))
+    entry, text = place[pairs[:, 0]], pairs[:, 1]
+    cost = np.array([3.0 * seen[names[i]][1] for i in by])
+    lexicon, covered = {}, np.zeros(int(text.max(initial=-1)) + 1, bool)
+    while len(entry):
+        gain = np.bincount(entry[~covered[text]], minlength=len(names)) - cost
         best = int(gain.argmax())
         if gain[best] < LEAST_GAIN:
             break
-        k = names[best]
-        lexicon[k] = round(min(6.0, math.log((seen[k] + 0.5) / (clean[k] / rate + 0.5))), 4)
-        covered[pairs[pairs[:, 0] == best, 1]] = True
-        pairs = pairs[gain[pairs[:, 0]] >= LEAST_GAIN]
-    # a known word that the labels don't speak against stays
+        k = names[by[best]]
+        lexicon[k] = _weight(*seen[k], rate)
+        covered[text[entry == best]] = True
+        more = gain[entry] >= LEAST_GAIN
+        entry, text = entry[more], text[more]
+    return lexicon
+
+
+def _weight(bad: int, good: int, rate: float) -> float:
+    return round(min(6.0, math.log((bad + 0.5) / (good / rate + 0.5))), 4)
+
+
+def with_known(lexicon: dict[str, float], counts: dict[str, tuple[int, int]], rate: float) -> dict[str, float]:
+    """Adds the known insults that the labels don't speak against."""
     for w in (w + "$" for w in INSULTS):
-        if w not in lexicon and clean[w] <= 0.02 * seen.get(w, 0) * rate:
-            lexicon[w] = round(min(6.0, math.log((seen[w] + 0.5) / (clean[w] / rate + 0.5))), 4) if w in seen else 2.0
-    grammar = Grammar(lexicon)
-    x, y = [], []
-    for part, label in ((bad, 1), (good, 0)):
-        for at in range(0, len(part), 500):
-            x.append(grammar.features(*text_bytes(pa.array(part[at : at + 500], pa.large_string()))))
-            y += [label] * len(part[at : at + 500])
-    grammar.model = logistic(np.concatenate(x), np.array(y, float))
-    return grammar
+        bad, good = counts.get(w, (0, 0))
+        if w not in lexicon and good <= RARE * bad * rate:
+            lexicon[w] = _weight(bad, good, rate) if bad else 2.0
+    return lexicon
+
+
+def unlearned() -> Grammar:
+    """What stands without labels of both kinds: the fixed words alone."""
+    return Grammar({w + "$": 3.0 for w in INSULTS}, [-3.0, 1.5, 1.0, 1.0, 0.5, 0.5, 0.5])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> list[float]:
@@ -289,6 +356,70 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and clean texts of each word and stem, batch by batch."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for toxic, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                seen[toxic].update(_keys(text))
+            names = [*seen[0], *seen[1]]
+            many = [[*seen[0].values(), *[0] * len(seen[1])], [*[0] * len(seen[0]), *seen[1].values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(many[1], pa.int64()), pa.array(many[0], pa.int64())], names=["key", "bad", "good"])
+
+
+def _held(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {k: i for i, k in enumerate(shared.value)}
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = [(number[k], d) for d, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()) for k in _keys(text) & number.keys()]
+                entry, doc = zip(*rows) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(entry, pa.int32()), pa.array(doc, pa.int64())], names=["entry", "doc"])
+
+    return run
+
+
+def _rows(grammar: Grammar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                x = grammar.features(*text_bytes(part.column(2)))
+                cols = [pa.array(x[:, i]) for i in range(len(FEATURES))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["doc_id", "toxic", *FEATURES])
+
+    return run
+
+
+def learn(drawn: DataFrame) -> Grammar:
+    """Fits lexicon and logistic model to (doc_id, toxic int, text), a bounded number of rows. Without both kinds the fixed words stand alone."""
+    spark = drawn.sparkSession
+    small_batches(spark)
+    drawn = written(drawn.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")), "drawn")
+    many = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(many) < 2:
+        return unlearned()
+    rate = many[0] / many[1]
+    counts = drawn.mapInArrow(_counted, "key string, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    known = F.col("key").isin([w + "$" for w in INSULTS])
+    counts = counts.where(known | ((F.col("bad") >= LEAST_SEEN) & (F.col("good") <= F.lit(RARE * rate) * F.col("bad"))))
+    # grows with the distinct words of the drawn texts alone, of which few are rare in clean ones
+    got = {r.key: (r.bad, r.good) for r in counts.orderBy("key").collect()}
+    seen = {k: v for k, v in got.items() if _wanted(*v, rate)}
+    shared = spark.sparkContext.broadcast(list(seen))
+    held = drawn.where("toxic = 1").mapInArrow(_held(shared), "entry int, doc long").toArrow()
+    _, text = np.unique(held.column(1).to_numpy(), return_inverse=True)
+    pairs = np.stack([held.column(0).to_numpy().astype(np.int64), text], axis=1) if held.num_rows else np.zeros((0, 2), np.int64)
+    grammar = Grammar(with_known(pick(seen, pairs, rate), got, rate))
+    schema = ", ".join(["doc_id long, toxic int", *(f"{f} double" for f in FEATURES)])
+    rows = drawn.mapInArrow(_rows(grammar), schema).orderBy("doc_id").toArrow()
+    shared.unpersist()
+    forget(drawn)
+    x = np.column_stack([rows.column(f).to_numpy() for f in FEATURES])
+    grammar.model = logistic(x, rows.column("toxic").to_numpy().astype(float))
+    return grammar
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learns from the labelled documents that aren't held out, a bounded number of either kind, drawn by a hash of their ids."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -297,10 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     drawn = draw[0].unionByName(draw[1])
     # at most TOXIC_ROWS + CLEAN_ROWS pairs of numbers: a broadcast of a fixed size
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
-    got = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic").toArrow()
-    texts, toxic = got.column(0).to_pylist(), got.column(1).to_pylist()
-    del got
-    return learn([t or "" for t in texts], toxic)
+    return learn(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
