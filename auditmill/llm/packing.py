@@ -181,13 +181,13 @@ def _deal(places):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, added: bool = True) -> DataFrame:
     """Packs documents (doc_id, text; more columns are ignored) into sequences of at most `capacity` tokens.
 
     Returns a row for each piece: doc_id, piece int, start, length, ids_crc32, sequence_id, offset long. A null
     or empty text is its end token alone. A null doc_id stays null; rows that repeat are documents of their
-    own. An empty table gives no rows. added: the tokenizer file's added tokens become their ids, as the file
-    itself says; else their strings are ordinary text.
+    own. An empty table gives no rows. The tokenizer file's added tokens become their ids, as the file itself
+    says; without added their strings are ordinary text.
     """
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
