@@ -2,10 +2,13 @@
 
 A table's hash rotates a vector by three rounds of random signs and a fast Hadamard transform and takes the
 nearest signed axis; with many vectors a hash is two such axes. Vectors of unlike length get one more
-component, so that the largest inner product is the nearest direction. A query looks into a number of
-buckets of each table, those whose axes it is nearest to; that number is measured: on a bounded sample of
-queries it is the smallest that finds RECALL of the true neighbours. A bucket is scanned in blocks: vectors
-of one block against all queries that look into it, by exact inner products of the original vectors.
+component, so that the largest inner product is the nearest direction. A query looks into a number of buckets
+of each table, those whose axes it is nearest to. How many tables and buckets is measured, alike at every size:
+on a bounded sample of queries, the cheapest pair that finds RECALL of the true neighbours. A bucket is scanned
+in blocks: vectors of one block against all queries that look into it, by exact inner products.
+
+Equal vectors are one: their smallest k + 1 ids stand for them, as no larger one can be among any k nearest.
+So a vector that very many rows share costs as much as any other, as a candidate and as a query.
 """
 
 from __future__ import annotations
@@ -14,19 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditmill.llm.common import written
 
 K = 20
+#: Tables that there are at most.
 TABLES = 8
 #: Share of the sample's true neighbours that the tables must find; queries of the sample.
-RECALL, SAMPLE = 0.96, 200
+RECALL, SAMPLE = 0.95, 200
 #: Vectors of a bucket that are scanned in one block, and vectors a bucket has on average before hashes get a second axis.
 BLOCK, FULL = 4096, 2048
-#: Up to so many vectors all buckets are looked into.
-FEW = 4096
+#: Buckets of all tables up to which their sizes are broadcast: a few bytes each.
+SMALL = 1 << 18
 SEED = 7
 
 
@@ -90,6 +94,19 @@ class Hashes:
             out[i] = a[best // side] * (2 * self.size) + b[best % side]
         return out
 
+    def rank_of(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, table: int) -> np.ndarray:
+        """Which of a query's buckets, nearest first, holds each vector y; of: the number of y's query."""
+        mine, score = self.bucket(y, table), self.near(x, table, 0, True)
+        other = self.near(x, table, 1, True) if self.axes == 2 else None
+        out = np.empty(len(y), np.int64)
+        for q in np.unique(of):
+            mine_of = np.flatnonzero(of == q)
+            whole = score[q] if other is None else (score[q][:, None] + other[q]).ravel()
+            # a bucket's rank: how many buckets come before it, in the order in which they are looked into
+            for i in mine_of:
+                out[i] = np.count_nonzero(whole > whole[mine[i]]) + np.count_nonzero(whole[: mine[i]] == whole[mine[i]])
+        return out
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -100,21 +117,19 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def top_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """For each query its k best of a block, without itself: (ids, scores)."""
-    # einsum adds up a row in the same order whatever else is in the block
-    scores = np.einsum("ij,kj->ik", queries, vectors) if len(queries) * len(vectors) < 4096 else queries @ vectors.T
-    for i, q in enumerate(query_ids):
-        row = np.where(ids == q, -np.inf, scores[i])
+def top_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """For each query its k best of a block: (number, ids, scores)."""
+    scores = queries @ vectors.T
+    # products of a matrix differ in their last bits from those of single vectors, by less than this
+    slack = 1e-12 * queries.shape[1] * np.abs(queries).max(axis=1) * np.abs(vectors).max()
+    for i, row in enumerate(scores):
+        at = np.arange(len(row))
         if len(row) > k:
-            edge = np.partition(row, len(row) - k)[len(row) - k]
-            at = np.flatnonzero(row >= edge)
-        else:
-            at = np.arange(len(row))
-        at = at[best(ids[at], row[at], k)]
-        at = at[np.isfinite(row[at])]
-        # the reported score is one inner product of the two vectors, alike wherever it is taken
-        yield i, ids[at], (vectors[at] * queries[i]).sum(axis=1)
+            at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - slack[i])
+        # the score that counts is one inner product of the two vectors, alike wherever it is taken
+        exact = (vectors[at] * queries[i]).sum(axis=1)
+        first = best(ids[at], exact, k)
+        yield i, ids[at[first]], exact[first]
 
 
 def _scan(k: int):
@@ -142,7 +157,7 @@ def _scan(k: int):
                 ready = ready or (np.concatenate(ids), np.concatenate(vectors))
                 for at in range(lo, hi, 256):
                     to = min(hi, at + 256)
-                    out += [(int(number[at + i]), a.tolist(), s.tolist()) for i, a, s in top_block(number[at:to], matrix[at:to], *ready, k)]
+                    out += [(int(number[at + i]), a.tolist(), s.tolist()) for i, a, s in top_block(matrix[at:to], *ready, k)]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
@@ -198,7 +213,7 @@ def exact(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, x = given.value
         for batch in batches:
-            out = [(int(q[i]), a.tolist(), s.tolist()) for i, a, s in top_block(q, x, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k)]
+            out = [(int(q[i]), a.tolist(), s.tolist()) for i, a, s in top_block(x, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k) if batch.num_rows]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
@@ -206,92 +221,99 @@ def exact(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) ->
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v double[]) of the rows that take part: an id, components that are finite and not all zero, and the most frequent width."""
+    """(id, v double[]) of the rows that take part: an id, components that are finite and not all zero, and the most frequent width. Of rows that share an id the smallest vector."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
     width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return rows.where(F.size("v") == (width.w if width else 0)).dropDuplicates(["id"])
+    return rows.where(F.size("v") == (width.w if width else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def probes_needed(rows: DataFrame, queries: DataFrame, hashes: Hashes, k: int, recall: float) -> int:
-    """Buckets a table that find `recall` of the sample's true neighbours."""
+def probes_needed(rows: DataFrame, queries: DataFrame, hashes: Hashes, n: int, many: int, k: int, recall: float) -> tuple[int, int]:
+    """Tables, and buckets in each, that find `recall` of the sample's true neighbours with the fewest rows sent: n vectors a table, and each of `many` queries once a bucket."""
     sample = [(r.id, list(r.v)) for r in queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    truth = exact(rows, sample, k).select("query_id", F.col("vec_id").alias("id"))
-    near = truth.join(rows, "id").select("query_id", "v").collect()  # SAMPLE * k vectors at most
+    truth = exact(rows, sample, k + 1).where("query_id <> vec_id and rank <= " + str(k + 1)).select("query_id", F.col("vec_id").alias("id"))
+    near = truth.join(rows, "id").select("query_id", "v").collect()  # SAMPLE * (k + 1) vectors at most
+    if not near:
+        return 1, 1
     number = {q: i for i, (q, _) in enumerate(sample)}
     x, y = np.array([v for _, v in sample]), np.array([r.v for r in near])
     of = np.array([number[r.query_id] for r in near])
     first = np.full(len(near), hashes.buckets, np.int64)
+    found = []
     for t in range(hashes.tables):
-        order = hashes.probes(x, t, hashes.buckets if hashes.axes == 1 else 4096)
-        mine = hashes.bucket(y, t)
-        hit = order[of] == mine[:, None]
-        first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), hashes.buckets))
-    return int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))))]) + 1
+        first = np.minimum(first, hashes.rank_of(x, y, of, t))
+        probes = int(np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))))]) + 1
+        found.append((n * (t + 1) + many * probes * (t + 1), t + 1, probes))
+    return min(found)[1:]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL, few: int = FEW) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = K, recall: float = RECALL) -> DataFrame:
     """The k nearest rows, by inner product, of each row whose vec_id is divisible by `every`.
 
     vectors: (vec_id, embedding; more columns are ignored). Returns (query_id, rank from 1, vec_id, score). A
     query isn't its own neighbour; equal scores go by smaller vec_id. Rows that are null, zero, or hold null or
     non-finite components take no part, nor do rows without vec_id or of another width than most; of rows that
-    share a vec_id one takes part. With fewer than k candidates all are returned; an empty table gives no rows.
+    share a vec_id the smallest vector takes part. With fewer than k candidates all are returned; an empty
+    table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = written(usable(vectors), "vectors")
+    every_row = written(usable(vectors), "vectors")
+    # one row for equal vectors: the smallest id names it, the smallest k + 1 stand for it
+    few = Window.partitionBy("v").orderBy("id")
+    rows = every_row.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
+    rows = written(rows.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "v", "ids"), "distinct")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, longest, shortest, width = rows.agg(F.count("*"), F.max(size), F.min(size), F.max(F.size("v"))).first()
-    queries = rows.where(F.col("id") % every == 0)
-    if not n or queries.isEmpty():
+    asked = every_row.where(F.col("id") % every == 0).withColumnRenamed("id", "query_id")
+    asked = written(asked.join(rows.select("v", "id"), "v").select("query_id", "id"), "asked")
+    queries = written(rows.select("id", "v").join(asked.select("id").distinct(), "id", "left_semi"), "queries")
+    many = queries.count()
+    if not many:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tables, axes = (1, 1) if n <= few else (TABLES, 1)
-    hashes = Hashes(width, axes, longest if longest > 1.001 * shortest else 0.0, tables)
+    hashes = Hashes(width, 1, longest if longest > 1.001 * shortest else 0.0)
     if n > FULL * hashes.buckets:
-        hashes = Hashes(width, 2, hashes.longest, tables)
-    many = hashes.buckets if n <= few else probes_needed(rows, queries, hashes, k, recall)
+        hashes = Hashes(width, 2, hashes.longest)
+    tables, probes = probes_needed(rows, queries, hashes, n, many, k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            for t in range(hashes.tables if len(x) else 0):
+            for t in range(tables if len(x) else 0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hashes.bucket(x, t)), batch.column(0), batch.column(1)], names=["tab", "bucket", "id", "v"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            for t in range(hashes.tables if len(x) else 0):
-                into = hashes.probes(x, t, many)
-                again = np.repeat(np.arange(len(x)), into.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(into.size, t, np.int32)), pa.array(into.ravel()), batch.column(0).take(pa.array(again))], names=["tab", "bucket", "id"])
+            for t in range(tables if len(x) else 0):
+                into = hashes.probes(x, t, probes)
+                again = pa.array(np.repeat(np.arange(len(x)), into.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(into.size, t, np.int32)), pa.array(into.ravel()), batch.column(0).take(again), batch.column(1).take(again)], names=["tab", "bucket", "id", "v"])
 
-    schema = "tab int, bucket long, id long"
-    stored = written(rows.mapInArrow(index, f"{schema}, v array<double>"), "index")
+    schema = "tab int, bucket long, id long, v array<double>"
+    stored = written(rows.select("id", "v").mapInArrow(index, schema), "index")
     blocks = stored.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # a row a bucket, of which there are tables * hashes.buckets at most
+    blocks = F.broadcast(blocks) if tables * hashes.buckets <= SMALL else blocks
     vec = stored.join(blocks, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"), "id", "v")
-    ask = queries.mapInArrow(look, schema).join(blocks, ["tab", "bucket"])
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries, "id").select("tab", "bucket", "block", F.lit(1).alias("query"), "id", "v")
-    line = vec.unionByName(ask).repartition("tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block", "query", "id")
-    found = written(_merge(line.mapInArrow(_scan(k), "query_id long, ids array<long>, scores array<double>"), k), "nearest")
-    # a query whose buckets held too few scans all
-    got = found.groupBy("query_id").agg(F.count("*").alias("c"))
-    short = queries.join(got.where(F.col("c") >= min(k, n - 1)), queries.id == got.query_id, "left_anti")
-    if n <= few or short.isEmpty():
-        return found
-    again = [exact(rows, [(r.id, list(r.v)) for r in part], k) for part in _batches(short, 1000)]
-    out = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
-    for more in again:
-        out = out.unionByName(more)
-    return out
-
-
-def _batches(df: DataFrame, size: int):
-    held = []
-    for r in df.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+
+    def scanned(ask: DataFrame, vec: DataFrame) -> DataFrame:
+        ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tab", "bucket", "block", F.lit(1).alias("query"), "id", "v")
+        line = vec.unionByName(ask).repartition("tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block", "query", "id")
+        return written(_merge(line.mapInArrow(_scan(k + 1), "query_id long, ids array<long>, scores array<double>"), k + 1), "nearest")
+
+    found = scanned(queries.mapInArrow(look, schema).join(blocks, ["tab", "bucket"]), vec)
+    # a query whose buckets held too few looks into all buckets of the first table
+    got = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(k + 1, n))
+    short = written(queries.join(got, queries.id == got.query_id, "left_anti"), "short")
+    if not short.isEmpty():
+        whole = short.crossJoin(blocks.where("tab = 0"))  # these queries against all rows, a block at a time
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(scanned(whole, vec.where("tab = 0")))
+    # the vectors found, as the ids they stand for; of these the first k + 1, and of them all but the query itself
+    members = found.select(F.col("query_id").alias("of"), F.col("vec_id").alias("id"), "score").join(rows.select("id", "ids"), "id")
+    members = members.select("of", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("of").orderBy(F.desc("score"), "vec_id")
+    members = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    lists = members.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
+    own = asked.join(lists, F.col("id") == F.col("of")).select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
+    return own.select("query_id", F.posexplode("near").alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")
