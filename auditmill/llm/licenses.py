@@ -1,14 +1,17 @@
 """Licence scan by a positional index of licence words, rarest first.
 
-The index has, for each template, its words by position. Document frequencies of all template words are
-counted over the whole table and give each word's weight (IDF). A template is looked up by its few rarest
-words: each place of one of them in a file proposes an alignment; the template's other words are then
-intersected at their relative positions, and an alignment counts if its mandatory key phrase stands there,
-word by word, and enough of the template's weight is found.
+The index has postings: for each word its places (template, position) in the templates, which are notices and
+the paragraphs of licences' published texts. Document frequencies of all template words are counted over the
+whole table and give each word's weight (IDF). A file is looked up by its own licence words, highest weight
+first, until every template whose key phrase it has the words for has been looked up by one; each place of such
+a word, less its positions in the postings, proposes alignments. The template's other words are intersected at
+their relative positions, and an alignment counts if its mandatory key phrase stands there, word by word, and
+enough of the template's weight is found.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,35 +24,50 @@ from auditmill.llm.common import chunks, prefix_hash, small_batches, span_hash,
 #: Bytes that are part of no word: all of ASCII but digits and lower-case letters (upper case is lowered before).
 BREAK = np.ones(256, bool)
 BREAK[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-#: Words by which a template is looked up.
-ANCHORS = 2
 #: Share of a template's weight that an alignment must have.
 ENOUGH = 0.5
 
 # Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Customary notices of licences as (label, notice, mandatory key phrase).
+# Customary notices of licences, and paragraphs of their published texts, as (label, words, mandatory key phrase).
 NOTICES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "licensed under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license", "affero general public license"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("bsd", "licensed under the bsd license", "bsd license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("creative-commons", "licensed under a creative commons attribution license", "creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("mit", "released under the MIT license", "mit license"),
+    ("mit", "licensed under the MIT license", "mit license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "permission is hereby granted free of charge"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "permission notice shall be included in all copies or substantial portions"),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE', "fitness for a particular purpose and noninfringement"),
+    ("apache", "licensed under the Apache License, Version 2.0", "apache license"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "you may not use this file except in compliance with the license"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License", "distributed under the license is distributed on an as is basis"),
+    ("gpl", "this work is licensed under the GNU General Public License version 3", "gnu general public license"),
+    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public license"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public license"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", "gnu general public license"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License", "lesser general public license"),
+    ("agpl", "under the terms of the GNU Affero General Public License", "affero general public license"),
+    ("mpl", "subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla public license"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "names of its contributors may be used to endorse or promote products"),
+    ("bsd", "licensed under the BSD license", "bsd license"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "permission is granted to anyone to use this software for any purpose"),
+    ("boost", "licensed under the Boost Software License, Version 1.0", "boost software license"),
+    ("cc-by", "licensed under CC BY 4.0", "cc by 4"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0", "cc by sa"),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", "cc by nc"),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0", "cc by nd"),
+    ("creative-commons", "licensed under a Creative Commons Attribution license", "creative commons attribution"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
-]
+]
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def _word_hash(word: str) -> np.uint64:
@@ -61,45 +79,68 @@ class Index:
     """Templates by position; df: documents that hold each word, of `docs` documents."""
 
     def __init__(self, df: dict[str, int] | None = None, docs: int = 0):
-        self.templates = [(label, text.split(), text.split(), True) for text, label in BASE.items()]
-        self.templates += [(label, notice.split(), key.split(), False) for label, notice, key in NOTICES]
+        split = lambda text: WORD.findall(text.lower())
+        self.templates = [(label, split(text), split(text), True) for text, label in BASE.items()]
+        self.templates += [(label, split(notice), split(key), False) for label, notice, key in NOTICES]
         self.vocabulary = sorted({w for _, ws, _, _ in self.templates for w in ws})
         hashes = np.array([_word_hash(w) for w in self.vocabulary], np.uint64)
         self.by = np.argsort(hashes)
         self.hashes = hashes[self.by]
         number = {w: i for i, w in enumerate(self.vocabulary)}
         df = df or {}
-        self.idf = np.array([np.log((docs + 1) / (df.get(w, 0) + 0.5)) + 1e-9 for w in self.vocabulary])
-        self.idf = np.maximum(self.idf, 1e-6)
-        self.rows = []
-        for label, ws, key, base in self.templates:
-            ids = np.array([number[w] for w in ws])
-            at = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key)
-            # the rarest distinct words of the key phrase propose alignments: each alignment has all of them
-            rare = sorted(range(at, at + len(key)), key=lambda i: (-self.idf[ids[i]], i))[: 1 if base else ANCHORS]
-            self.rows.append((label, ids, at, len(key), rare, base))
+        self.idf = np.maximum([np.log((docs + 1) / (df.get(w, 0) + 0.5)) for w in self.vocabulary], 1e-6)
+        self.ids = [np.array([number[w] for w in ws]) for _, ws, _, _ in self.templates]
+        self.key_at = [next(i for i in range(len(ws)) if ws[i : i + len(key)] == key) for _, ws, key, _ in self.templates]
+        self.key_size = [len(key) for _, _, key, _ in self.templates]
+        # which words a key phrase has, and the one of most weight among them, of equal ones the first in order
+        self.keys = np.zeros((len(self.vocabulary), len(self.templates)), np.int32)
+        for t, (_, _, key, _) in enumerate(self.templates):
+            self.keys[[number[w] for w in set(key)], t] = 1
+        self.anchor = np.array([max((self.idf[number[w]], -number[w]) for w in key)[1] * -1 for _, _, key, _ in self.templates])
+        # postings: a word's places in the templates, those within key phrases; all of them are in every true alignment
+        places = sorted((number[w], t, self.key_at[t] + i) for t, (_, _, key, _) in enumerate(self.templates) for i, w in enumerate(key))
+        self.post_word, self.post_template, self.post_at = (np.array(c) for c in zip(*places))
 
     def numbers(self, hashed: np.ndarray) -> np.ndarray:
         """The vocabulary's number of each word, or -1."""
         i = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
         return np.where(self.hashes[i] == hashed, self.by[i], -1)
 
+    def alignments(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proposed alignments, each once: text, template, start. By each file's licence words of most weight."""
+        known = np.flatnonzero(numbers >= 0)
+        text = np.searchsorted(first, known, "right") - 1
+        has = np.zeros((len(first) - 1, len(self.vocabulary)), bool)
+        has[text, numbers[known]] = True
+        # templates whose key phrase a file has all words for; the words that it is looked up by
+        open_ = has.astype(np.float32) @ self.keys == self.keys.sum(axis=0)
+        asked = np.zeros_like(has)
+        t, template = np.nonzero(open_)
+        asked[t, self.anchor[template]] = True
+        hit = asked[text, numbers[known]]
+        at, text = known[hit], text[hit]
+        lo, hi = (np.searchsorted(self.post_word, numbers[at], side) for side in ("left", "right"))
+        many = hi - lo
+        post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+        text, template, start = np.repeat(text, many), self.post_template[post], np.repeat(at, many) - self.post_at[post]
+        found = np.stack([text, template, start])[:, open_[text, template]]
+        return tuple(np.unique(found, axis=1)) if found.size else tuple(found)
+
     def scan(self, numbers: np.ndarray, first: np.ndarray):
         """Alignments that hold, over texts laid end to end: (text, start of the key phrase, label, share of weight, base)."""
-        padded = np.concatenate([numbers, np.full(64, -1)])
-        for label, ids, at, size, rare, base in self.rows:
-            starts = np.unique(np.concatenate([np.flatnonzero(numbers == ids[i]) - i for i in rare]))
-            starts = starts[starts + at >= 0]
-            if not len(starts):
-                continue
-            text = np.searchsorted(first, starts + at, "right") - 1
-            place = starts[:, None] + np.arange(len(ids))
+        texts, templates, starts = self.alignments(numbers, first)
+        for t in np.unique(templates).tolist():
+            label, _, _, base = self.templates[t]
+            ids, at, size = self.ids[t], self.key_at[t], self.key_size[t]
+            mine = templates == t
+            text, start = texts[mine], starts[mine]
+            place = start[:, None] + np.arange(len(ids))
             inside = (place >= first[text][:, None]) & (place < first[text + 1][:, None])
-            hit = inside & (padded[np.clip(place, 0, len(padded) - 1)] == ids)
+            hit = inside & (numbers[np.clip(place, 0, len(numbers) - 1)] == ids)
             whole = hit[:, at : at + size].all(axis=1)
             share = (hit * self.idf[ids]).sum(axis=1) / self.idf[ids].sum()
             for k in np.flatnonzero(whole & (share >= ENOUGH)):
-                yield int(text[k]), int(starts[k] + at), label, float(share[k]), base
+                yield int(text[k]), int(start[k] + at), label, float(share[k]), base
 
 
 def _presence(index: Index):
