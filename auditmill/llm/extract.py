@@ -1,10 +1,17 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier turns each block's features (its ancestors' tags and
-class names, link density, length, punctuation) into the costs of calling it content or boilerplate; these
-are the capacities of its edges from the source and to the sink. Blocks next to each other, and blocks whose
-lowest common ancestor is near, are joined by edges whose capacity is the price of labelling them unlike.
-The minimum cut, found by maximum flow, is the cheapest labelling of the whole page.
+A page is cut into blocks of text. A classifier gives each block log-odds of being content; these become the
+capacities of its edges from the source and to the sink. They have two parts: what the markup says (the tags
+and names of the elements around the block, with stated weights), and what the text says (length, share of
+linked text, end mark, share of letters, kind of block), a logistic model that is fitted to the pages at hand.
+Its labels are weak ones: blocks in an article or main without a contrary name are content, blocks in
+navigation, footers, forms and the like are not; blocks that the markup says nothing of have none. What the
+text says is bounded by TEXT_MOST, so that it decides where the markup is silent.
+
+Blocks next to each other, and blocks with a near common ancestor, are joined by edges whose capacity is the
+price of labelling them unlike; it is of the same size as TEXT_MOST, so that a block which reads like the other
+kind follows its neighbours, and one that the markup names doesn't. The minimum cut, found by maximum flow, is
+the cheapest labelling of the whole page.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +54,15 @@ NAMES = [
     (re.compile(r"(?:^|[-_\s])(?:cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|share|sharing|social|tags|hidden)(?:[-_\s\d]|$)"), -8.0),
     (re.compile(r"(?:^|[-_\s])(?:article|content|entry|post|story|body|main|text)(?:[-_\s\d]|$)"), 1.0),
 ]
-#: Price of labelling two neighbours unlike, and of two blocks whose common ancestor is one or two elements up.
-NEXT, NEAR = 0.4, 0.6
+#: Price of labelling two neighbours unlike, and of two blocks whose common ancestor is one element up (half of it for two).
+NEXT, NEAR = 0.3, 1.5
+#: Log-odds that a text's own features can give at most, either way.
+TEXT_MOST = 2.5
+#: Pages, and blocks of them, that the text's model is fitted to at most; blocks of either kind that it needs.
+FIT_PAGES, FIT_BLOCKS, LEAST = 1000, 40_000, 50
+#: The text's model where there is nothing to fit it to, and what a fitted one is drawn to: intercept, then the weights of `text_features`.
+PRIOR = (-0.6, 0.35, -3.0, 0.7, 0.5, 0.4, -0.3)
+RIDGE = 20.0
 #: Names say little against an element that holds so much of the page's text, and nothing against one around an article or main with so much of it.
 MOST, SHARE, LITTLE = 0.7, 0.2, -1.0
 
@@ -160,16 +175,77 @@ def ease(found: list[Block], texts: list[str]) -> None:
         b.path = tuple(reversed(path))
 
 
-def log_odds(block: Block, text: str) -> float:
-    """The classifier: log-odds that a block is content."""
-    path = [odds + names for _, _, odds, names in block.path]
-    bad, good = min([0.0, *path]), max([0.0, *path])
+def text_features(block: Block, text: str) -> tuple[float, ...]:
+    """Length, share of linked text, end mark, share of letters, whether it is a paragraph, whether it is an item of a list."""
     n = len(text)
-    score = -0.4 + good + bad + 0.3 * math.log1p(n / 20)
-    score -= 3.0 * min(1.0, block.linked / max(1, n))
-    if text[-1] in ".!?:;\"'»”…。":
-        score += 0.7
-    return score
+    ends = text[-1] in ".!?:;\"'»”…。"
+    tag = block.path[-1][1] if block.path else ""
+    letters = sum(c.isalpha() for c in text) / n
+    return math.log1p(n / 20), min(1.0, block.linked / n), float(ends), letters - 0.7, float(tag in ("p", "pre", "blockquote")), float(tag == "li")
+
+
+def markup_odds(block: Block) -> float:
+    """What the elements around a block say: the strongest statement of either kind."""
+    path = [odds + names for _, _, odds, names in block.path]
+    return max([0.0, *path]) + min([0.0, *path])
+
+
+def log_odds(block: Block, text: str, model: tuple[float, ...] = PRIOR) -> float:
+    """Log-odds that a block is content: the markup's, and the text's within its bound."""
+    own = model[0] + sum(w * x for w, x in zip(model[1:], text_features(block, text)))
+    return markup_odds(block) + max(-TEXT_MOST, min(TEXT_MOST, own))
+
+
+def weak_label(block: Block) -> int | None:
+    """1 in an article or main, 0 where a tag or name says boilerplate, None where the markup is silent or of two minds."""
+    good = any(tag in ("article", "main") for _, tag, _, _ in block.path)
+    bad = any(odds <= -5 or names <= -5 for _, _, odds, names in block.path)
+    return None if good == bad else int(good)
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """The text's model for features x and weak labels y: a logistic one, both kinds weighing the same, drawn to PRIOR. With too few of a kind it is PRIOR."""
+    good = int(y.sum())
+    if good < LEAST or len(y) - good < LEAST:
+        return PRIOR
+    x = np.column_stack([np.ones(len(x)), x])
+    # both kinds together weigh as much as 1,000 blocks, however many there are
+    weight = np.where(y == 1, 500.0 / good, 500.0 / (len(y) - good))
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - RIDGE * (w - prior))
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in w)
+
+
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """Fits the text's model to weak labels of at most FIT_PAGES pages, drawn by a hash of their html, and FIT_BLOCKS of their blocks."""
+    names = [f"x{i}" for i in range(len(PRIOR) - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = blocks(page)
+                texts = [b.text() for b in found]
+                ease(found, texts)
+                rows += [(h, i, y, *text_features(b, t)) for i, (b, t) in enumerate(zip(found, texts)) if (y := weak_label(b)) is not None]
+            cols = list(zip(*rows)) or [()] * (3 + len(names))
+            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h", "i", "y", *names])
+
+    text = F.col("html").cast("string")
+    drawn = pages.select(F.xxhash64(text).alias("h"), text.alias("html")).where("html <> ''").orderBy("h").limit(FIT_PAGES)
+    rows = drawn.mapInArrow(run, ", ".join(["h long, i int, y int", *(f"{n} double" for n in names)]))
+    got = rows.orderBy("h", "i").limit(FIT_BLOCKS).toArrow()  # a few numbers a block
+    if not got.num_rows:
+        return PRIOR
+    return fitted(np.column_stack([got.column(n).to_numpy() for n in names]), got.column("y").to_numpy())
 
 
 class Flow:
@@ -233,13 +309,13 @@ class Flow:
                     turn[a] += 1
 
 
-def label(found: list[Block], texts: list[str]) -> list[bool]:
+def label(found: list[Block], texts: list[str], model: tuple[float, ...] = PRIOR) -> list[bool]:
     """Which blocks are content: the source's side of the minimum cut."""
     n = len(found)
     ease(found, texts)
     flow = Flow(n + 2)
     for i, (b, t) in enumerate(zip(found, texts)):
-        x = log_odds(b, t)
+        x = log_odds(b, t, model)
         # costs of the two labels: -log of their probabilities
         flow.join(n, i, math.log1p(math.exp(min(x, 30.0))) if x < 30 else x)
         flow.join(i, n + 1, math.log1p(math.exp(min(-x, 30.0))) if x > -30 else -x)
@@ -247,39 +323,40 @@ def label(found: list[Block], texts: list[str]) -> list[bool]:
     for i, b in enumerate(found):
         if i:
             flow.join(i - 1, i, NEXT, NEXT)
-        for up in (1, 2):  # the block's own element, and the one around it
+        for up in (1, 2):  # the element that the block's own stands in, and the one around that
             if len(b.path) > up and b.path[-1 - up][1] not in ("body", "html"):
                 key = (up, b.path[-1 - up][0])
-                j = last.get(key)
-                if j is not None and j != i - 1:
-                    flow.join(j, i, NEAR / up, NEAR / up)
-                elif j is not None:
-                    flow.join(j, i, NEAR / up / 2, NEAR / up / 2)
+                if key in last:
+                    flow.join(last[key], i, NEAR / up, NEAR / up)
                 last[key] = i
     return flow.source_side(n, n + 1)[:n]
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, model: tuple[float, ...] = PRIOR) -> str:
     """The page's content blocks, white space within a block made one space, joined by one space."""
     found = blocks(page)
     if not found:
         return ""
     texts = [b.text() for b in found]
-    return " ".join(t for t, keep in zip(texts, label(found, texts)) if keep)
+    return " ".join(t for t, keep in zip(texts, label(found, texts, model)) if keep)
+
 
+def _texts(model: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x, model) if x else "" for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x) if x else "" for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    return run
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, model: tuple[float, ...] | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages (page_id, url, html; more columns are ignored).
 
-    Null or empty html, or a page without content, gives an empty text; null ids and urls stay null; rows that
-    repeat come through; an empty table gives no rows.
+    The text's model is fitted to the pages unless it is given. Null or empty html, or a page without content,
+    gives an empty text; null ids and urls stay null; rows that repeat come through; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
+    model = model or fit(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_texts(model), "page_id long, url string, text string, n_chars long")
