@@ -6,11 +6,14 @@ with windows whose bytes around the anchor (the core, 216 bytes that every windo
 the same. Neighbouring windows of one anchor and block form a segment. Only segments whose core occurs
 again go on; segments with the same bytes are one, with a count.
 
-What decides. Segments are dealt by core into shards. A shard's segments are laid end to end; a suffix array
-is built by prefix doubling that refines only groups not yet sorted (Larsson and Sadakane), down to the
-window's length and no further; Kasai's common prefixes of neighbours then tell which windows are repeated.
-A core with more segments than a shard holds is cut over several shards; each gives its distinct windows as
-a sorted run, the runs are cut at the same places, and each range is merged by binary search.
+What decides. Segments are dealt by core into shards; a core with more segments than a task should hold is
+dealt over several tasks. A shard's segments are laid end to end; a suffix array is built by prefix doubling
+that refines only groups not yet sorted (Larsson and Sadakane), down to the window's length and no further;
+Kasai's common prefixes of neighbours then tell which windows are repeated. A core that more than one shard
+holds gives, from each, its distinct windows as a sorted run; the runs are cut at the same places, and each
+range is merged by binary search. A window stands in its run as two numbers of 64 bits, so that a run's size
+doesn't grow with the window's length: windows of one core that agree in both are taken for equal, as are
+segments that agree in their core's number, their own and their length.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of segments that one suffix array covers.
 SHARD_BYTES = 1 << 20
+#: Bytes of one core's segments that a task gets; a larger core is dealt over several.
+TASK_BYTES = 16 << 20
 #: Window starts that are sampled at once, and bits for a place among them.
 SLICE, PLACE = 1 << 22, 23
 
@@ -189,74 +194,87 @@ def _sample(length: int):
 
 
 # ---------------------------------------------------------------- shards
-_RUNS = "core long, seg long, n int, runs array<struct<a:int,b:int>>, run int, prints array<long>, where array<struct<seg:long,n:int,w:int>>"
+_RUNS = "core long, seg long, n int, runs array<struct<a:int,b:int>>, run int, prints array<long>, again array<long>, where array<struct<seg:long,n:int,w:int>>"
+_SPAN, _WHERE = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("seg", pa.int64()), ("n", pa.int32()), ("w", pa.int32())])
+_RUN_TYPES = [("core", pa.int64()), ("seg", pa.int64()), ("n", pa.int32()), ("runs", pa.list_(_SPAN)), ("run", pa.int32()), ("prints", pa.list_(pa.int64())), ("again", pa.list_(pa.int64())), ("where", pa.list_(_WHERE))]
+
+
+def window_prints(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent numbers of each window: the polynomial hash of its bytes, and that of its bytes exchanged for others."""
+    other = np.random.Generator(np.random.Philox(20240502)).permutation(256).astype(np.uint8)
+    return tuple(signed(span_hash(prefix_hash(t), starts, starts + length)) for t in (text, other[text] ^ np.uint8(0x5B)))
 
 
 def _shards(length: int, shard_bytes: int):
-    """Streams segments sorted by core; gives each segment's repeated windows as runs, and sorted runs of the windows of cores that one shard can't hold."""
+    """Streams segments sorted by core and share; gives each segment's repeated windows as runs, and sorted runs of the windows of cores that one shard can't hold."""
 
-    def solve(core: np.ndarray, seg: list, n: list, body: list[bytes], whole: bool, number: int):
+    def solve(rows: list[tuple], number: int | None):
+        core, _, seg, n, body = (list(x) for x in zip(*((c, *r) for (c, *_), *r in rows)))
         text = np.frombuffer(b"".join(body), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(b) for b in body])[:-1]]).astype(np.int64)
         starts = np.concatenate([np.arange(a, a + k) for a, k in zip(at.tolist(), n)])
         twice, group = repeated_windows(text, starts, length)
-        rows, k = [], 0
+        out, k = [], 0
+        none = dict.fromkeys(name for name, _ in _RUN_TYPES)
         for c, s, m in zip(core, seg, n):
             edge = np.diff(np.concatenate([[0], twice[k : k + m].view(np.int8), [0]]))
-            rows.append({"core": c, "seg": s, "n": m, "runs": [{"a": int(x), "b": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))], "run": None, "prints": None, "where": None})
+            runs = [{"a": int(x), "b": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
+            out.append(none | {"core": c, "seg": s, "n": m, "runs": runs})
             k += m
-        if not whole:
+        if number is not None:
             _, one = np.unique(group, return_index=True)
-            prefix = prefix_hash(text)
-            prints = signed(span_hash(prefix, starts[one], starts[one] + length))
-            by = np.argsort(prints)
-            owner = np.repeat(np.arange(len(n)), n)
-            inner = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)
-            rows.append({"core": core[0], "seg": None, "n": None, "runs": None, "run": number, "prints": prints[by].tolist(), "where": [{"seg": seg[owner[i]], "n": n[owner[i]], "w": int(inner[i])} for i in one[by]]})
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("core", pa.int64()), ("seg", pa.int64()), ("n", pa.int32()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("run", pa.int32()), ("prints", pa.list_(pa.int64())), ("where", pa.list_(pa.struct([("seg", pa.int64()), ("n", pa.int32()), ("w", pa.int32())])))]))
+            prints, again = window_prints(text, starts[one], length)
+            by = np.lexsort((again, prints))
+            owner = np.repeat(np.arange(len(n)), n)[one[by]]
+            inner = (np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n))[one[by]]
+            where = [{"seg": seg[i], "n": n[i], "w": w} for i, w in zip(owner.tolist(), inner.tolist())]
+            out.append(none | {"core": core[0], "run": number, "prints": prints[by].tolist(), "again": again[by].tolist(), "where": where})
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema(_RUN_TYPES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole cores, then the core that now comes in
-        size, own, cut = 0, 0, 0  # bytes held, of them of the last core; shards that the last core has filled
+        # whole cores share a shard; those that are dealt over tasks, or turn out too large, give runs
+        held: list[tuple] = []
+        size, own, cut = 0, 0, 0  # bytes held, of them of the last core and share; shards that these have filled
         last = None
-
-        def flush(rows: list[tuple], whole: bool, number: int):
-            core, seg, n, body = (list(x) for x in zip(*rows))
-            return solve(core, seg, n, body, whole, number)
-
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("core", "seg", "n", "body"))):
-                if row[0] != last:
-                    if cut and held:
-                        yield flush(held, False, cut)
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("core", "share", "shares", "seg", "n", "body"))):
+                core, share, shares, *rest = row
+                if (core, share) != last:
+                    alone = held and (cut or last_shares > 1)
+                    if held and (alone or shares > 1 or size > shard_bytes):
+                        yield solve(held, (last[1] << 16) + cut if alone else None)
                         held, size = [], 0
-                    elif size > shard_bytes:
-                        yield flush(held, True, 0)
-                        held, size = [], 0
-                    last, own, cut = row[0], 0, 0
+                    last, last_shares, own, cut = (core, share), shares, 0, 0
                 elif own > shard_bytes:
                     mine = [r for r in held if r[0] == last]
                     if len(mine) < len(held):
-                        yield flush(held[: len(held) - len(mine)], True, 0)
-                    yield flush(mine, False, cut)
+                        yield solve(held[: len(held) - len(mine)], None)
+                    yield solve(mine, (share << 16) + cut)
                     held, size, own, cut = [], 0, 0, cut + 1
-                held.append(row)
-                size += len(row[3])
-                own += len(row[3])
+                held.append(((core, share), None, *rest))
+                size += len(rest[2])
+                own += len(rest[2])
         if held:
-            yield flush(held, not cut, cut)
+            yield solve(held, (last[1] << 16) + cut if cut or last_shares > 1 else None)
 
     return run
 
 
+_PAIR = np.dtype([("p", np.int64), ("q", np.int64)])
+
+
 def merge_runs(known: tuple[np.ndarray, np.ndarray], run: np.ndarray, base: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Merges a sorted run into what is known by binary search; also gives the numbers of entries that met an equal."""
-    prints, number = known
-    at = np.searchsorted(prints, run)
-    hit = (at < len(prints)) & (prints[np.minimum(at, len(prints) - 1)] == run) if len(prints) else np.zeros(len(run), bool)
+    """Merges a sorted run (pairs of numbers) into what is known by binary search; also gives the numbers of entries that met an equal."""
+    pairs, number = known
+    # the first numbers find the place; where several entries share one, the second tell them apart
+    lo, hi = (np.searchsorted(pairs["p"], run["p"], side) for side in ("left", "right"))
+    at, hit = lo.copy(), np.zeros(len(run), bool)
+    for i in np.flatnonzero(hi > lo).tolist():
+        at[i] = lo[i] + np.searchsorted(pairs["q"][lo[i] : hi[i]], run["q"][i])
+        hit[i] = at[i] < hi[i] and pairs["q"][at[i]] == run["q"][i]
     met = np.concatenate([number[at[hit]], base + np.flatnonzero(hit)])
     new = ~hit
-    return (np.insert(prints, at[new], run[new]), np.insert(number, at[new], base + np.flatnonzero(new))), met
+    return (np.insert(pairs, at[new], run[new]), np.insert(number, at[new], base + np.flatnonzero(new))), met
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +283,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["core", "seg", "n", "a", "b"]
     for batch in batches:
         rows = []
-        for core, part, prints, places in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("core", "part", "prints", "where"))):
+        for core, part, prints, again, places in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("core", "part", "prints", "again", "where"))):
             if (core, part) != last:
-                last, known, where = (core, part), (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
-            known, met = merge_runs(known, np.array(prints, np.int64), len(where))
+                last, known, where = (core, part), (np.zeros(0, _PAIR), np.zeros(0, np.int64)), []
+            run = np.empty(len(prints), _PAIR)
+            run["p"], run["q"] = prints, again
+            known, met = merge_runs(known, run, len(where))
             where += places
             rows += [(core, where[i]["seg"], where[i]["n"], where[i]["w"], where[i]["w"] + 1) for i in met.tolist()]
         cols = list(zip(*rows)) or [()] * 5
@@ -304,7 +324,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(edges, pa.list_(pa.int32()))], names=["k1", "k2", "n_removed", "n_spans", "edges"])
 
 
-def _found(docs: DataFrame, text: str, length: int, shard_bytes: int) -> tuple[DataFrame, dict[str, str]]:
+def _found(docs: DataFrame, text: str, length: int, shard_bytes: int, task_bytes: int) -> tuple[DataFrame, dict[str, str]]:
     """Each row's columns under other names, so that none can clash, with what is removed and what is kept."""
     small_batches(docs.sparkSession)
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash with ours
@@ -317,19 +337,24 @@ def _found(docs: DataFrame, text: str, length: int, shard_bytes: int) -> tuple[D
     # copies of a text have the same keys, so they are one row from here on, with their number
     mine = written(found.join(again, "core", "left_semi").groupBy("core", "seg", "n", "k1", "k2", "lo").agg(F.count("*").alias("c")), "candidates")
     parts = written(mine.groupBy("core", "seg", "n").agg(F.sum("c").alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("of")), "parts")
-    several = parts.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    several = parts.groupBy("core").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + length - 1).alias("bytes")).where("kinds > 1")
+    # written, so that its size is known when the join with it is planned: it is small or empty
+    large = written(several.select("core", F.ceil(F.col("bytes") / task_bytes).cast("int").alias("shares")).where("shares > 1"), "large")
     want = parts.join(several, "core", "left_semi").select("of.k1", "of.k2", F.struct("core", "seg", "n", "of.lo", (F.col("n") + length - 1).alias("bytes")).alias("w"))
     want = want.groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
     texts = long.join(want.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text"))
     bodies = texts.join(want, ["k1", "k2"]).select("text", "want").mapInArrow(_slices, "core long, seg long, n int, body binary")
-    shards = bodies.repartition("core").sortWithinPartitions("core", "seg", "n").mapInArrow(_shards(length, shard_bytes), _RUNS)
+    # cores that are dealt over several tasks are few: each has more than task_bytes of distinct segments
+    shares = F.coalesce("shares", F.lit(1))
+    bodies = bodies.join(large, "core", "left").select("core", F.pmod(F.xxhash64("seg", "n"), shares).cast("int").alias("share"), shares.alias("shares"), "seg", "n", "body")
+    shards = bodies.repartition("core", "share").sortWithinPartitions("core", "share", "seg", "n").mapInArrow(_shards(length, shard_bytes), _RUNS)
     shards = written(shards, "shards")
     inside = shards.where("run is null").select("core", "seg", "n", F.explode("runs").alias("r")).select("core", "seg", "n", "r.a", "r.b")
     # sorted runs of a core are cut by the leading bits of their entries: the cuts are the same for all runs
-    cut = shards.where("run is not null").select("core", "run", F.explode(F.arrays_zip("prints", "where")).alias("x"))
-    cut = cut.select("core", "run", F.shiftright("x.prints", 58).alias("part"), F.col("x.prints").alias("p"), F.col("x.where").alias("w"))
-    cut = cut.groupBy("core", "run", "part").agg(F.array_sort(F.collect_list(F.struct("p", "w"))).alias("s"))
-    cut = cut.select("core", "part", "run", F.col("s.p").alias("prints"), F.col("s.w").alias("where"))
+    cut = shards.where("run is not null").select("core", "run", F.explode(F.arrays_zip("prints", "again", "where")).alias("x"))
+    cut = cut.select("core", "run", F.shiftright("x.prints", 58).alias("part"), F.col("x.prints").alias("p"), F.col("x.again").alias("q"), F.col("x.where").alias("w"))
+    cut = cut.groupBy("core", "run", "part").agg(F.array_sort(F.collect_list(F.struct("p", "q", "w"))).alias("s"))
+    cut = cut.select("core", "part", "run", F.col("s.p").alias("prints"), F.col("s.q").alias("again"), F.col("s.w").alias("where"))
     across = cut.repartition("core", "part").sortWithinPartitions("core", "part", "run").mapInArrow(_merge, "core long, seg long, n int, a int, b int")
     full = parts.where("c > 1").select("core", "seg", "n", F.lit(0).alias("a"), F.col("n").alias("b"))
     runs = inside.unionByName(across).unionByName(full)
@@ -343,7 +368,7 @@ def _found(docs: DataFrame, text: str, length: int, shard_bytes: int) -> tuple[D
     return out.withColumns({"n_bytes": F.octet_length("text").cast("long"), "n_removed": F.coalesce("n_removed", F.lit(0)).cast("long"), "n_spans": F.coalesce("n_spans", F.lit(0)).cast("long"), "kept": kept}), names
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Adds to docs: n_bytes, n_removed, n_spans (long), kept (binary): the text's UTF-8 bytes without repeated strings.
 
     A byte goes if a string of `length` bytes covers it that also starts at another place of the column, the
@@ -351,14 +376,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, sh
     everything that is long enough. Other columns come through; those named as the added ones are replaced.
     An empty table gives no rows.
     """
-    out, names = _found(docs, text, length, shard_bytes)
+    out, names = _found(docs, text, length, shard_bytes, task_bytes)
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     return out.select(*[F.col(v).alias(c) for c, v in names.items() if c not in added], *added)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with each text cut down to what `repeated_spans` keeps; a character that lost a byte goes as a whole. Null texts stay null."""
-    out, names = _found(docs, text, length, SHARD_BYTES)
+    """docs with each text cut down to what `repeated_spans` keeps; a character that lost a byte goes as a whole. Null texts stay null; an empty table stays one."""
+    out, names = _found(docs, text, length, SHARD_BYTES, TASK_BYTES)
     out = out.withColumn("kept", F.col("kept").cast("string"))
     clean = F.when(F.expr("is_valid_utf8(kept)"), F.col("kept")).otherwise(F.replace(F.expr("make_valid_utf8(kept)"), F.lit("\ufffd"), F.lit("")))
     return out.select(*[(F.when(F.col("n_removed") > 0, clean).otherwise(F.col(v)) if c == text else F.col(v)).alias(c) for c, v in names.items()])
