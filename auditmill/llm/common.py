@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,16 +24,12 @@ _P_INV = pow(_P, -1, 1 << 64)
 
 # ---------------------------------------------------------------- written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        found = f"file://{tempfile.mkdtemp(prefix='auditmill-')}"
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
         return found
-    return found
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

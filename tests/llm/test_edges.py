@@ -20,7 +20,7 @@ def frame(spark, rows=None):
 
 OPERATORS = {
     "minhash": minhash.near_duplicates, "suffix": suffix.repeated_spans, "suffix_text": suffix.without_repeats, "paragraphs": paragraphs.by_document, "fingerprint": fingerprint.edit_test, "fingerprints": fingerprint.fingerprints,
-    "mixing": mixing.mix_table, "packing": packing.pack, "licenses": licenses.scan, "toxicity": lambda d: toxicity.score(d, toxicity.learn([], [])),
+    "mixing": mixing.mix_table, "packing": packing.pack, "licenses": licenses.scan, "toxicity": lambda d: toxicity.score(d, toxicity.unlearned()),
 }
 #: Operators that give a row for each row.
 ONE_EACH = set(OPERATORS) - {"packing"}
