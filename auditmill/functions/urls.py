@@ -15,7 +15,8 @@ TRACKING = ("gclid", "fbclid", "msclkid", "yclid", "mc_cid", "mc_eid", "_ga", "_
 ASSETS = "jpg jpeg png gif webp avif svg ico css js json xml pdf zip gz mp4 webm woff woff2 ttf eot".split()
 NO_CONTENT = ("wp-admin", "admin", "cart", "checkout", "login", "logout", "search", "feed")
 _DROP = rf"(?i)^(utm_[^=]*|{'|'.join(TRACKING)})(=|$)"
-_SAFE_PATH = "/!$&'()*+,;=:@-._~"
+_SAFE_PATH = "/$&+,;=:@-._~"
+_BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
 
 
 # ---------------------------------------------------------------- one URL, in Python
@@ -27,7 +28,7 @@ def normalize_url(raw: str | None, base: str | None = None) -> str | None:
         host, port = u.hostname or "", u.port
     except ValueError:
         return None
-    if not u.scheme or not host:
+    if not u.scheme or not host or re.search(_BAD_ESCAPE, u.path):
         return None
     try:
         host = host.encode("idna").decode() if not host.isascii() else host
@@ -36,7 +37,7 @@ def normalize_url(raw: str | None, base: str | None = None) -> str | None:
     host = f"[{host}]" if ":" in host else host
     if port and (u.scheme.lower(), port) not in (("http", 80), ("https", 443)):
         host = f"{host}:{port}"
-    path = quote(unquote(u.path), safe=_SAFE_PATH) if "%2f" not in u.path.lower() else quote(u.path, safe=_SAFE_PATH + "%")
+    path = quote(unquote(u.path), safe=_SAFE_PATH)
     return f"{u.scheme.lower()}://{host}{path or '/'}" + (f"?{u.query}" if u.query else "")
 
 
@@ -79,18 +80,77 @@ def parts(url: Column) -> dict[str, Column]:
     return {"scheme": scheme, "host": host, "path": F.when(path == "", "/").otherwise(path), "query": F.regexp_extract(u, _PARTS, 4)}
 
 
+def _ascii_host(host: Column) -> Column:
+    """A host of other letters in its ASCII form; one that has none stays."""
+    own = F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host), host)
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(own)).otherwise(host)
+
+
+def _escaped(path: Column) -> Column:
+    """Escapes made uniform, as `normalize_url` makes them: a character that needs none has none."""
+    plain = F.url_encode(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
+    plain = F.replace(F.replace(plain, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    for c in "/$&+,;=:@~":
+        plain = F.replace(plain, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(path.rlike("[^A-Za-z0-9/$&+,;=:@._~-]"), F.coalesce(plain, path)).otherwise(path)
+
+
+def _parsable(url: Column) -> Column:
+    return (F.regexp_extract(url, _PARTS, 2) != "") & ~F.regexp_extract(url, _PARTS, 3).rlike(_BAD_ESCAPE)
+
+
 def normalize_absolute(url: Column) -> Column:
-    p = parts(url)
-    return F.concat(p["scheme"], F.lit("://"), p["host"], p["path"], F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+    """`normalize_url` of an absolute URL; null for what is none."""
+    p, u = parts(url), F.trim(url)
+    query = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
+    return F.when(_parsable(u), F.concat(p["scheme"], F.lit("://"), _ascii_host(p["host"]), _escaped(p["path"]), query))
+
+
+def _form(x: Column) -> Column:
+    """A query's name or value, encoded in the one way that forms have."""
+    again = F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return F.when(x.rlike("[^A-Za-z0-9_.~-]"), again).otherwise(x)
 
 
 def key_absolute(url: Column) -> Column:
-    p = parts(url)
-    pairs = F.transform(F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~x.rlike(_DROP)), lambda x: F.struct(F.regexp_extract(x, "^[^=]*", 0).alias("k"), F.regexp_extract(x, "=(.*)$", 1).alias("v")))
-    query = F.array_join(F.transform(F.array_sort(pairs), lambda s: F.concat(s.k, F.lit("="), s.v)), "&")
-    path = F.when(p["path"] == "/", "/").otherwise(F.regexp_replace(p["path"], "/+$", ""))
+    """`url_key` of an absolute URL; what is none stays as it is."""
+    p, u = parts(url), F.trim(url)
+    plain = lambda x: F.when(x.rlike("[%+]"), F.coalesce(F.try_url_decode(x), x)).otherwise(x)
+    pairs = F.transform(F.filter(F.split(p["query"], "&"), lambda x: x != ""), lambda x: F.named_struct(F.lit("k"), plain(F.regexp_extract(x, "^[^=]*", 0)), F.lit("v"), plain(F.regexp_extract(x, "(?s)=(.*)$", 1))))
+    pairs = F.array_sort(F.filter(pairs, lambda s: ~s.k.rlike(_DROP)))
+    query = F.array_join(F.transform(pairs, lambda s: F.concat(_form(s.k), F.lit("="), _form(s.v))), "&")
+    query = F.when(p["query"] == "", "").otherwise(query)
+    path = F.when(p["path"] == "/", "/").otherwise(F.regexp_replace(_escaped(p["path"]), "/+$", ""))
     path = F.when(path == "", "/").otherwise(path)
-    return F.concat(p["scheme"], F.lit("://"), p["host"], path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    key = F.concat(p["scheme"], F.lit("://"), _ascii_host(p["host"]), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(_parsable(u), key).otherwise(u)
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without . and .. segments."""
+
+    def step(held: Column, part: Column) -> Column:
+        up = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", held).otherwise(F.concat(held, F.array(part)))
+
+    whole = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
+    ends = path.rlike(r"/\.{1,2}$")  # a dot segment at the end leaves its folder
+    tidy = F.concat(F.lit("/"), F.array_join(whole, "/"), F.when(ends & (F.size(whole) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), tidy).otherwise(path)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """A reference as it stands in a page of an absolute URL, made absolute (RFC 3986); fragments go."""
+    h = F.regexp_extract(F.trim(href), "^[^#]*", 0)
+    p, origin = parts(base), origin_of(base)
+    path, query = F.regexp_extract(h, r"^[^?]*", 0), F.regexp_extract(h, r"\?.*$", 0)
+    folder = F.regexp_replace(p["path"], "[^/]*$", "")
+    own = F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))
+    same = F.concat(origin, p["path"], F.when(query == "", own).otherwise(query))
+    return (
+        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(p["scheme"], F.lit(":"), h)).when(path == "", same)
+        .when(h.startswith("/"), F.concat(origin, without_dots(path), query)).otherwise(F.concat(origin, without_dots(F.concat(folder, path)), query))
+    )
 
 
 def with_scheme(url: Column) -> Column:
