@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PAGES, MAX_REDIRECTS = 100, 10
+# Limits that a run keeps unless told otherwise; blocked links that a crawl reports at most.
+MAX_PAGES, MAX_REDIRECTS, MAX_BLOCKED = 100, 10, 200
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage where the session has a folder for it, so that plans don't grow with levels."""
+    """Cuts lineage, so that plans don't grow with levels: in the folder that the session names, else in its warehouse."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.cache()
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return df.checkpoint()
 
 
 def resolve_redirects(start: DataFrame, hops: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
@@ -74,7 +74,74 @@ def crawl(seeds: DataFrame, snapshot: DataFrame, links: DataFrame, allowed: Data
     return breadth_first(seeds, edges, max_pages).join(snapshot.select("key", "status"), "key", "left")
 
 
-def first_visits(visits: DataFrame) -> DataFrame:
-    """Of several visits of a key the one of least depth."""
-    w = Window.partitionBy("key").orderBy("depth", "url")
-    return visits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+@dataclass
+class Crawl:
+    """A crawl's visits (key, depth, status, error, final_key, noindex), the links that robots.txt held back (key), and whether a budget cut it short."""
+
+    visits: DataFrame
+    blocked: DataFrame
+    truncated: bool
+
+
+def site_crawl(start: str, snapshot: DataFrame, links: DataFrame, blocked: DataFrame, robots_status: int | None = 200, max_pages: int = MAX_PAGES) -> Crawl:
+    """Crawls one site of a snapshot, breadth first.
+
+    snapshot: key, host, status (null: the fetch failed), final_key, final_host, noindex. links: src, dst of the
+    site's own links with paths that are crawled. blocked (key): what robots.txt disallows; without an answer
+    for it, or with a server's error, that is everything, and with another answer than 200 nothing.
+    Pages that don't answer with 200 or land on another host lead nowhere; where a redirect landed counts as
+    seen. At most max_pages are visited, each level's first by key, and twice as many are ever queued.
+    """
+    spark = snapshot.sparkSession
+    seed = spark.createDataFrame([(start,)], "key string")
+    none = spark.createDataFrame([], "key string")
+    shut = robots_status is None or robots_status >= 500
+    if robots_status != 200:
+        blocked = none
+    if shut or not blocked.where(F.col("key") == start).isEmpty():
+        visits = snapshot.where("false").select("key", F.lit(0).alias("depth"), "status", F.lit("").alias("error"), "final_key", "noindex")
+        return Crawl(visits, seed, False)
+    host = snapshot.where(F.col("key") == start).select("host").first()
+    host = host[0] if host else None
+    queue, seen, visits, held, truncated, visited, depth = seed, _cut(seed), None, None, False, 0, 0
+    n_held = 0
+    while True:
+        n = queue.count()
+        if not n:
+            break
+        if n > max_pages - visited:
+            truncated, n = True, max_pages - visited
+            queue = queue.orderBy("key").limit(n)
+        batch = _cut(queue.join(snapshot, "key", "left").withColumn("depth", F.lit(depth)))
+        visits = batch if visits is None else visits.unionByName(batch)
+        visited += n
+        landed = batch.where("final_key <> key").select(F.col("final_key").alias("key"))
+        found = batch.where((F.col("status") == 200) & (F.col("final_host") == host)).select(F.col("key").alias("src")).join(links, "src").select(F.col("dst").alias("key")).distinct()
+        stopped = found.join(blocked, "key", "left_semi")
+        if n_held < MAX_BLOCKED:
+            more = stopped if held is None else stopped.join(held, "key", "left_anti")
+            more = _cut(more.orderBy("key").limit(MAX_BLOCKED - n_held))
+            n_held += more.count()
+            held = more if held is None else held.unionByName(more)
+        seen = seen.unionByName(landed).distinct()
+        new = found.join(blocked, "key", "left_anti").join(seen, "key", "left_anti")
+        room = 2 * max_pages - seen.count()
+        new = _cut(new.orderBy("key").limit(max(0, room) + 1))
+        if new.count() > max(0, room):
+            truncated = True
+            new = new.orderBy("key").limit(max(0, room))
+        if visited >= max_pages:
+            truncated = truncated or not new.isEmpty()
+            break
+        queue, seen, depth = new, _cut(seen.unionByName(new)), depth + 1
+    failed = F.when(F.col("status").isNull(), "fetch failed").otherwise("")
+    return Crawl(visits.select("key", "depth", "status", failed.alias("error"), "final_key", "noindex"), none if held is None else held, truncated)
+
+
+def sitemap_pages(visits: DataFrame, final_host: str, host: str) -> DataFrame:
+    """visits (key, status, noindex and the column of landing hosts) with their outcome: page, excluded or error.
+
+    Pages for a sitemap answer with 200 on the site's own host and don't forbid indexing.
+    """
+    fine = (F.col("status") == 200) & (F.lower(F.col(final_host)) == host.lower()) & ~F.coalesce(F.col("noindex"), F.lit(False))
+    return visits.withColumn("outcome", F.when(F.col("status").isNull(), "error").when(fine, "page").otherwise("excluded"))

@@ -119,6 +119,13 @@ def audit(blocks: DataFrame, key: str) -> DataFrame:
     return per.join(blocks.groupBy(key).agg(F.count("*").alias("blocks")), key)
 
 
+def lint_verdict(blocks: DataFrame, key: str) -> DataFrame:
+    """blocks (key, raw) -> a row a page: block and warn findings, and whether the gate stops it: any finding of severity block."""
+    found = blocks.select(key, F.explode_outer(lint_findings("raw")).alias("f"))
+    count = lambda s: F.count_if(F.col("f.severity") == s)
+    return found.groupBy(key).agg(count("block").alias("block"), count("warn").alias("warn"), (count("block") > 0).alias("blocked"))
+
+
 def missing_fields(objects: DataFrame) -> DataFrame:
     """objects (id, type, present array<string>): one row for each field a type needs and the object lacks.
 

@@ -50,7 +50,9 @@ def severity_counts(found: DataFrame, *by: str) -> DataFrame:
 
 
 def trips(found: DataFrame, level: str) -> DataFrame:
-    """One row: whether findings reach the level at which a run is to fail."""
+    """One row: whether findings reach the level at which a run is to fail. For level "change" the findings are drift's, and a significant one is enough."""
+    if level == "change":
+        return found.agg(F.coalesce(F.bool_or("significant"), F.lit(False)).alias("failed"))
     bad = {"critical": [CRITICAL], "warning": [CRITICAL, WARNING]}[level]
     return found.agg(F.coalesce(F.bool_or(F.col("severity").isin(*bad)), F.lit(False)).alias("failed"))
 
@@ -188,7 +190,7 @@ def hreflang(pages: DataFrame) -> DataFrame:
     languages = F.array_distinct(F.filter(F.transform(codes, lambda c: F.lower(F.regexp_extract(c, "^[^-]*", 0))), lambda c: c != "x"))
     df = pages.withColumns({"alternates": F.size(h), "invalid": F.transform(invalid, lambda x: x.hreflang), "repeated": repeated, "languages": languages, "has_default": F.exists(codes, lambda c: F.lower(c) == "x-default")})
     key = U.key_absolute(F.col("url"))
-    absolute = F.transform(h, lambda x: F.when(x.href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), x.href).when(x.href.startswith("//"), F.concat(U.parts(F.col("url"))["scheme"], F.lit(":"), x.href)).otherwise(F.concat(U.origin_of(F.col("url")), F.when(x.href.startswith("/"), "").otherwise("/"), x.href)))
+    absolute = F.transform(h, lambda x: U.resolve(F.col("url"), x.href))
     df = df.withColumn("self_reference", F.exists(absolute, lambda u: U.key_absolute(u) == key))
     some = F.col("alternates") > 0
     return apply(df, [

@@ -1,8 +1,10 @@
-"""Checks across pages of a site, as joins, anti-joins and windows.
+"""Checks across pages of a site, as joins, anti-joins and aggregates.
 
 Pages: url, key, final_key (of the landing URL), status, error, depth, hops, is_html, noindex, title, description,
 text_hash, canonical, canonical_key ('' without one). Links: src_key, dst_key. Alternates: src_key, dst_key.
-Sitemap: loc, key. Each check gives (url, detail); `issues` unites them with severity and category.
+Sitemap: loc, key, pos (its place in the list). Each check gives (url, detail); `issues` unites them with severity
+and category. No check brings a group of unbounded size to one task: counts are aggregated before they are
+shuffled, and the few members that a report names are picked by rank, of which each task keeps the first ones.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditmill.functions import urls as U
+from auditmill.operators.crawl import _cut
 
 BLOCKED = (401, 403, 429, 503)
 #: Samples that a report names: affected pages of an issue, referrers of a page.
@@ -37,33 +40,42 @@ def indexable() -> Column:
     return (F.col("error") == "") & (F.col("status") == 200) & F.col("is_html") & ~F.col("noindex") & own
 
 
+def first_few(rows: DataFrame, by: list[str], value: str, k: int, name: str) -> DataFrame:
+    """by, name: the first k values of each group in order. The rank's limit holds within tasks, before anything is shuffled."""
+    top = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("_n") <= k)
+    return top.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def one_per_key(pages: DataFrame) -> DataFrame:
     """Of pages with one key the last by URL."""
-    best = Window.partitionBy("key").orderBy(F.desc("url"))
-    return pages.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    rest = [c for c in pages.columns if c != "key"]
+    return pages.groupBy("key").agg(F.max_by(F.struct(*rest), "url").alias("p")).select("key", "p.*")
 
 
 def in_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """key, in_links, referrers: distinct pages that link to each page, without itself, and the first few of them."""
     known = pages.select(F.col("key").alias("dst_key")).distinct()
     pairs = links.where("src_key <> dst_key").select("src_key", "dst_key").distinct().join(known, "dst_key", "left_semi")
-    rank = Window.partitionBy("dst_key").orderBy("src_key")
-    pairs = pairs.withColumn("n", F.row_number().over(rank))
-    return pairs.groupBy("dst_key").agg(F.count("*").alias("in_links"), F.array_sort(F.collect_list(F.when(F.col("n") <= REFERRERS, F.col("src_key")))).alias("referrers")).withColumnRenamed("dst_key", "key")
+    counts = pairs.groupBy("dst_key").agg(F.count("*").alias("in_links"))
+    return counts.join(first_few(pairs, ["dst_key"], "src_key", REFERRERS, "referrers"), "dst_key").withColumnRenamed("dst_key", "key")
+
+
+_TARGET = ("url", "status", "error", "noindex", "final_key", "key", "hops", "is_html")
 
 
 def lookup(pages: DataFrame) -> DataFrame:
-    """at -> the page a URL key leads to: the one requested there, else the first whose redirect landed there."""
-    asked = one_per_key(pages).select(F.col("key").alias("at"), "url", "status", "error", "noindex", "final_key", "key", "hops")
-    first = Window.partitionBy("final_key").orderBy("url")
-    landed = pages.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("final_key").alias("at"), "url", "status", "error", "noindex", "final_key", "key", "hops")
-    return asked.unionByName(landed.join(asked.select("at"), "at", "left_anti"))
+    """at -> the page a URL key leads to: the one requested there, else the first whose redirect landed there (landing)."""
+    asked = one_per_key(pages).select(F.col("key").alias("at"), *_TARGET, F.lit(False).alias("landing"))
+    landed = pages.where("hops > 0").groupBy(F.col("final_key").alias("at")).agg(F.min_by(F.struct(*_TARGET), "url").alias("p"))
+    landed = landed.join(asked.select("at"), "at", "left_anti")
+    return asked.unionByName(landed.select("at", "p.*", F.lit(True).alias("landing")))
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """Pages that aren't redirects to a page known already: pages without redirects, and the first redirect to each other landing URL."""
-    w = Window.partitionBy("final_key").orderBy((F.col("hops") > 0).cast("int"), "url")
-    return pages.withColumn("_n", F.row_number().over(w)).where("hops = 0 or _n = 1").drop("_n")
+    first = pages.groupBy(F.col("final_key").alias("_at")).agg(F.min(F.struct(F.col("hops") > 0, "url")).alias("_first"))
+    rows = pages.join(first, pages.final_key == first["_at"])
+    return rows.where((F.col("hops") == 0) | (F.struct(F.col("hops") > 0, "url") == F.col("_first"))).drop("_at", "_first")
 
 
 def _url(df: DataFrame, detail: Column | str = "") -> DataFrame:
@@ -87,43 +99,59 @@ def missing(pages: DataFrame, column: str) -> DataFrame:
 
 
 def duplicates(pages: DataFrame, column: str, fold: bool = True) -> DataFrame:
-    """value, pages, first, others: pages that share a value, the first URL and up to three more; largest groups first."""
-    rows = distinct_pages(pages).where(indexable() & (F.col(column) != "")).withColumn("value", F.lower(F.trim(column)) if fold else F.col(column))
-    n = Window.partitionBy("value").orderBy("url")
-    rows = rows.withColumn("_n", F.row_number().over(n))
-    out = rows.groupBy("value").agg(F.count("*").alias("pages"), F.min("url").alias("first"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n").between(2, 4), F.col("url")))), " ").alias("others"))
-    return out.where("pages > 1")
-
-
-def canonical_kinds(pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
-    """url, kind of each page's canonical that isn't itself: not-200, noindex, redirects, elsewhere, unverified, fine."""
-    rows = distinct_pages(pages).where((F.col("error") == "") & (F.col("status") == 200) & F.col("is_html") & (F.col("canonical_key") != "") & (F.col("canonical_key") != F.col("final_key")))
-    target = lookup(pages).select("at", F.col("status").alias("t_status"), F.col("error").alias("t_error"), F.col("noindex").alias("t_noindex"), F.col("final_key").alias("t_final"), F.col("hops").alias("t_hops"))
-    rows = rows.join(target, rows.canonical_key == target.at, "left")
-    other = U.host_of(F.col("canonical")) != U.host_of(F.col("url"))
-    kind = (
-        F.when(other, "elsewhere").when(F.col("at").isNull() | F.col("t_status").isin(*BLOCKED), "unverified").when((F.col("t_error") != "") | (F.col("t_status") != 200), "not-200")
-        .when((F.col("t_hops") > 0) & (F.col("t_final") != F.col("canonical_key")), "redirects").when(F.col("t_noindex"), "noindex").otherwise("fine")
+    """value, pages, first, others: pages that share a value, the first URL and up to three more."""
+    rows = distinct_pages(pages).where(indexable() & (F.col(column) != ""))
+    rows = rows.select((F.lower(F.trim(column)) if fold else F.col(column)).alias("value"), "url")
+    out = rows.groupBy("value").agg(F.count("*").alias("pages")).where("pages > 1").join(first_few(rows, ["value"], "url", 4, "u"), "value")
+    return out.select("value", "pages", F.get("u", F.lit(0)).alias("first"), F.array_join(F.slice("u", 2, 3), " ").alias("others"))
+
+
+def canonical_kinds(pages: DataFrame) -> DataFrame:
+    """url, canonical, canonical_key, kind of each page's canonical that isn't itself: not-200, noindex, redirects, elsewhere, unverified, fine.
+
+    A target that redirects and forbids indexing gives two rows. Pages that forbid indexing aren't looked at.
+    """
+    rows = distinct_pages(pages).where((F.col("error") == "") & (F.col("status") == 200) & F.col("is_html") & ~F.col("noindex") & (F.col("canonical_key") != "") & (F.col("canonical_key") != F.col("final_key")))
+    target = lookup(pages).select(F.struct("at", "status", "error", "noindex", "hops", "landing").alias("t"))
+    rows = rows.select("url", "canonical", "canonical_key", "final_key").join(target, F.col("canonical_key") == F.col("t.at"), "left")
+    other = U.host_of(F.col("canonical_key")) != U.host_of(F.col("final_key"))
+    unknown = F.col("t").isNull() | ((F.col("t.error") == "") & F.col("t.status").isin(*BLOCKED))
+    both = F.filter(F.array(F.when(~F.col("t.landing") & (F.col("t.hops") > 0), "redirects"), F.when(F.col("t.noindex"), "noindex")), lambda k: k.isNotNull())
+    one = lambda k: F.array(F.lit(k))
+    kinds = (
+        F.when(other, one("elsewhere")).when(unknown, one("unverified")).when((F.col("t.error") != "") | (F.col("t.status") != 200), one("not-200"))
+        .when(F.size(both) > 0, both).otherwise(one("fine"))
     )
-    return rows.select("url", "canonical", kind.alias("kind"))
+    return rows.select("url", "canonical", "canonical_key", F.explode(kinds).alias("kind"))
 
 
 def alternate_kinds(pages: DataFrame, alternates: DataFrame) -> DataFrame:
-    """src_key, dst_key, kind: not-200, one-way, unverified, fine. A link to itself isn't looked at; each pair counts once."""
-    pairs = alternates.where("src_key <> dst_key").select("src_key", "dst_key").distinct()
-    pairs = pairs.join(pages.where((F.col("status") == 200) & (F.col("error") == "")).select(F.col("key").alias("src_key")).distinct(), "src_key", "left_semi")
-    target = lookup(pages).select(F.col("at").alias("dst_key"), F.col("status").alias("t_status"), F.col("error").alias("t_error"), F.col("key").alias("t_key"))
-    pairs = pairs.join(target, "dst_key", "left")
-    back = alternates.select(F.col("src_key").alias("b_src"), F.col("dst_key").alias("b_dst")).distinct().withColumn("back", F.lit(True))
-    pairs = pairs.join(back, (F.col("t_key") == F.col("b_src")) & (F.col("src_key") == F.col("b_dst")), "left")
-    kind = F.when(F.col("t_key").isNull() | F.col("t_status").isin(*BLOCKED), "unverified").when((F.col("t_error") != "") | (F.col("t_status") != 200), "not-200").when(F.col("back").isNull(), "one-way").otherwise("fine")
-    return pairs.select("src_key", "dst_key", kind.alias("kind"))
+    """src_key, dst_key, kind, dst_url: not-200, one-way, unverified, fine.
+
+    Alternates of indexable, distinct pages count, each pair once, and none to the page itself or to where it landed.
+    A target links back if one of its alternates is the page or where the page landed.
+    """
+    own = distinct_pages(pages).where(indexable()).select(F.col("key").alias("src_key"), "final_key")
+    pairs = alternates.select("src_key", "dst_key").distinct().join(own, "src_key").where("dst_key <> src_key and dst_key <> final_key")
+    target = lookup(pages).select(F.struct("at", "status", "error", "key", "is_html", "url").alias("t"))
+    pairs = pairs.join(target, F.col("dst_key") == F.col("t.at"), "left")
+    back = alternates.select(F.col("src_key").alias("_from"), F.col("dst_key").alias("_to")).distinct()
+    asked = pairs.select("src_key", "dst_key", F.col("t.key").alias("_from"), F.explode(F.array_distinct(F.array("src_key", "final_key"))).alias("_to"))
+    linked = asked.join(back, ["_from", "_to"], "left_semi").select("src_key", "dst_key").distinct().withColumn("back", F.lit(True))
+    pairs = pairs.join(linked, ["src_key", "dst_key"], "left")
+    unknown = F.col("t").isNull() | ((F.col("t.error") == "") & F.col("t.status").isin(*BLOCKED))
+    kind = (
+        F.when(unknown, "unverified").when((F.col("t.error") != "") | (F.col("t.status") != 200), "not-200")
+        .when(F.col("t.is_html") & F.col("back").isNull(), "one-way").otherwise("fine")
+    )
+    return pairs.select("src_key", "dst_key", kind.alias("kind"), F.col("t.url").alias("dst_url"))
 
 
 def sitemap_kinds(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     """loc, kind of listed pages: not-200, redirect, noindex, canonicalised, fine; the first that holds."""
     rows = sitemap.join(one_per_key(pages), "key").where(verified())
-    kind = F.when((F.col("error") != "") | (F.col("status") != 200), "not-200").when(F.col("hops") > 0, "redirect").when(F.col("noindex"), "noindex").when((F.col("canonical_key") != "") & (F.col("canonical_key") != F.col("final_key")), "canonicalised").otherwise("fine")
+    away = F.col("is_html") & (F.col("canonical_key") != "") & (F.col("canonical_key") != F.col("final_key"))
+    kind = F.when((F.col("error") != "") | (F.col("status") != 200), "not-200").when(F.col("hops") > 0, "redirect").when(F.col("noindex"), "noindex").when(away, "canonicalised").otherwise("fine")
     return rows.select("loc", kind.alias("kind"))
 
 
@@ -143,11 +171,16 @@ def orphans(pages: DataFrame, links: DataFrame, sitemap: DataFrame, robots_block
 
 
 def deep(pages: DataFrame) -> DataFrame:
-    return _url(pages.where(indexable() & (F.col("depth") > 3)), F.col("depth"))
+    return _url(distinct_pages(pages).where(indexable() & (F.col("depth") > 3)), F.col("depth"))
 
 
 def issues(pages: DataFrame, links: DataFrame, alternates: DataFrame, sitemap: DataFrame, sitemap_complete: bool = True, truncated: bool = False, robots_blocked: DataFrame | None = None) -> DataFrame:
-    """category, severity, url, detail of every check. Checks that an incomplete sitemap or crawl makes unsound aren't run."""
+    """category, severity, url, detail of every check. Checks that an incomplete sitemap or crawl makes unsound aren't run.
+
+    Of the sitemap, URLs on hosts that the crawl has seen count, the first listed of each key. robots_blocked
+    (url, key): internal links that robots.txt disallows.
+    """
+    sitemap = on_site(sitemap, pages)
     canonical, alternate, listed = canonical_kinds(pages), alternate_kinds(pages, alternates), sitemap_kinds(pages, sitemap)
     of = lambda df, kind, url: df.where(F.col("kind") == kind).select(F.col(url).alias("url"), F.lit("").alias("detail"))
     dup = lambda c, fold=True: duplicates(pages, c, fold).select(F.col("first").alias("url"), F.concat_ws(" ", "pages", "others").alias("detail"))
@@ -156,7 +189,7 @@ def issues(pages: DataFrame, links: DataFrame, alternates: DataFrame, sitemap: D
         "Missing title": missing(pages, "title"), "Missing description": missing(pages, "description"),
         "Duplicate title": dup("title"), "Duplicate description": dup("description"), "Duplicate text": dup("text_hash", False),
         "Canonical not 200": of(canonical, "not-200", "url"), "Canonical noindex": of(canonical, "noindex", "url"), "Canonical redirects": of(canonical, "redirects", "url"), "Canonical elsewhere": of(canonical, "elsewhere", "url"),
-        "Hreflang not 200": of(alternate, "not-200", "src_key"), "Hreflang one-way": of(alternate, "one-way", "src_key"),
+        "Hreflang not 200": of(alternate, "not-200", "dst_url").distinct(), "Hreflang one-way": of(alternate, "one-way", "dst_url").distinct(),
         "Sitemap not 200": of(listed, "not-200", "loc"), "Sitemap redirect": of(listed, "redirect", "loc"), "Sitemap noindex": of(listed, "noindex", "loc"), "Sitemap canonicalised": of(listed, "canonicalised", "loc"),
         "Deep pages": deep(pages),
     }
@@ -173,11 +206,17 @@ def issues(pages: DataFrame, links: DataFrame, alternates: DataFrame, sitemap: D
     return out
 
 
+def on_site(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sitemap's rows on hosts of pages, requested or landed on; of each key the first listed."""
+    hosts = pages.select(F.explode(F.array("key", "final_key")).alias("u")).select(U.host_of(F.col("u")).alias("_host")).distinct()
+    rows = sitemap.withColumn("_host", U.host_of(F.col("key"))).join(hosts, "_host", "left_semi")
+    return rows.groupBy("key").agg(F.min_by("loc", "pos").alias("loc"), F.min("pos").alias("pos"))
+
+
 def summary(found: DataFrame, affected: int = AFFECTED) -> DataFrame:
     """severity, category, affected, sample: each issue once, the worst first, with its first few pages."""
-    w = Window.partitionBy("category").orderBy("url")
-    rows = found.withColumn("n", F.row_number().over(w))
-    out = rows.groupBy("severity", "category").agg(F.count("*").alias("affected"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= affected, F.col("url")))), " ").alias("sample"))
+    few = first_few(found, ["category"], "url", affected, "s").select("category", F.array_join("s", " ").alias("sample"))
+    out = found.groupBy("severity", "category").agg(F.count("*").alias("affected")).join(few, "category").select("severity", "category", "affected", "sample")
     rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
     return out.orderBy(rank, F.desc("affected"), "category")
 
@@ -188,17 +227,80 @@ def notes(pages: DataFrame, sitemap: DataFrame, truncated: bool = False) -> Data
     return pages.agg(F.count("*").alias("pages"), blocked.alias("blocked")).join(sitemap.agg(F.count("*").alias("listed"))).withColumn("truncated", F.lit(truncated))
 
 
+def all_notes(pages: DataFrame, alternates: DataFrame, sitemap: DataFrame, sitemap_complete: bool = True, truncated: bool = False) -> DataFrame:
+    """note, n: what qualifies the issues, a row for each note that holds.
+
+    no-pages; start-failed (pages at depth 0 that failed); blocked (answers that say nothing of a page);
+    canonical-unverified, hreflang-unverified (distinct targets that weren't crawled or were blocked);
+    sitemap-elsewhere (a sitemap that lists nothing on the crawled hosts: its listed URLs);
+    missing-unchecked (pages that an incomplete sitemap doesn't list); orphans-unchecked and truncated (a crawl cut short).
+    """
+    here = on_site(sitemap, pages)
+    bound = F.lit(truncated)
+    one = lambda df, note, n: df.agg(n.alias("n")).select(F.lit(note).alias("note"), F.col("n").cast("long"))
+    per_page = pages.agg(
+        (F.count("*") == 0).cast("int").alias("no-pages"), F.count_if((F.col("depth") == 0) & ((F.col("error") != "") | (F.col("status") >= 400))).alias("start-failed"),
+        F.count_if((F.col("error") == "") & F.col("status").isin(*BLOCKED)).alias("blocked"), F.when(bound, 1).otherwise(0).alias("truncated"),
+    )
+    names = F.array(*[F.struct(F.lit(c).alias("note"), F.col(f"`{c}`").cast("long").alias("n")) for c in ("no-pages", "start-failed", "blocked", "truncated")])
+    out = per_page.select(F.explode(names).alias("x")).select("x.*")
+    out = out.unionByName(one(canonical_kinds(pages).where("kind = 'unverified'"), "canonical-unverified", F.count_distinct("canonical_key")))
+    out = out.unionByName(one(alternate_kinds(pages, alternates).where("kind = 'unverified'"), "hreflang-unverified", F.count_distinct("dst_key")))
+    listed = sitemap.agg(F.count("*").alias("n")).join(here.agg(F.count("*").alias("m")))
+    out = out.unionByName(listed.select(F.lit("sitemap-elsewhere").alias("note"), F.when(F.col("m") == 0, F.col("n")).otherwise(0).alias("n")))
+    out = out.unionByName(listed.select(F.lit("orphans-unchecked").alias("note"), F.when(bound & (F.col("m") > 0), 1).otherwise(0).cast("long").alias("n")))
+    if not sitemap_complete:
+        out = out.unionByName(one(not_listed(pages, here).join(here.limit(1).select(F.lit(1).alias("_"))), "missing-unchecked", F.count("*")))
+    return out.where("n > 0")
+
+
 def from_facts(parsed: DataFrame) -> DataFrame:
-    """Site pages from fetched and parsed ones: url, final_url, status, error, depth, hops, content_type, facts."""
-    html = F.lower(F.trim(F.split("content_type", ";")[0]))
-    sniff = F.lower(F.ltrim(F.substring("html", 1, 512))).rlike("^(<!doctype html|<html)")
-    at = F.when(F.coalesce("final_url", F.lit("")) != "", F.col("final_url")).otherwise(F.col("url"))
-    canonical = F.coalesce("facts.canonical", F.lit(""))
-    full = F.when(canonical == "", "").when(canonical.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), canonical).otherwise(F.concat(U.origin_of(at), canonical))
+    """Site pages from fetched and parsed ones: url, final_url, status, error, depth, hops, content_type, html, facts."""
     from auditmill.functions import text as T
 
-    return parsed.select(
-        "url", U.key_absolute(F.col("url")).alias("key"), U.key_absolute(at).alias("final_key"), "status", "error", "depth", "hops", F.when(F.coalesce("content_type", F.lit("")) == "", sniff).otherwise(html.isin("text/html", "application/xhtml+xml")).alias("is_html"),
-        F.col("facts.noindex").alias("noindex"), F.col("facts.crawl_title").alias("title"), F.col("facts.description").alias("description"), T.text_hash(F.col("facts.visible_text")).alias("text_hash"),
-        full.alias("canonical"), F.when(full == "", "").otherwise(U.key_absolute(full)).alias("canonical_key"),
+    html = F.lower(F.trim(F.split("content_type", ";")[0]))
+    sniff = F.lower(F.ltrim(F.substring("html", 1, 512))).rlike("^(<!doctype html|<html)")
+    is_html = F.when(F.coalesce("content_type", F.lit("")) == "", sniff).otherwise(html.isin("text/html", "application/xhtml+xml"))
+    rows = parsed.select(
+        "url", landing().alias("at"), "status", "error", "depth", "hops", is_html.alias("is_html"), F.col("facts.noindex").alias("noindex"), F.col("facts.crawl_title").alias("title"),
+        F.col("facts.description").alias("description"), T.text_hash(F.col("facts.visible_text")).alias("text_hash"), F.coalesce("facts.canonical", F.lit("")).alias("href"),
     )
+    # step by step: an expression over URLs is long, and would be written out wherever it is named
+    rows = rows.withColumn("canonical", F.when((F.col("href") == "") | ~F.col("is_html"), "").otherwise(U.resolve(F.col("at"), F.col("href")))).drop("href")
+    keys = {"key": U.key_absolute(F.col("url")), "final_key": U.key_absolute(F.col("at")), "canonical_key": F.when(F.col("canonical") == "", "").otherwise(U.key_absolute(F.col("canonical")))}
+    return rows.withColumns(keys).drop("at")
+
+
+def landing():
+    """The URL that a page was read from: where its redirects landed, or its own."""
+    return F.when(F.coalesce("final_url", F.lit("")) != "", F.col("final_url")).otherwise(F.col("url"))
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """rows (url, at, href) -> src_key, dst, dst_key."""
+    rows = rows.select("url", "at", U.resolve(F.col("at"), F.col("href")).alias("dst"))
+    return rows.select(U.key_absolute(F.col("url")).alias("src_key"), U.key_absolute(F.col("dst")).alias("dst_key"), "at", "dst")
+
+
+def links_of(parsed: DataFrame) -> DataFrame:
+    """src_key, dst_key of a site's own links: same host, resolved against the page, once each; pages that didn't answer have none."""
+    rows = parsed.where("status = 200 and error = ''").select("url", landing().alias("at"), F.explode("facts.anchors").alias("href"))
+    rows = _resolved(rows)
+    return rows.where(U.same_origin(F.col("dst"), U.host_of(F.col("at")))).select("src_key", "dst_key").distinct()
+
+
+def alternates_of(parsed: DataFrame) -> DataFrame:
+    """src_key, dst_key of a site's alternate-language links, resolved against the page."""
+    rows = parsed.select("url", landing().alias("at"), F.explode("facts.hreflang").alias("h")).select("url", "at", F.col("h.href").alias("href"))
+    return _resolved(rows).select("src_key", "dst_key").distinct()
+
+
+def site_audit(parsed: DataFrame, sitemap: DataFrame, sitemap_complete: bool = True, truncated: bool = False, robots_blocked: DataFrame | None = None) -> DataFrame:
+    """The issues of a crawled site from its parsed pages (see `from_facts`) and its sitemap (loc, pos).
+
+    Pages, links and alternates are read by many checks, so they are made once: the parsed rows that they need
+    are cut off from the parser, and so are they.
+    """
+    parsed = _cut(parsed.select("url", "final_url", "status", "error", "depth", "hops", "content_type", F.substring("html", 1, 512).alias("html"), "facts"))
+    listed = sitemap.select("loc", U.key_absolute(F.col("loc")).alias("key"), "pos")
+    return issues(_cut(from_facts(parsed)), _cut(links_of(parsed)), _cut(alternates_of(parsed)), _cut(listed), sitemap_complete, truncated, robots_blocked)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditmill.operators import drift, jsonld
+from auditmill.operators import drift, jsonld, report, rules, strategy
 from auditmill.plans.registry import query, table
 from auditmill.sources import feeds
 
@@ -158,7 +158,7 @@ def psi_scores(spark, d):
     return feeds.psi_scores(table(spark, d, "pages").select("url", body.alias("body")))
 
 
-@query("SELECT url, 'LCP' AS metric, CAST(page_id AS DOUBLE) AS percentile, 'FAST' AS rating FROM pages")
+@query("SELECT url, 'LCP (ms)' AS metric, CAST(page_id AS DOUBLE) AS percentile, 'FAST' AS rating FROM pages")
 def psi_field(spark, d):
     body = F.concat(F.lit('{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":'), F.col("page_id").cast("string"), F.lit(',"category":"FAST"},"SOMETHING":{"percentile":1,"category":"SLOW"}}}}'))
     return feeds.psi_field(table(spark, d, "pages").select("url", body.alias("body")))
@@ -181,3 +181,150 @@ def hook_paths(spark, d):
     kind = F.col("page_id") % 4
     payload = F.when(kind == 0, '{"tool_input":{"path":"/x","file_path":"/in"},"tool_response":{"file_path":"/out"}}').when(kind == 1, '{"tool_input":{"file_path":"","path":"/path"}}').when(kind == 2, '{"tool_input":{},"tool_response":{"filePath":"/out"}}').otherwise("{}")
     return table(spark, d, "pages").select("page_id", feeds.hook_path(payload).alias("path"))
+
+
+@query("SELECT url, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'AVERAGE' END AS overall FROM pages")
+def psi_overall(spark, d):
+    body = F.when(F.col("page_id") % 3 == 0, "{}").otherwise('{"loadingExperience":{"overall_category":"AVERAGE"}}')
+    return feeds.psi_overall(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("""SELECT url, CAST(pos AS INTEGER) AS pos, audit, CASE audit WHEN 'speed-index' THEN page_id + 0.5 ELSE 0.0 END::DOUBLE AS value, CASE audit WHEN 'speed-index' THEN page_id || ' s' ELSE '' END AS shown
+ FROM pages, (VALUES (0, 'first-contentful-paint'), (4, 'speed-index')) t(pos, audit) WHERE audit = 'speed-index' OR page_id % 2 = 0""")
+def psi_lab(spark, d):
+    """Lab audits in their fixed order; an audit that isn't reported and one without values."""
+    i = F.col("page_id").cast("string")
+    speed = F.concat(F.lit('"speed-index":{"numericValue":'), i, F.lit('.5,"displayValue":"'), i, F.lit(' s"},"uses-http2":{"numericValue":1}'))
+    body = F.concat(F.lit('{"lighthouseResult":{"audits":{'), speed, F.when(F.col("page_id") % 2 == 0, ',"first-contentful-paint":{}').otherwise(""), F.lit("}}}"))
+    return feeds.psi_lab(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("SELECT url, m AS metric, p75, unit FROM (SELECT url, page_id, unnest([{'m': 'LCP', 'p': CAST(page_id AS VARCHAR), 'u': 'ms'}, {'m': 'CLS', 'p': '0.10', 'u': 'score'}, {'m': 'INP', 'p': NULL, 'u': 'ms'}]) AS x FROM pages), LATERAL (SELECT x.m AS m, x.p AS p75, x.u AS unit) WHERE p75 IS NOT NULL")
+def crux_current(spark, d):
+    """A number, a text, and a null, which is left out."""
+    one = lambda name, value: F.concat(F.lit(f'"{name}":{{"percentiles":{{"p75":'), value, F.lit("}}"))
+    body = F.concat(F.lit('{"record":{"metrics":{'), F.concat_ws(",", one("largest_contentful_paint", F.col("page_id").cast("string")), one("cumulative_layout_shift", F.lit('"0.10"')), one("interaction_to_next_paint", F.lit("null")), one("round_trip_time", F.lit("1"))), F.lit("}}}"))
+    return feeds.crux_current(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("SELECT url, CAST(p AS INTEGER) AS period, make_date(2026, 1 + p::INTEGER, 1 + (page_id % 28)::INTEGER) AS first_day, make_date(2026, 2 + p::INTEGER, 1) AS last_day FROM pages, range(0, 2) r(p)")
+def crux_periods(spark, d):
+    day = lambda month, of: F.concat(F.lit(f'{{"year":2026,"month":{month},"day":'), of, F.lit("}"))
+    first = (1 + F.col("page_id") % 28).cast("string")
+    period = lambda m: F.concat(F.lit('{"firstDate":'), day(m, first), F.lit(',"lastDate":'), day(m + 1, F.lit("1")), F.lit("}"))
+    body = F.concat(F.lit('{"record":{"collectionPeriods":['), period(1), F.lit(","), period(2), F.lit("]}}"))
+    return feeds.crux_periods(table(spark, d, "pages").select("url", body.alias("body")))
+
+
+@query("""SELECT page_id, page_id % 4 = 1 AS no_data, CASE page_id % 4 WHEN 2 THEN 'CrUX API returned 403: no key' WHEN 3 THEN 'CrUX API returned 500: <p> down' || repeat(' x', 92) || ' ' ELSE '' END AS error FROM pages""")
+def crux_status(spark, d):
+    """A record, none, an error with a message, and one without that is cut."""
+    kind = F.col("page_id") % 4
+    status = F.when(kind == 0, 200).when(kind == 1, 404).when(kind == 2, 403).otherwise(500)
+    body = F.when(kind == 2, '{"error":{"message":" no\\n  key"}}').otherwise(F.concat(F.lit("<p>  down\n"), F.repeat(F.lit("x "), 300)))
+    rows = feeds.crux_status(table(spark, d, "pages").select(F.col("page_id").alias("url"), status.alias("status"), body.alias("body")))
+    return rows.withColumnRenamed("url", "page_id").withColumn("error", F.regexp_replace("error", "(?s)^(CrUX API returned 500: <p> down( x){92}).*$", "$1 "))
+
+
+@query("""SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN '{"origin":"https://a' || page_id || '.example"}' ELSE '{"url":"https://a' || page_id || '.example/x"}' END AS request FROM pages""")
+def crux_requests(spark, d):
+    url = F.concat(F.lit("https://a"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".example/").otherwise(".example/x"))
+    return table(spark, d, "pages").select(feeds.crux_request(url).alias("request"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS records, CASE WHEN page_id % 3 = 2 THEN 'status 503' ELSE '' END AS error FROM pages")
+def cdx_answers(spark, d):
+    """A crawl index's answers: records with a broken line between them, 404 for none, and an error."""
+    kind = F.col("page_id") % 3
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("target"), F.when(kind == 0, 200).when(kind == 1, 404).otherwise(503).alias("status"), F.when(kind == 0, '{"url":"a"}\n{broken\n{"url":"b","mime":"x"}\n').alias("body"))
+    return feeds.cdx_answer(rows).select(F.col("target").alias("page_id"), F.size("records").alias("records"), "error")
+
+
+@query("SELECT count(*) AS total, count(DISTINCT url) AS distinct_urls FROM (SELECT url FROM pages WHERE page_id % 9 <> 0 UNION ALL SELECT url FROM pages WHERE page_id % 9 <> 0)")
+def cdx_totals(spark, d):
+    rows = _cdx(spark, d)
+    return feeds.cdx_totals(rows.unionByName(rows))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN NULL ELSE '{"host":"a' || page_id || '.example","key":"k","urlList":["https://A' || page_id || '.example:8443/x","https://b.example/"]' || CASE page_id % 3 WHEN 1 THEN ',"keyLocation":"https://a/k.txt"' ELSE '' END || '}' END AS body FROM pages""")
+def indexnow_submission(spark, d):
+    i = F.col("page_id")
+    urls = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("https://A"), i.cast("string"), F.lit(".example:8443/x")), F.lit("https://b.example/")))
+    return table(spark, d, "pages").select("page_id", feeds.submission(urls, F.lit("k"), F.when(i % 3 == 1, "https://a/k.txt")).alias("body"))
+
+
+@query("SELECT count(*) AS keys, count(*) AS distinct_keys, true AS hexadecimal FROM pages")
+def indexnow_keys(spark, d):
+    keys = table(spark, d, "pages").select(feeds.new_key().alias("key"))
+    return keys.agg(F.count("*").alias("keys"), F.count_distinct("key").alias("distinct_keys"), F.bool_and(F.col("key").rlike("^[0-9a-f]{32}$")).alias("hexadecimal"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/upper' WHEN 1 THEN '/folded' WHEN 2 THEN '/target' ELSE '/out' END AS path FROM pages")
+def hook_paths_folded(spark, d):
+    """Names that count in any case, after the exact ones."""
+    kind = F.col("page_id") % 4
+    payload = (
+        F.when(kind == 0, '{"tool_input":{"FILEPATH":"/no","AbsolutePath":"/upper"}}').when(kind == 1, '{"tool_input":{"File_Path":"/folded","other":"/x"}}')
+        .when(kind == 2, '{"tool_input":{"file":"/file","TargetFile":"/target"}}').otherwise('{"tool_input":{"command":"ls"},"tool_response":{"FilePath":"/out"}}')
+    )
+    return table(spark, d, "pages").select("page_id", feeds.hook_path(payload).alias("path"))
+
+
+@query("""SELECT page_id, '{"error":{"command":"crawl","message":"page ' || page_id || ' failed"' || CASE WHEN page_id % 2 = 0 THEN ',"hint":"try again"' ELSE '' END || '}}' AS error FROM pages""")
+def error_json(spark, d):
+    message = F.concat(F.lit(" page "), F.col("page_id").cast("string"), F.lit(" failed "), F.when(F.col("page_id") % 2 == 0, "\n  try again\n").otherwise(""))
+    return table(spark, d, "pages").select("page_id", feeds.error_json(F.lit("crawl"), message).alias("error"))
+
+
+@query("""SELECT severity, count(*) AS pages FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'PASS' ELSE 'none' END AS severity FROM part) WHERE severity <> 'none' GROUP BY severity""")
+def schema_verdicts(spark, d):
+    """Pages without blocks, with sound ones, and with errors, whose findings stand for themselves."""
+    i = F.col("p_partkey") % 3
+    rows = table(spark, d, "part").select(F.when(i == 0, 0).otherwise(i).alias("blocks"), F.when(i == 1, 0).otherwise(2).alias("errors"))
+    return report.schema_verdicts(rows).groupBy("severity").agg(F.count("*").alias("pages"))
+
+
+@query("SELECT abs(max(c - b)) > 500 AS failed FROM (SELECT event_id % 2000 AS b, event_id * 7 % 3000 AS c FROM events)")
+def fail_on_change(spark, d):
+    """A run that fails if anything has changed that matters."""
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("url_key"), (F.col("event_id") % 2000).alias("b"), (F.col("event_id") * 7 % 3000).alias("c"))
+    return rules.trips(drift.compare(e.select("url_key", F.col("c").alias("ttfb_ms")), e.select("url_key", F.col("b").alias("ttfb_ms")), ()), "change")
+
+
+# ---------------------------------------------------------------- strategy reports
+_RANKED = "(SELECT c_custkey AS k, 'u' || ((c_custkey // 6) * 10 + (r + CASE c_custkey % 6 WHEN 5 THEN 7 ELSE c_custkey % 6 END) % 17) AS url, r FROM customer, range(1, 11) t(r))"
+
+
+@query(f"""WITH RECURSIVE serp AS {_RANKED}, link AS (SELECT a.k AS x, b.k AS y FROM serp a JOIN serp b ON a.url = b.url AND a.k <> b.k GROUP BY a.k, b.k HAVING count(*) >= 4),
+ walk(k, c) AS (SELECT k, k FROM (SELECT DISTINCT k FROM serp) UNION SELECT y, c FROM walk JOIN link ON x = walk.k) SELECT 'k' || k AS keyword, 'k' || min(c) AS cluster FROM walk GROUP BY k""")
+def keyword_clusters(spark, d):
+    """Keywords that share at least four of their first ten results; clusters are named by their first keyword."""
+    k = F.col("c_custkey")
+    shift = F.when(k % 6 == 5, 7).otherwise(k % 6)
+    rows = table(spark, d, "customer").select(k.alias("keyword"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank"), shift.alias("s"))
+    rows = rows.select("keyword", "rank", F.concat(F.lit("u"), (F.floor(F.col("keyword") / 6) * 10 + (F.col("rank") + F.col("s")) % 17).cast("string")).alias("url"))
+    got = strategy.keyword_clusters(rows)
+    return got.select(F.concat(F.lit("k"), F.col("keyword").cast("string")).alias("keyword"), F.concat(F.lit("k"), F.col("cluster").cast("string")).alias("cluster"))
+
+
+@query("""SELECT p_brand AS site, round(sum(w * score) * 1.0 / sum(w), 6) AS score FROM (SELECT p_brand, p_partkey % 101 AS score, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS w FROM part) GROUP BY p_brand""")
+def site_score_weighted(spark, d):
+    """A site's score: home pages count three times, hubs twice."""
+    i = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("site"), (i % 101).alias("score"), F.when(i % 4 == 0, "home").when(i % 4 == 1, "hub").otherwise("detail").alias("template"))
+    return strategy.weighted_score(rows).select("site", F.round("score", 6).alias("score"))
+
+
+@query("""WITH t AS (SELECT p_brand AS template, count(*) AS pages FROM part GROUP BY p_brand), f AS (SELECT p_brand AS template, 'i' || p_size % 5 AS issue, count(*) AS affected FROM part WHERE p_size % 5 < 3 OR p_partkey % 7 = 0 GROUP BY ALL)
+ SELECT template, issue, affected, CASE WHEN affected * 2 > pages THEN 'template' ELSE 'content' END AS kind FROM f JOIN t USING (template)""")
+def issue_origin(spark, d):
+    """Whether an issue comes from a template (most of its pages have it) or from single pages' content."""
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page"), F.col("p_brand").alias("template"))
+    found = table(spark, d, "part").where("p_size % 5 < 3 or p_partkey % 7 = 0").select(F.col("p_partkey").alias("page"), F.concat(F.lit("i"), (F.col("p_size") % 5).cast("string")).alias("issue"))
+    return strategy.issue_origin(pages, found)
+
+
+@query("""SELECT p_brand AS template, count(*) AS pages, count(*) FILTER (WHERE p_partkey % 101 < 60) AS thin, CASE WHEN count(*) >= 50 THEN 'stop' WHEN count(*) >= 30 THEN 'warn' ELSE 'pass' END AS gate FROM part GROUP BY p_brand""")
+def programmatic_gates(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("template"), (F.col("p_partkey") % 101).alias("score"))
+    return strategy.programmatic_gates(rows)

@@ -17,7 +17,7 @@ SITE = f"""(SELECT page_id AS id, url, url AS key, CASE WHEN hops > 0 THEN {_AT(
   FROM pages CROSS JOIN {_N} AS c) AS x)"""
 LINK = f"(SELECT id AS src_id, key AS src_key, (id * 3 + k) % n AS dst_id, {_AT('(id * 3 + k) % n')} AS dst_key FROM {SITE} AS s CROSS JOIN {_N} AS c CROSS JOIN {_K(4)} WHERE status = 200)"
 ALTERNATE = f"(SELECT key AS src_key, {_AT('(41 - id + n) % n')} AS dst_key FROM {SITE} AS s CROSS JOIN {_N} AS c WHERE id % 5 < 3)"
-SITEMAP = f"(SELECT key AS loc, key FROM {SITE} AS s WHERE id % 4 <> 0 UNION ALL SELECT {_AT('n + k')} AS loc, {_AT('n + k')} AS key FROM {_N} AS c CROSS JOIN {_K(10)})"
+SITEMAP = f"(SELECT key AS loc, key, id AS pos FROM {SITE} AS s WHERE id % 4 <> 0 UNION ALL SELECT {_AT('n + k')} AS loc, {_AT('n + k')} AS key, n + k AS pos FROM {_N} AS c CROSS JOIN {_K(10)})"
 
 
 def _run(spark, d, sql: str) -> DataFrame:

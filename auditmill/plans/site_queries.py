@@ -9,13 +9,18 @@ from auditmill.plans import site_fixture as X
 from auditmill.plans.registry import query, table
 from auditmill.sources import robots, sitemap
 
-_WITH = f"WITH site AS {X.SITE}, link AS {X.LINK}, alternate AS {X.ALTERNATE}, sitemap AS {X.SITEMAP}"
-_WITH += """, ins AS (SELECT dst_key AS key, count(*) AS in_links, list_sort(list(src_key))[1:3] AS referrers FROM (SELECT DISTINCT src_key, dst_key FROM link WHERE src_key <> dst_key AND dst_key IN (SELECT key FROM site)) GROUP BY dst_key)
+def with_(site: str, link: str, alternate: str, listed: str) -> str:
+    """Tables that the checks' SQL reads: the site's own, and what follows from them."""
+    return f"""WITH site AS {site}, link AS {link}, alternate AS {alternate}, sitemap AS {listed}
+, ins AS (SELECT dst_key AS key, count(*) AS in_links, list_sort(list(src_key))[1:3] AS referrers FROM (SELECT DISTINCT src_key, dst_key FROM link WHERE src_key <> dst_key AND dst_key IN (SELECT key FROM site)) GROUP BY dst_key)
 , ranked AS (SELECT *, row_number() OVER (PARTITION BY final_key ORDER BY CASE WHEN hops > 0 THEN 1 ELSE 0 END, url) AS rn FROM site)
 , uniq AS (SELECT * FROM ranked WHERE hops = 0 OR rn = 1)
-, good AS (SELECT * FROM uniq WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key))
-, landed AS (SELECT *, row_number() OVER (PARTITION BY final_key ORDER BY url) AS ln FROM site)
-, look AS (SELECT key AS at, status, noindex, final_key, hops, key FROM site UNION ALL SELECT final_key, status, noindex, final_key, hops, key FROM landed WHERE ln = 1 AND final_key NOT IN (SELECT key FROM site))"""
+, good AS (SELECT * FROM uniq WHERE status = 200 AND is_html AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key))
+, landed AS (SELECT *, row_number() OVER (PARTITION BY final_key ORDER BY url) AS ln FROM site WHERE hops > 0)
+, look AS (SELECT key AS at, url, status, noindex, final_key, hops, key, is_html, false AS landing FROM site UNION ALL SELECT final_key, url, status, noindex, final_key, hops, key, is_html, true FROM landed WHERE ln = 1 AND final_key NOT IN (SELECT key FROM site))"""
+
+
+_WITH = with_(X.SITE, X.LINK, X.ALTERNATE, X.SITEMAP)
 _BROKEN = "status >= 400 AND status NOT IN (401, 403, 429, 503)"
 
 
@@ -59,17 +64,18 @@ def duplicate_groups(spark, d):
     return of("title", True).union(of("description", True)).union(of("text_hash", False))
 
 
-_CANON = """SELECT u.url, u.canonical, CASE WHEN u.canonical LIKE 'https://other%' THEN 'elsewhere' WHEN l.at IS NULL OR l.status IN (401, 403, 429, 503) THEN 'unverified' WHEN l.status <> 200 THEN 'not-200' WHEN l.hops > 0 AND l.final_key <> u.canonical_key THEN 'redirects' WHEN l.noindex THEN 'noindex' ELSE 'fine' END AS kind
- FROM uniq u LEFT JOIN look l ON l.at = u.canonical_key WHERE u.status = 200 AND u.canonical_key <> '' AND u.canonical_key <> u.final_key"""
+_CANON = """SELECT url, canonical, unnest(CASE WHEN regexp_extract(canonical_key, '://([^/]*)', 1) <> regexp_extract(final_key, '://([^/]*)', 1) THEN ['elsewhere'] WHEN t_at IS NULL OR t_status IN (401, 403, 429, 503) THEN ['unverified'] WHEN t_status <> 200 THEN ['not-200']
+  WHEN (NOT landing AND t_hops > 0) AND t_noindex THEN ['redirects', 'noindex'] WHEN NOT landing AND t_hops > 0 THEN ['redirects'] WHEN t_noindex THEN ['noindex'] ELSE ['fine'] END) AS kind
+ FROM (SELECT u.url, u.canonical, u.canonical_key, u.final_key, l.at AS t_at, l.status AS t_status, l.hops AS t_hops, l.noindex AS t_noindex, l.landing FROM uniq u LEFT JOIN look l ON l.at = u.canonical_key WHERE u.status = 200 AND u.is_html AND NOT u.noindex AND u.canonical_key <> '' AND u.canonical_key <> u.final_key)"""
 
 
 @query(f"{_WITH} {_CANON}")
 def canonical_audit(spark, d):
-    return site.canonical_kinds(X.site(spark, d))
+    return site.canonical_kinds(X.site(spark, d)).drop("canonical_key")
 
 
-_ALT = """SELECT a.src_key, a.dst_key, CASE WHEN l.key IS NULL OR l.status IN (401, 403, 429, 503) THEN 'unverified' WHEN l.status <> 200 THEN 'not-200' WHEN NOT EXISTS (SELECT 1 FROM alternate b WHERE b.src_key = l.key AND b.dst_key = a.src_key) THEN 'one-way' ELSE 'fine' END AS kind
- FROM (SELECT DISTINCT src_key, dst_key FROM alternate WHERE src_key <> dst_key AND src_key IN (SELECT key FROM site WHERE status = 200)) a LEFT JOIN look l ON l.at = a.dst_key"""
+_ALT = """SELECT a.src_key, a.dst_key, CASE WHEN l.key IS NULL OR l.status IN (401, 403, 429, 503) THEN 'unverified' WHEN l.status <> 200 THEN 'not-200' WHEN l.is_html AND NOT EXISTS (SELECT 1 FROM alternate b WHERE b.src_key = l.key AND (b.dst_key = a.src_key OR b.dst_key = a.final_key)) THEN 'one-way' ELSE 'fine' END AS kind, l.url AS dst_url
+ FROM (SELECT DISTINCT t.src_key, t.dst_key, g.final_key FROM alternate t JOIN good g ON g.key = t.src_key WHERE t.src_key <> t.dst_key AND t.dst_key <> g.final_key) a LEFT JOIN look l ON l.at = a.dst_key"""
 
 
 @query(f"{_WITH} {_ALT}")
@@ -77,7 +83,7 @@ def hreflang_reciprocity(spark, d):
     return site.alternate_kinds(X.site(spark, d), X.alternate(spark, d))
 
 
-_LISTED = """SELECT loc, CASE WHEN status <> 200 THEN 'not-200' WHEN hops > 0 THEN 'redirect' WHEN noindex THEN 'noindex' WHEN canonical_key <> '' AND canonical_key <> final_key THEN 'canonicalised' ELSE 'fine' END AS kind FROM sitemap JOIN site USING (key) WHERE status NOT IN (401, 403, 429, 503)"""
+_LISTED = """SELECT loc, CASE WHEN status <> 200 THEN 'not-200' WHEN hops > 0 THEN 'redirect' WHEN noindex THEN 'noindex' WHEN is_html AND canonical_key <> '' AND canonical_key <> final_key THEN 'canonicalised' ELSE 'fine' END AS kind FROM sitemap JOIN site USING (key) WHERE status NOT IN (401, 403, 429, 503)"""
 
 
 @query(f"{_WITH} {_LISTED}")
@@ -95,7 +101,7 @@ def orphans(spark, d):
     return site.orphans(*_in(spark, d), X.sitemap(spark, d)).select("url")
 
 
-@query(f"{_WITH} SELECT url, CAST(depth AS VARCHAR) AS detail FROM site WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key) AND depth > 3")
+@query(f"{_WITH} SELECT url, CAST(depth AS VARCHAR) AS detail FROM good WHERE depth > 3")
 def deep_pages(spark, d):
     return site.deep(X.site(spark, d))
 
@@ -105,19 +111,19 @@ def distinct_landing(spark, d):
     return site.distinct_pages(X.site(spark, d)).select("url")
 
 
-_ALL = f"""SELECT 'CRITICAL' AS severity, 'Broken links' AS category, url FROM site JOIN ins USING (key) WHERE {_BROKEN}
+ALL_ISSUES = f"""SELECT 'CRITICAL' AS severity, 'Broken links' AS category, url FROM site JOIN ins USING (key) WHERE {_BROKEN}
  UNION ALL SELECT 'WARNING', 'Linked redirects', url FROM site JOIN ins USING (key) WHERE depth > 0 AND hops >= 1 UNION ALL SELECT 'WARNING', 'Redirect chains', url FROM site WHERE hops >= 2
  UNION ALL SELECT 'CRITICAL', 'Missing title', url FROM good WHERE title = '' UNION ALL SELECT 'WARNING', 'Missing description', url FROM good WHERE description = ''
  UNION ALL SELECT 'WARNING', 'Duplicate ' || CASE field WHEN 'text_hash' THEN 'text' ELSE field END, first FROM ({_DUP('title', 'lower(title)')} UNION ALL {_DUP('description', 'lower(description)')} UNION ALL {_DUP('text_hash', 'text_hash')})
  UNION ALL SELECT CASE kind WHEN 'not-200' THEN 'CRITICAL' WHEN 'noindex' THEN 'CRITICAL' WHEN 'redirects' THEN 'WARNING' ELSE 'INFO' END, 'Canonical ' || replace(kind, 'not-200', 'not 200'), url FROM ({_CANON}) WHERE kind NOT IN ('fine', 'unverified')
- UNION ALL SELECT 'WARNING', 'Hreflang ' || replace(kind, 'not-200', 'not 200'), src_key FROM ({_ALT}) WHERE kind IN ('not-200', 'one-way')
+ UNION ALL SELECT DISTINCT 'WARNING', 'Hreflang ' || replace(kind, 'not-200', 'not 200'), dst_url FROM ({_ALT}) WHERE kind IN ('not-200', 'one-way')
  UNION ALL SELECT 'WARNING', 'Sitemap ' || replace(kind, 'not-200', 'not 200'), loc FROM ({_LISTED}) WHERE kind <> 'fine'
- UNION ALL SELECT 'INFO', 'Deep pages', url FROM site WHERE status = 200 AND NOT noindex AND (canonical_key = '' OR canonical_key = final_key) AND depth > 3
+ UNION ALL SELECT 'INFO', 'Deep pages', url FROM good WHERE depth > 3
  UNION ALL SELECT 'INFO', 'Missing from sitemap', url FROM good WHERE key NOT IN (SELECT key FROM sitemap) AND final_key NOT IN (SELECT key FROM sitemap)
  UNION ALL SELECT 'WARNING', 'Orphans', loc FROM sitemap WHERE key NOT IN (SELECT key FROM site UNION ALL SELECT final_key FROM site UNION ALL SELECT dst_key FROM link)"""
 
 
-@query(f"{_WITH} SELECT severity, category, count(*) AS affected, array_to_string(list_sort(list(url))[1:20], ' ') AS sample FROM ({_ALL}) GROUP BY ALL")
+@query(f"{_WITH} SELECT severity, category, count(*) AS affected, array_to_string(list_sort(list(url))[1:20], ' ') AS sample FROM ({ALL_ISSUES}) GROUP BY ALL")
 def site_issue_summary(spark, d):
     return site.summary(site.issues(*_in(spark, d), X.alternate(spark, d), X.sitemap(spark, d)))
 
@@ -127,6 +133,25 @@ def site_notes(spark, d):
     return site.notes(X.site(spark, d), X.sitemap(spark, d))
 
 
+_NOTES = f"""SELECT 'start-failed' AS note, count(*) AS n FROM site WHERE depth = 0 AND status >= 400 UNION ALL SELECT 'blocked', count(*) FROM site WHERE status IN (401, 403, 429, 503)
+ UNION ALL SELECT 'canonical-unverified', count(DISTINCT canonical) FROM ({_CANON}) WHERE kind = 'unverified' UNION ALL SELECT 'hreflang-unverified', count(DISTINCT dst_key) FROM ({_ALT}) WHERE kind = 'unverified'"""
+_UNLISTED = "SELECT count(*) FROM good WHERE key NOT IN (SELECT key FROM sitemap) AND final_key NOT IN (SELECT key FROM sitemap)"
+
+
+@query(f"""{_WITH} SELECT 'whole' AS run, * FROM ({_NOTES}) WHERE n > 0 UNION ALL SELECT 'cut', * FROM ({_NOTES} UNION ALL SELECT 'truncated', 1 UNION ALL SELECT 'orphans-unchecked', 1 UNION ALL SELECT 'missing-unchecked', ({_UNLISTED})) WHERE n > 0
+ UNION ALL SELECT 'elsewhere', * FROM ({_NOTES} UNION ALL SELECT 'sitemap-elsewhere', count(*) FROM sitemap) WHERE n > 0 UNION ALL SELECT 'nothing', 'no-pages', 1 UNION ALL SELECT 'nothing', 'sitemap-elsewhere', count(*) FROM sitemap""")
+def site_notes_all(spark, d):
+    """The notes of a whole audit, of one cut short, of one whose sitemap lists other hosts, and of one without pages."""
+    p, alt, listed = X.site(spark, d), X.alternate(spark, d), X.sitemap(spark, d)
+    away = listed.withColumn("key", F.replace("key", F.lit("s.example"), F.lit("elsewhere.example")))
+    runs = {"whole": (p, alt, listed, True, False), "cut": (p, alt, listed, False, True), "elsewhere": (p, alt, away, True, False), "nothing": (p.where("false"), alt, listed, True, False)}
+    out = None
+    for name, args in runs.items():
+        rows = site.all_notes(*args).select(F.lit(name).alias("run"), "note", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ---------------------------------------------------------------- crawling
 @query(f"WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), edge AS (SELECT page_id AS src, (page_id * 3 + k) % n AS dst FROM pages, n, range(1, 5) t(k)), walk(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = id WHERE depth < 12) SELECT id AS key, min(depth) AS depth FROM walk GROUP BY id")
 def bfs_depth(spark, d):
@@ -136,13 +161,48 @@ def bfs_depth(spark, d):
     return crawl.breadth_first(spark.range(1).select(F.col("id").alias("key")), edges)
 
 
-@query()
+_CRAWL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), page AS (SELECT page_id AS id, n, CASE page_id % 23 WHEN 3 THEN 404 WHEN 5 THEN 503 ELSE 200 END AS status, page_id % 29 = 28 AS away, page_id % 8 = 7 AS shut, page_id % 19 = 18 AS noindex FROM pages, n),
+ edge AS (SELECT id AS src, (id * 3 + k) % n AS dst FROM page, range(1, 5) t(k) WHERE status = 200 AND NOT away),
+ walk(id, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, depth + 1 FROM walk JOIN edge ON src = id JOIN page p ON p.id = dst WHERE NOT p.shut AND depth < 12),
+ met AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
+
+
+def _crawled(spark, d, **limits):
+    """A site in which some pages fail, some land on another host, and some are held back by robots."""
+    i = F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id")
+    n = pages.count()
+    status = F.when(i % 23 == 3, 404).when(i % 23 == 5, 503).otherwise(200)
+    away = i % 29 == 28
+    snapshot = pages.select(i.cast("string").alias("key"), F.lit("s.example").alias("host"), status.alias("status"), F.when(away, F.concat(F.lit("o"), i.cast("string"))).otherwise(i.cast("string")).alias("final_key"), F.when(away, "o.example").otherwise("s.example").alias("final_host"), (i % 19 == 18).alias("noindex"))
+    links = pages.select(i.cast("string").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: ((i * 3 + k) % n).cast("string"))).alias("dst"))
+    blocked = pages.where("page_id % 8 = 7").select(i.cast("string").alias("key"))
+    return crawl.site_crawl("0", snapshot, links, blocked, **limits)
+
+
+@query(f"{_CRAWL} SELECT CAST(id AS VARCHAR) AS key, CAST(depth AS INTEGER) AS depth, status FROM met JOIN page USING (id)")
+def crawl_site(spark, d):
+    return _crawled(spark, d, max_pages=100_000).visits.select("key", "depth", "status")
+
+
+@query(f"{_CRAWL} SELECT key FROM (SELECT DISTINCT CAST(dst AS VARCHAR) AS key, m.depth FROM met m JOIN edge ON src = m.id JOIN page p ON p.id = dst WHERE p.shut) GROUP BY key ORDER BY min(depth), key LIMIT 200")
+def crawl_blocked_links(spark, d):
+    """The links that robots held back, level by level, 200 at most."""
+    return _crawled(spark, d, max_pages=100_000).blocked
+
+
+@query(f"{_CRAWL} SELECT key, depth FROM (SELECT CAST(id AS VARCHAR) AS key, CAST(depth AS INTEGER) AS depth FROM met) ORDER BY depth, key LIMIT 30")
 def crawl_budget(spark, d):
-    """A crawl of 60 pages from the first one; only pages that answer lead on."""
-    pages = X.site(spark, d)
-    snapshot = pages.select("key", "status", F.lit("s.example").alias("host"))
-    links = X.link(spark, d).select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst"))
-    return crawl.crawl(pages.where("id = 0").select("key"), snapshot, links, max_pages=60)
+    """A crawl of 30 pages from the first one: whole levels, then the first pages by URL of the level where the budget ends."""
+    return _crawled(spark, d, max_pages=30).visits.select("key", "depth")
+
+
+@query(f"{_CRAWL} SELECT CASE WHEN status = 200 AND NOT away AND NOT noindex THEN 'page' ELSE 'excluded' END AS outcome, count(*) AS pages FROM met JOIN page USING (id) GROUP BY outcome")
+def crawl_sitemap_pages(spark, d):
+    """Visited pages that a sitemap would list, and those it wouldn't."""
+    host = F.when(F.col("final_key").startswith("o"), "O.example").otherwise("S.example")
+    rows = _crawled(spark, d, max_pages=100_000).visits.withColumn("final_host", host)
+    return crawl.sitemap_pages(rows, "final_host", "s.example").groupBy("outcome").agg(F.count("*").alias("pages"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), hop AS (SELECT page_id AS id, CASE WHEN page_id % 11 = 4 OR page_id % 29 = 6 THEN (page_id * 13 + 5) % n END AS target, page_id % 11 = 4 OR page_id % 29 = 6 AS moves, page_id % 7 = 0 AND page_id % 11 = 4 AS lost FROM pages, n),
@@ -238,12 +298,36 @@ def sitemap_xml_out(spark, d):
     return sitemap.entries(table(spark, d, "pages").select("url", F.lit("").alias("final_url"), F.when(i % 2 == 0, F.concat(F.lit("2026-01-0"), (1 + i % 9).cast("string"))).otherwise("").alias("lastmod")))
 
 
-@query("SELECT * FROM (VALUES ('root', 0), ('a', 1), ('b', 1), ('a1', 2), ('a2', 2), ('deep', 3)) t(file, depth)")
+_TREE = "(SELECT page_id AS id, CAST(CASE WHEN page_id = 0 THEN 0 WHEN page_id <= 12 THEN 1 WHEN page_id <= 156 THEN 2 WHEN page_id <= 1884 THEN 3 ELSE 4 END AS INTEGER) AS depth, (page_id - 1) // 12 AS up FROM pages)"
+_WALKED = f"(SELECT 'm' || id AS file, depth, CASE WHEN id = 7 THEN 'missing' WHEN id <= 50 THEN '' ELSE 'over the cap' END AS error FROM {_TREE} WHERE depth <= 1 OR (depth = 2 AND up <> 7) OR (depth = 3 AND up BETWEEN 13 AND 50))"
+
+
+def _walked(spark, d):
+    """An index of twelve, each of twelve more, and so on; one file is missing, and every file lists two others again."""
+    i = F.col("page_id")
+    rows = table(spark, d, "pages").select(i.alias("id"), F.when(i > 0, F.floor((i - 1) / 12)).alias("up"))
+    entry = lambda x: F.concat(F.lit("<sitemap><loc>m"), x, F.lit("</loc></sitemap>"))
+    kids = rows.where("id > 0").groupBy("up").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: entry(x.cast("string"))), "").alias("kids")).withColumnRenamed("up", "of")
+    body = F.concat(F.lit("<sitemapindex>"), F.coalesce("kids", F.lit("")), entry(F.lit("0")), entry(F.lit("3")), F.lit("</sitemapindex>"))
+    files = rows.join(kids, rows.id == kids.of, "left").where("id <> 7").select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("file"), body.alias("body"))
+    return sitemap.tree(spark.createDataFrame([("m0",)], "file string"), files)
+
+
+@query(f"SELECT * FROM {_WALKED}")
 def sitemap_tree(spark, d):
-    """An index with a cycle, a file listed twice, and one below the depth that is read."""
-    index = lambda *cs: "<sitemapindex>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in cs) + "</sitemapindex>"
-    files = spark.createDataFrame([("root", index("a", "b", "root")), ("a", index("a1", "a2", "b")), ("a2", index("deep")), ("deep", index("deeper"))], "file string, body string")
-    return sitemap.tree(files.where("file = 'root'").select("file"), files).select("file", "depth")
+    return _walked(spark, d).select("file", "depth", "error")
+
+
+@query(f"SELECT count(*) FILTER (WHERE error <> '') = 0 AS complete, count(*) FILTER (WHERE error = '') AS files, count(*) FILTER (WHERE error = 'over the cap') AS skipped, count(*) FILTER (WHERE error = 'missing') AS errors FROM {_WALKED}")
+def sitemap_complete(spark, d):
+    return sitemap.complete(_walked(spark, d))
+
+
+@query("SELECT url AS loc FROM pages ORDER BY page_id % 7, page_id // 7 LIMIT 60")
+def sitemap_collected(spark, d):
+    """The first URLs of seven files in the tree's order, up to a limit."""
+    found = sitemap.urls(_maps(spark, d)).withColumn("path", F.array(F.lit(0), F.substring("file", 2, 9).cast("int")))
+    return sitemap.collected(found, 60).select("loc")
 
 
 @query("SELECT * FROM (VALUES ('https://a', 'https://a/map1', 'robots'), ('https://a', 'https://a/map2', 'robots'), ('https://b', 'https://b/sitemap.xml', '/sitemap.xml'), ('https://c', 'https://c/sitemap_index.xml', '/sitemap_index.xml')) t(site, file, source)")
@@ -254,8 +338,20 @@ def sitemap_discover(spark, d):
     return sitemap.discover(sites, listed, spark.createDataFrame(files, "file string, body string")).select("site", "file", "source")
 
 
-@query()
+_HOST = "regexp_extract(url, '://([^/]*)', 1)"
+
+
+@query(f"SELECT arg_min(url, page_id) AS loc FROM pages WHERE {_HOST} LIKE '%.com' GROUP BY regexp_replace(url, '/$', '')")
 def sitemap_on_hosts(spark, d):
-    locs = table(spark, d, "pages").select(F.col("url").alias("loc"))
-    hosts = locs.select(F.regexp_extract("loc", "://([^/]*)", 1).alias("host")).where("host like '%.com'").distinct()
-    return sitemap.on_hosts(locs, hosts)
+    """Listed URLs on some hosts; every URL is listed again with a fragment."""
+    listed = table(spark, d, "pages").select(F.explode(F.array(F.struct(F.col("url").alias("loc"), F.col("page_id").alias("pos")), F.struct(F.concat("url", F.lit("#again")).alias("loc"), (F.col("page_id") + 1_000_000_000).alias("pos")))).alias("x")).select("x.*")
+    hosts = listed.select(F.regexp_extract("loc", "://([^/]*)", 1).alias("host")).where("host like '%.com'").distinct()
+    return sitemap.on_hosts(listed, hosts).select("loc")
+
+
+@query("SELECT 'https://other.example/x' AS loc")
+def sitemap_cross_origin(spark, d):
+    """The first sampled URL on another host than the sitemap's; two such URLs are put last into each file."""
+    maps = _maps(spark, d).withColumn("body", F.concat(F.regexp_replace(F.regexp_replace("body", "<loc> [^<]* </loc>", "<loc>https://s.example/p</loc>"), "<url><loc>cut$", ""), F.lit("<url><loc>https://other.example/x</loc></url><url><loc>https://other.example/y</loc></url>")))
+    found = sitemap.urls(maps)
+    return sitemap.cross_origin(sitemap.sample(found, 1_000_000_000), "S.example")

@@ -48,6 +48,17 @@ def counts(files: DataFrame) -> DataFrame:
     )
 
 
+def blocks_all(files: DataFrame) -> DataFrame:
+    """site, blocked: whether the rules for all agents (*) forbid the whole site, by a rule for / that nothing allows again."""
+    g = groups(files)
+    everyone = agents(g).where("agent = '*'").select("site", "grp").distinct()
+    ruled = rules(g).join(everyone, ["site", "grp"], "left_semi")
+    whole = F.coalesce(F.bool_or(~F.col("allow") & (F.col("pattern") == "/")), F.lit(False))
+    root = verdicts(files.select("site", F.lit("/").alias("path")).distinct(), ruled).select("site", "allowed")
+    per = ruled.groupBy("site").agg(whole.alias("whole"))
+    return root.join(per, "site", "left").select("site", (F.coalesce("whole", F.lit(False)) & ~F.col("allowed")).alias("blocked"))
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A rule's pattern as a regular expression: * is any text, $ at the end ends the path."""
     ends = F.endswith(pattern, F.lit("$"))
@@ -89,10 +100,14 @@ def policy(files: DataFrame) -> DataFrame:
     per = of.groupBy("site", "bot").agg(
         F.max("agent").alias("agent"), F.coalesce(F.bool_or(~F.col("allow") & (F.col("pattern") == "/")), F.lit(False)).alias("whole"),
         F.coalesce(F.bool_or(~F.col("allow") & (F.col("pattern") != "")), F.lit(False)).alias("some"),
-        F.max(F.when(F.expr("'/' rlike '^/$'") & F.col("pattern").isin("/", "/*", "*", "/$"), F.struct(F.octet_length("pattern").alias("size"), "allow"))).alias("root"),
     )
+    # what the longest matching rule of its group says of the root
+    own = of.select(F.concat_ws("\n", "site", "bot").alias("site"), "allow", "pattern").where("pattern is not null")
+    root = verdicts(of.select(F.concat_ws("\n", "site", "bot").alias("site"), F.lit("/").alias("path")).distinct(), own).select(F.col("site").alias("_of"), "allowed")
+    per = per.join(root, F.concat_ws("\n", "site", "bot") == F.col("_of")).drop("_of")
     per = files.select("site").distinct().join(bots).join(per, ["site", "bot"], "left")
-    blocked = F.coalesce(F.col("whole") & ~F.coalesce(F.col("root.allow"), F.lit(True)), F.lit(False))
+    blocked = F.coalesce(F.col("whole") & ~F.col("allowed"), F.lit(False))
+    # What a crawler's policy is called.
     status = F.when(blocked, "Disallowed").when(F.col("some"), "Partial Restrictions").otherwise("Allowed")
     label = F.when(F.col("agent") == F.lower("bot"), F.col("bot")).otherwise(F.coalesce("agent", F.lit("")))
     return per.select("site", "bot", label.alias("label"), status.alias("status"))

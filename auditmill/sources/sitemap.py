@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from auditmill.functions import urls as U
+from auditmill.operators.crawl import _cut
 
 # Limits that a run keeps unless told otherwise.
 MAX_CHILDREN, MAX_DEPTH, MAX_URLS, MAX_FILE_URLS, MAX_BYTES, SAMPLE, MAX_SAMPLE = 50, 3, 200_000, 50_000, 50 << 20, 10, 100
@@ -76,19 +77,46 @@ def discover(sites: DataFrame, listed: DataFrame, snapshot: DataFrame) -> DataFr
 
 
 def tree(roots: DataFrame, snapshot: DataFrame, max_children: int = MAX_CHILDREN, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Walks indexes level by level: roots (file) over snapshot (file, body) -> file, depth, path. A file is taken once; path sorts depth first."""
-    level = roots.select("file", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path"))
-    seen, edges = level, children(snapshot)
-    for depth in range(1, max_depth + 1):
-        down = level.join(edges, "file").select(F.col("child").alias("file"), F.concat("path", F.array("pos")).alias("path"))
-        down = down.groupBy("file").agg(F.min("path").alias("path")).join(seen.select("file"), "file", "left_anti").select("file", F.lit(depth).alias("depth"), "path")
-        level = down.orderBy("path").limit(max_children).checkpoint() if depth < max_depth and _can_checkpoint(down) else down.orderBy("path").limit(max_children)
-        seen = seen.unionByName(level)
-    return seen
-
+    """Walks indexes level by level: roots (file) over snapshot (file, body) -> file, depth, path, error.
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    A file is taken once, where it is listed first; path sorts depth first. One budget of children is spent over
+    all levels, in listed order. error: "" for a file that was read, "missing" for one that the snapshot lacks,
+    "too deep" or "over the cap" for one that was left out. The tree is complete if no row has an error.
+    """
+    level = roots.select("file", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path"))
+    known, edges, left = snapshot.select(F.col("file").alias("_file")).distinct(), children(snapshot), max_children
+    taken = _cut(level.withColumn("error", F.lit("")))
+    out = taken
+    for depth in range(1, max_depth + 2):
+        down = taken.where("error = ''").join(edges, "file").select(F.col("child").alias("file"), F.concat("path", F.array("pos")).alias("path"))
+        down = down.groupBy("file").agg(F.min("path").alias("path")).join(out.select("file"), "file", "left_anti").withColumn("depth", F.lit(depth))
+        if depth > max_depth:
+            taken = down.withColumn("error", F.lit("too deep"))
+        else:
+            # ranks up to the budget alone are needed; the window is over one level's files, not over URLs
+            rank = F.row_number().over(Window.orderBy("path"))
+            taken = down.withColumn("error", F.when(rank > left, "over the cap").otherwise(""))
+        taken = _cut(taken.select("file", "depth", "path", "error"))
+        out = out.unionByName(taken)
+        if depth <= max_depth:
+            left -= taken.where("error = ''").count()
+    out = out.join(known, F.col("file") == F.col("_file"), "left")
+    error = F.when((F.col("error") == "") & F.col("_file").isNull(), "missing").otherwise(F.col("error"))
+    return out.select("file", "depth", "path", error.alias("error"))
+
+
+def complete(walked: DataFrame) -> DataFrame:
+    """One row: complete, files (read), skipped (left out by depth or budget), errors (that couldn't be read)."""
+    left_out = F.col("error").isin("too deep", "over the cap")
+    return walked.agg(
+        (F.count_if(F.col("error") != "") == 0).alias("complete"), F.count_if(F.col("error") == "").alias("files"), F.count_if(left_out).alias("skipped"),
+        F.count_if((F.col("error") != "") & ~left_out).alias("errors"),
+    )
+
+
+def collected(found: DataFrame, most: int = MAX_URLS) -> DataFrame:
+    """found (file, pos, path, loc) -> the first `most` URLs in the tree's order; a run that has more isn't complete."""
+    return found.orderBy("path", "pos").limit(most)
 
 
 def totals(found: DataFrame) -> DataFrame:
@@ -143,6 +171,22 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def on_hosts(locs: DataFrame, hosts: DataFrame) -> DataFrame:
-    """locs (loc) on the given hosts (host), one for each key: the first in order."""
+    """locs (loc, pos) on the given hosts (host), one for each key: the first listed."""
     rows = locs.withColumns({"host": U.host_of(F.col("loc")), "key": U.key_absolute(F.col("loc"))}).join(hosts, "host", "left_semi")
-    return rows.groupBy("key").agg(F.min("loc").alias("loc"))
+    return rows.groupBy("key").agg(F.min_by("loc", "pos").alias("loc"))
+
+
+def cross_origin(sampled: DataFrame, host: str) -> DataFrame:
+    """The first sampled URL (loc, in order of j and g) that is on another host than the sitemap; no row if none is."""
+    return sampled.where(U.host_of(F.col("loc")) != host.lower()).orderBy("j", "g").limit(1).select("loc")
+
+
+def read_file(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """files (file, status, raw) -> file, body, error, warn: a file that answered with 200 and is a sitemap, unzipped.
+
+    A plain file longer than `most` bytes keeps what its first bytes hold, with a warning.
+    """
+    cut = F.octet_length("raw") > most
+    rows = files.withColumns({"x": decoded(F.substring("raw", 1, most)), "cut": cut})
+    bad = F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, F.concat(F.lit("status "), F.coalesce("status", F.lit(0)).cast("string"))).otherwise(F.col("x.error"))
+    return rows.select("file", F.when(bad == "", F.col("x.body")).otherwise("").alias("body"), bad.alias("error"), F.when(F.col("cut") & (bad == ""), "truncated").otherwise("").alias("warn"))
