@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditmill.operators import jsonld, rules, site
+from auditmill import api
+from auditmill.operators import jsonld, report, rules, site
 from auditmill.plans.registry import query, table
 from auditmill.plans.site_queries import ALL_ISSUES, with_
 from auditmill.sources import html
@@ -220,3 +221,39 @@ def site_audit_parsed(spark, d):
     """From markup to issues: parse, resolve, join. Some links are held back by robots."""
     blocked = table(spark, d, "pages").where("page_id % 50 = 0").select(F.expr(_AT("page_id + 200000")).alias("url")).withColumn("key", F.col("url"))
     return site.site_audit(_crawled(spark, d), _sitemap(spark, d), robots_blocked=blocked).select("category", "severity", "url")
+
+
+_AUDITS = {"technical": _expected(_TECHNICAL), "content": _expected({k: v for k, v in _CONTENT.items() if k not in ("R-C9", "R-C9b", "R-C10")}, f"(SELECT page_id, len({_WORDS}) AS units FROM pages)"), "images": _expected(_IMAGES)}
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, '{name}' AS audit, score, rules FROM ({sql})" for name, sql in _AUDITS.items()))
+def audit_pages(spark, d):
+    """All audits of a page by one entry point."""
+    rows = api.audit_pages(markup(spark, d)).where("audit <> 'hreflang'")
+    rows = rows.groupBy(F.regexp_extract("url", "p([0-9]+)$", 1).cast("long").alias("page_id"), "audit").agg(F.first("score").alias("score"), F.array_sort(F.collect_list("rule")).alias("r"))
+    # in the order of the audit's table: by number, then by letter
+    order = F.array_sort(F.transform("r", lambda r: F.named_struct(F.lit("n"), F.regexp_extract(r, "([0-9]+)", 1).cast("int"), F.lit("r"), r)))
+    return rows.select("page_id", "audit", "score", F.array_join(F.transform(order, lambda x: x.r), " ").alias("rules"))
+
+
+@query(f"SELECT page_id, CASE WHEN {CANONICAL} = '' THEN '' ELSE {_CANON_KEY.replace(_IS_HTML, 'TRUE')} END AS canonical, len({_WORDS}) >= 150 AS deep, CASE page_id % 3 WHEN 0 THEN 0 ELSE 2 END AS hits, page_id % 2 = 1 AS blocked FROM pages")
+def registered_functions(spark, d):
+    """The functions that SQL gets, used in SQL."""
+    api.register(spark)
+    markup(spark, d).createOrReplaceTempView("markup_pages")
+    return spark.sql("""SELECT page_id, CASE WHEN f.canonical = '' THEN '' ELSE url_key(f.canonical, url) END AS canonical, size(split(trim(regexp_replace(folded_text(f.body_text), '[^a-z0-9]+', ' ')), ' ')) >= 150 AS deep,
+        keyword_count(f.body_text, 'Zebra') AS hits, blocked_address(CASE WHEN page_id % 2 = 1 THEN '::1' ELSE '8.8.8.8' END) AS blocked FROM (SELECT page_id, url, page_facts(html) AS f FROM markup_pages)""")
+
+
+@query(f"""WITH f AS ({' UNION ALL '.join(f"SELECT '{s}' AS severity, '{c}' AS category, {URL} AS url, CASE WHEN page_id % 2 = 0 THEN 'n ' || page_id ELSE '' END AS detail FROM pages WHERE {w}" for s, c, w in (('CRITICAL', 'Broken', 'page_id % 23 = 3'), ('INFO', 'Deep', 'page_id % 3 = 0'), ('WARNING', 'Thin', 'page_id % 5 = 0')))}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY url) AS k, count(*) OVER (PARTITION BY category) AS n FROM f)
+ SELECT '[' || severity || '] ' || category || ' (' || count(*) || ')' AS line FROM f GROUP BY severity, category UNION ALL SELECT unnest([x for x in ['  - ' || url, CASE WHEN detail <> '' THEN '      ' || detail END] if x IS NOT NULL]) FROM k WHERE k <= 5
+ UNION ALL SELECT DISTINCT '  … and ' || (n - 5) || ' more' FROM k WHERE n > 5 UNION ALL SELECT '  * blocked: ' || count(*) FROM pages""")
+def console_report(spark, d):
+    """A site's issues as lines of text, five pages each."""
+    found = None
+    for severity, category, when in (("CRITICAL", "Broken", "page_id % 23 = 3"), ("INFO", "Deep", "page_id % 3 = 0"), ("WARNING", "Thin", "page_id % 5 = 0")):
+        rows = table(spark, d, "pages").where(when).select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.expr(URL).alias("url"), F.expr("CASE WHEN page_id % 2 = 0 THEN 'n ' || page_id ELSE '' END").alias("detail"))
+        found = rows if found is None else found.unionByName(rows)
+    notes = table(spark, d, "pages").agg(F.count("*").alias("n")).select(F.lit("blocked").alias("note"), "n")
+    return report.console(found, notes).select("line")
