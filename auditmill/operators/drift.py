@@ -18,7 +18,9 @@ def capture(pages: DataFrame, at) -> DataFrame:
 
     f = lambda n: F.col(f"facts.{n}")
     inside = F.size(F.filter(f("anchors"), lambda a: U.link_kind(a, U.host_of(F.col("url"))) == "internal"))
-    types = F.flatten(F.transform(f("jsonld"), lambda r: F.regexp_extract_all(r, F.lit(r'"@type"\s*:\s*"([^"]+)"'), F.lit(1))))
+    # types stand alone or in a list
+    lists = F.flatten(F.transform(f("jsonld"), lambda r: F.regexp_extract_all(r, F.lit(r'"@type"\s*:\s*("[^"]+"|\[[^\]]*\])'), F.lit(1))))
+    types = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'"([^"]+)"'), F.lit(1))))
     return pages.select(
         "url", U.store_key(U.key_absolute(F.col("url"))).alias("url_key"), F.lit(at).cast("timestamp").alias("timestamp"), F.sha2("html", 256).alias("content_sha256"), F.col("status").alias("status_code"), f("title").alias("title"),
         f("description").alias("meta_description"), f("canonical").alias("canonical"), f("h1").alias("h1"), F.array_sort(F.array_distinct(types)).alias("schema_types"), T.count_words(f("body_text")).alias("word_count"),

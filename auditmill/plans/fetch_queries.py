@@ -43,14 +43,19 @@ def json_rows(spark, d):
     return report.as_json(table(spark, d, "nation").select("n_nationkey", "n_name"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN page_id % 6 IN (0, 1) THEN '<urlset><url><loc>a</loc></url></urlset>' WHEN page_id % 6 = 5 THEN '<urlset><url><loc>a</loc></url>' ELSE '' END AS body, page_id % 6 IN (2, 3, 4) AS failed, CASE WHEN page_id % 6 = 5 THEN 'truncated' ELSE '' END AS warn FROM pages""")
 def sitemap_gzip(spark, d):
-    """Plain, zipped, cut and HTML files; what is no sitemap has an error."""
+    """Plain and zipped files, a zipped one that is cut, an HTML page, an answer that isn't 200, and a plain one that is too long."""
     import gzip
 
-    whole = gzip.compress(b"<urlset><url><loc>a</loc></url></urlset>")
-    files = spark.createDataFrame([("plain", b"<urlset/>"), ("zipped", whole), ("cut", whole[:-12]), ("page", b"<html>")], "file string, raw binary")
-    return files.select("file", sitemap.decoded("raw").alias("x")).select("file", "x.*")
+    whole = b"<urlset><url><loc>a</loc></url></urlset>"
+    zipped = gzip.compress(whole)
+    kind = F.col("page_id") % 6
+    raw = F.when(kind == 0, F.lit(whole)).when(kind == 1, F.lit(zipped)).when(kind == 2, F.lit(zipped[:-12])).when(kind == 3, F.lit(b"<html>")).when(kind == 4, F.lit(whole)).otherwise(F.lit(whole[:-9] + b"<url>" * 90))
+    files = table(spark, d, "pages").select(F.col("page_id").alias("file"), F.when(kind == 4, 404).otherwise(200).alias("status"), raw.alias("raw"))
+    rows = sitemap.read_file(files, most=len(zipped))
+    kept = F.regexp_replace("body", "(<url>)*(<u?r?l?)?$", "")
+    return rows.select(F.col("file").alias("page_id"), F.when(F.col("warn") == "", F.col("body")).otherwise(kept).alias("body"), (F.col("error") != "").alias("failed"), "warn")
 
 
 @query()
@@ -66,14 +71,20 @@ def drift_capture(spark, d):
     return drift.capture(rows, "2026-01-01").select("url", "content_sha256", "internal_links")
 
 
-@query()
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, CASE WHEN event_id % 20 = 0 THEN 404 ELSE 200 END AS status, count(*) AS fetches FROM events GROUP BY ALL")
 def status_stream(spark, d):
-    """Fetches by hour and status from a stream (an extension), read to its end."""
+    """Fetches by hour and status from a stream (an extension), read to its end; its results are written where all can read them."""
+    import uuid
+
     from auditmill.streaming import monitor
 
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/status-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counts = monitor.status_counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 20 == 0, 404).otherwise(200).alias("status")))
-    run = counts.writeStream.outputMode("complete").format("memory").queryName("status_stream").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table("status_stream")
+
+    def keep(rows, _):
+        rows.write.mode("overwrite").parquet(folder + "/counts")
+
+    counts.writeStream.outputMode("complete").option("checkpointLocation", folder + "/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(folder + "/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill import api
-from auditmill.operators import jsonld, report, rules, site
+from auditmill.operators import drift, jsonld, report, rules, site
 from auditmill.plans.registry import query, table
 from auditmill.plans.site_queries import ALL_ISSUES, with_
 from auditmill.sources import html
@@ -257,3 +257,30 @@ def console_report(spark, d):
         found = rows if found is None else found.unionByName(rows)
     notes = table(spark, d, "pages").agg(F.count("*").alias("n")).select(F.lit("blocked").alias("note"), "n")
     return report.console(found, notes).select("line")
+
+
+@query(f"""SELECT {URL} AS url, {TITLE} AS title, {DESCRIPTION} AS meta_description, {CANONICAL} AS canonical, CASE page_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'One ' || page_id || '|Two' ELSE 'Head ' || page_id END AS h1,
+ CASE page_id % 6 WHEN 1 THEN 'Article' WHEN 4 THEN 'HowTo|Person' WHEN 5 THEN 'FAQPage|Organization|WebSite' ELSE '' END AS schema_types, CAST(len({_WORDS}) AS BIGINT) AS word_count,
+ CAST(CASE page_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 4 THEN 5 WHEN 5 THEN 3 ELSE 2 END AS BIGINT) AS image_count, 2::BIGINT AS internal_links, 404 AS status_code, 7::BIGINT AS ttfb_ms FROM pages""")
+def drift_capture_fields(spark, d):
+    """A snapshot's fields from markup."""
+    rows = drift.capture(facts(spark, d).withColumns({"status": F.lit(404), "ttfb_ms": F.lit(7)}), "2026-01-01")
+    join = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("url", "title", "meta_description", "canonical", join("h1"), join("schema_types"), "word_count", "image_count", "internal_links", "status_code", "ttfb_ms")
+
+
+@query("SELECT count(*) FILTER (WHERE page_id % 12 = 5) AS elsewhere FROM pages")
+def header_other_host(spark, d):
+    """R-H8: answers that come from another host than the one asked."""
+    other = F.when(F.col("page_id") % 12 == 5, F.concat(F.lit("https://www."), F.substring("url", 9, 1000))).otherwise(F.col("url"))
+    rows = markup(spark, d).select("page_id", F.col("url").alias("requested_url"), other.alias("final_url"), F.lit(200).alias("status"), F.create_map().cast("map<string,array<string>>").alias("headers"), F.array().cast("array<struct<url:string,status:int>>").alias("redirects"), F.lit(1).alias("ttfb_ms"))
+    return rules.issues(rules.headers(rows), "page_id").where("rule = 'R-H8'").agg(F.count("*").alias("elsewhere"))
+
+
+@query(f"SELECT page_id, CASE WHEN score >= 80 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS shade, CAST(score AS VARCHAR) AS score, CASE WHEN rules = '' THEN 0 ELSE len(string_split(rules, ' ')) END AS findings FROM ({_expected(_TECHNICAL)})")
+def html_report_findings(spark, d):
+    """What the pages' rendered reports show."""
+    rows = rules.technical(facts(spark, d))
+    page = rows.select("page_id", report.technical_report(F.col("url"), F.col("score"), F.col("issues")).alias("html"))
+    cell = lambda k: F.regexp_extract("html", '<td class="(good|fair|poor)">([0-9]+)', k)
+    return page.select("page_id", cell(1).alias("shade"), cell(2).alias("score"), F.regexp_count("html", F.lit("<tr><td>")).cast("long").alias("findings"))

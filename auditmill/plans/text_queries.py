@@ -127,3 +127,28 @@ def llms_audit(spark, d):
     from auditmill.operators import rules
 
     return rules.llms(docs(spark, d).select("doc_id", F.col("text").alias("body"), (F.col("doc_id") % 3 == 0).alias("has_full"))).select("doc_id", "sections", "links", "score")
+
+
+_K = "(doc_id % 30 + 1)"
+#: Texts of four scripts, of a length that follows from doc_id: units and display columns of one repeat, and the first three units.
+_SCRIPTS = {"latin": ("word ", 1, 5, "word word word"), "cjk": ("日本語文abc ", 5, 12, "日本語"), "hangul": ("한국어 단어 ", 2, 12, "한국어 단어 한국어"), "no-space": ("ภาษาไทย ab ", 8, 11, "ภาษ")}
+_OF = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(4)) + " END"
+
+
+def _pick(values) -> str:
+    return _OF.format(*values)
+
+
+_WIDE_TEXT = _pick(f"repeat('{t}', CAST({_K} AS INTEGER))" for t, *_ in _SCRIPTS.values())
+
+
+@query(f"""SELECT doc_id, {_pick(f"'{s}'" for s in _SCRIPTS)} AS script, CAST({_pick(f"{u} * {_K}" for _, u, *_ in _SCRIPTS.values())} AS BIGINT) AS units, CAST({_pick(f"{w} * {_K}" for *_, w, _ in _SCRIPTS.values())} AS BIGINT) AS width,
+ {_pick(f"CASE WHEN {u} * {_K} <= 3 THEN {_WIDE_TEXT} ELSE '{f}' END" for _, u, _, f in _SCRIPTS.values())} AS opening, {_pick(f"{u} * {_K} < {n}" for (_, u, *_), n in zip(_SCRIPTS.values(), T.THIN))} AS thin,
+ {_pick(f"{w} * {_K} BETWEEN {lo} AND {hi}" for (_, _, w, _), lo, hi in zip(_SCRIPTS.values(), T.DESCRIPTION_MIN, T.DESCRIPTION_MAX))} AS fits, CAST({_pick(f"{u} * {_K} // {n} + CASE WHEN {u} * {_K} % {n} > {n} // 2 THEN 1 ELSE 0 END" for (_, u, *_), n in zip(_SCRIPTS.values(), T.SPEED))} AS BIGINT) AS minutes FROM documents""")
+def text_of_scripts(spark, d):
+    """Length, width, opening and thresholds of texts in four scripts."""
+    t, s = F.col("t"), F.col("script")
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_WIDE_TEXT).alias("t")).withColumn("script", T.classify(F.col("t")))
+    rows = rows.withColumns({"units": T.length(t, s), "width": T.display_width(t), "opening": T.first_units(t, s, 3)})
+    fits = F.col("width").between(T.by_script(s, T.DESCRIPTION_MIN), T.by_script(s, T.DESCRIPTION_MAX))
+    return rows.select("doc_id", "script", "units", "width", "opening", (F.col("units") < T.by_script(s, T.THIN)).alias("thin"), fits.alias("fits"), T.reading_minutes(F.col("units"), s).alias("minutes"))

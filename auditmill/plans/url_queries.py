@@ -63,10 +63,14 @@ def origin_check(spark, d):
     return pages(spark, d).select("page_id", U.is_origin(F.col("url")).alias("is_origin"), U.origin_of(F.col("url")).alias("origin"))
 
 
-@query(f"SELECT page_id, host = 'm.' || host OR host LIKE '%.com' AS dot_com, host = regexp_extract(url, '://([^/]*)', 1) AS same_host FROM {URLS}")
+@query(f"SELECT page_id, host LIKE '%.com' AS dot_com, page_id % 4 IN (0, 2) AS own_host FROM {URLS}")
 def same_origin(spark, d):
-    host = F.regexp_extract("url", "://([^/]*)", 1)
-    return pages(spark, d).select("page_id", U.host_of(F.col("url")).endswith(".com").alias("dot_com"), U.same_origin(F.col("url"), host).alias("same_host"))
+    """Each URL against its own host in capitals, another one, its own with the other scheme, and its own under another scheme that isn't the web's."""
+    rows = pages(spark, d)
+    host, k = U.host_of(F.col("url")), F.col("page_id") % 4
+    link = F.when(k == 2, F.regexp_replace("url", "^https?", "HTTP")).when(k == 3, F.regexp_replace("url", "^https?", "ftp")).otherwise(F.col("url"))
+    against = F.when(k == 0, F.upper(host)).when(k == 1, F.concat(F.lit("x."), host)).otherwise(host)
+    return rows.select("page_id", host.endswith(".com").alias("dot_com"), U.same_origin(link, against).alias("own_host"))
 
 
 @query(f"""SELECT page_id, NOT regexp_matches(lower(path || sfx), '\\.(jpg|jpeg|png|gif|webp|avif|svg|ico|css|js|json|xml|pdf|zip|gz|mp4|webm|woff|woff2|ttf|eot)$')

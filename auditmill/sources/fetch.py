@@ -103,10 +103,12 @@ class _WebReader(DataSourceReader):
             while True:
                 u = urlsplit(at)
                 secure = u.scheme == "https"
-                found = socket.getaddrinfo(u.hostname, u.port or (443 if secure else 80), proto=socket.IPPROTO_TCP)[0][4]
-                if not ipaddress.ip_address(found[0]).is_global:
+                found = [a[4] for a in socket.getaddrinfo(u.hostname, u.port or (443 if secure else 80), proto=socket.IPPROTO_TCP)]
+                if not found or not all(ipaddress.ip_address(a[0]).is_global for a in found):
                     raise OSError("address isn't public")
                 link = (http.client.HTTPSConnection if secure else http.client.HTTPConnection)(u.hostname, u.port, timeout=self.timeout)
+                # to the address that was looked at, not to whatever a second look-up of the name gives; the name stays the one that is asked and certified
+                link._create_connection = lambda _, *rest, to=found[0][:2], **more: socket.create_connection(to, *rest, **more)
                 began = time.monotonic()
                 link.request("GET", (u.path or "/") + (f"?{u.query}" if u.query else ""), headers={"User-Agent": "auditmill", "Accept-Language": "en"})
                 answer = link.getresponse()
