@@ -240,7 +240,12 @@ def fit(pages: DataFrame) -> tuple[float, ...]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["h", "i", "y", *names])
 
     text = F.col("html").cast("string")
-    drawn = pages.select(F.xxhash64(text).alias("h"), text.alias("html")).where("html <> ''").orderBy("h").limit(FIT_PAGES)
+    rows = pages.select(F.xxhash64(text).alias("h"), text.alias("html")).where("html <> ''")
+    # hashes alone are sorted; pages travel only if they are drawn, and copies of a page as one
+    edge = rows.select("h").distinct().orderBy("h").limit(FIT_PAGES).agg(F.max("h")).first()[0]
+    if edge is None:
+        return PRIOR
+    drawn = rows.where(F.col("h") <= edge).groupBy("h").agg(F.min("html").alias("html"))
     rows = drawn.mapInArrow(run, ", ".join(["h long, i int, y int", *(f"{n} double" for n in names)]))
     got = rows.orderBy("h", "i").limit(FIT_BLOCKS).toArrow()  # a few numbers a block
     if not got.num_rows:
