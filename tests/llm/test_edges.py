@@ -34,6 +34,41 @@ def test_odd_rows(spark, name):
         assert len(got) == docs.count()
 
 
+def by_id(df, *columns):
+    """The columns' values for each doc_id, rows that repeat side by side."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]])
+    return {d: sorted(v, key=str) for d, v in out.items()}
+
+
+def test_odd_values(spark):
+    """What each operator says of null, empty, blank and repeated rows: TEXTS 0 to 2 hold no word, 5 stands three times, 6 is its copy."""
+    docs = frame(spark)
+    got = by_id(minhash.near_duplicates(docs), "n_shingles", "component_id")
+    assert [got[i] for i in range(5)] == [[(0, i)] for i in range(3)] + [[(1, 3)], [(1, 4)]]
+    assert got[5] == [(2, 5)] * 3 and got[6] == [(2, 5)] and got[9] == [(got[9][0][0], 8)] and got[None] == [(0, None), (1, None)]
+    got = by_id(suffix.repeated_spans(docs), "n_bytes", "n_removed", "n_spans")
+    assert got[0] == got[1] == [(0, 0, 0)] and got[2] == [(3, 0, 0)] and got[5] == [(len(TEXTS[5]), 0, 0)] * 3 and got[11] == [(900, 900, 1)]
+    assert got[8] == [(len(LONG), len(LONG), 1)] and got[9] == [(len(LONG) + 4, len(LONG), 1)] and got[None] == [(0, 0, 0), (18, 0, 0)]
+    texts = by_id(suffix.without_repeats(docs), "text")
+    assert texts[0] == [None] and texts[1] == [""] and texts[9] == [" end"] and texts[11] == [""]
+    got = by_id(paragraphs.by_document(docs), "n_repeated", "n_removed")
+    assert got[0] == got[1] == got[2] == got[3] == [(0, 0)] and got[6] == [(1, 1)] and all(n[0] >= 1 for n in got[5]) and len(got[5]) == 3
+    got = by_id(fingerprint.edit_test(docs), "n_chars", "fingerprint")
+    assert got[0] == got[1] == [(0, "")] and got[2] == [(3, "")] and len(set(got[5])) == 1 and got[5][0][1] == got[6][0][1] != ""
+    got = by_id(fingerprint.fingerprints(docs), "n_chars", "n_distinct")
+    assert got[0] == got[1] == [(0, 0.0)] and got[3] == [(3, 1.0)] and got[5] == [(len(TEXTS[5]), 2.0)] * 3
+    got = by_id(mixing.mix_table(docs), "size", "taken")
+    assert [got[i][0] for i in range(3)] == [(0, 0)] * 3 and all(t <= 2 * n and t % n == 0 for v in got.values() for n, t in v if n)
+    got = by_id(packing.pack(docs), "length")
+    assert got[0] == got[1] == [1] and got[None][0] == 1 and len(got[5]) == 3 and len(set(got[5])) == 1 and sum(got[9]) == sum(got[8]) + 1
+    got = by_id(licenses.scan(docs), "n_words", "n_base", "first_word", "labels", "score")
+    assert got[0] == got[1] == got[2] == [(0, 0, None, "", 0.0)] and got[7][0][:4] == (2, 1, 0, "mit") and got[7][0][4] == 1.0 and got[None][0][:2] == (0, 0)
+    got = by_id(toxicity.score(docs, toxicity.unlearned()), "score", "predicted")
+    assert got[0] == got[1] == got[2] == got[3] and got[0][0][1] == 0 and got[12][0][1] == 1 and got[8][0][1] == 0 and len(got[5]) == 3
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert OPERATORS[name](frame(spark, [])).collect() == []
@@ -41,15 +76,17 @@ def test_empty_table(spark, name):
 
 def test_pages(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>"), (3, "u", "plain words"), (3, "u", "plain words"), (4, "u", "<article><p>" + "A long text. " * 9000)]
-    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "'x' as h", "0 as y", "null as x0")
+    got = extract.extract(df).collect()
     assert [r.text for r in got[:3]] == ["", "", ""] and got[3].text == got[4].text and got[5].n_chars == 9000 * 13 - 1
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (2, [0.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0]), (2, [0.0, 2.0]), (1, [2.0, 0.0])]
+    # of the two vectors of vec_id 1 the smaller one takes part
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as v", "3 as ids", "4 as score", "5 as query_id", "6 as bucket")
     got = {}
     for r in ann.search(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
