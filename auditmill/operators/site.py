@@ -180,7 +180,9 @@ def issues(pages: DataFrame, links: DataFrame, alternates: DataFrame, sitemap: D
     Of the sitemap, URLs on hosts that the crawl has seen count, the first listed of each key. robots_blocked
     (url, key): internal links that robots.txt disallows.
     """
-    sitemap = on_site(sitemap, pages)
+    # a score of checks reads these tables: they are made once
+    pages, links, alternates = _cut(pages), _cut(links), _cut(alternates)
+    sitemap = _cut(on_site(sitemap, pages))
     canonical, alternate, listed = canonical_kinds(pages), alternate_kinds(pages, alternates), sitemap_kinds(pages, sitemap)
     of = lambda df, kind, url: df.where(F.col("kind") == kind).select(F.col(url).alias("url"), F.lit("").alias("detail"))
     dup = lambda c, fold=True: duplicates(pages, c, fold).select(F.col("first").alias("url"), F.concat_ws(" ", "pages", "others").alias("detail"))
@@ -303,4 +305,4 @@ def site_audit(parsed: DataFrame, sitemap: DataFrame, sitemap_complete: bool = T
     """
     parsed = _cut(parsed.select("url", "final_url", "status", "error", "depth", "hops", "content_type", F.substring("html", 1, 512).alias("html"), "facts"))
     listed = sitemap.select("loc", U.key_absolute(F.col("loc")).alias("key"), "pos")
-    return issues(_cut(from_facts(parsed)), _cut(links_of(parsed)), _cut(alternates_of(parsed)), _cut(listed), sitemap_complete, truncated, robots_blocked)
+    return issues(from_facts(parsed), links_of(parsed), alternates_of(parsed), listed, sitemap_complete, truncated, robots_blocked)
