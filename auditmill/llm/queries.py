@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import ann, extract, fingerprint, licenses, minhash, mixing, packing, paragraphs, suffix, toxicity
+from auditmill.llm import ann, chat, extract, fingerprint, kmeans, licenses, minhash, mixing, packing, paragraphs, repair, suffix, toxicity
+from auditmill.llm.conversation_sql import FORMATTED, REPAIRED
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a hash, and the cheapest repair of each."""
+    return repair.digest(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_table(rows.unionByName(chat.marked_conversation(spark))))
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 40 clusters after five rounds."""
+    return kmeans.cluster_table(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op7_mixing aims at: sizes and targets, which SQL can express."""
     found = mixing.mix_table(table(spark, sf_dir, "documents"))
@@ -87,10 +104,37 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op11_repair": op11_repair,
+    "op12_chat": op12_chat,
+    "op13_kmeans": op13_kmeans,
     "mixing_targets": mixing_targets,
     "license_places": license_places,
 }
 
+
+
+def centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two tables: every vector's nearest centroid, and the centroids after it."""
+    floor = lambda s, n: f"(({s}) - ((({s}) % ({n})) + ({n})) % ({n})) // ({n})"
+    parts = [
+        "x AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, v AS c FROM x ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        # whole numbers below 2^53: inner products of doubles are exact
+        parts.append(f"a{r} AS (SELECT vec_id, v, min({{'d': d, 'j': j}}) AS n FROM (SELECT vec_id, v, j, list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS d FROM x, c{r}) GROUP BY ALL)")
+        if r < rounds:
+            parts.append(
+                f"m{r} AS (SELECT j, list({floor('s', 'n')} ORDER BY i)::DOUBLE[] AS c FROM (SELECT n.j AS j, i, sum(v[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY j), "
+                f"c{r + 1} AS (SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))"
+            )
+    head = ", ".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)
+    return (
+        f"WITH {head} SELECT vec_id, CAST(n.j AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance, CAST(sum(n.d) OVER (PARTITION BY n.j) AS BIGINT) AS cluster_inertia, CAST(sum(n.d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c::BIGINT[], ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.j = n.j"
+    )
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
 _NAMES = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -128,4 +172,7 @@ SELECT doc_id, CAST(d.size AS BIGINT) AS size, CAST(s.size AS BIGINT) AS source_
  p AS (SELECT doc_id, len(w) AS n, {_PHRASE("mit", "license")} AS mit, {_PHRASE("apache", "license")} AS apache, {_PHRASE("general", "public", "license")} AS gpl FROM d)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(mit) + len(apache) + len(gpl) AS BIGINT) AS n_base, list_min(mit || apache || gpl) AS first_word, list_max(mit || apache || gpl) AS last_word,
  array_to_string(list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "op11_repair": REPAIRED,
+    "op12_chat": FORMATTED,
+    "op13_kmeans": centroid_sql(),
 }
