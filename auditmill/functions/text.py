@@ -62,9 +62,14 @@ def _most(c: Column) -> Column:
     )
 
 
+def _all_latin(text: Column) -> Column:
+    """Whether no character is of another script: one look at most texts, which then need no counts."""
+    return (F.octet_length(text) == F.length(text)) | ~text.rlike(f"[{CJK}{HANGUL}{NOSPACE}]")
+
+
 def classify(text: Column) -> Column:
     """The script with most letters; of equal ones the first; latin without letters."""
-    return _counted(text)(_most)
+    return F.when(_all_latin(text), "latin").otherwise(_counted(text)(_most))
 
 
 def script_of_lang(lang: Column) -> Column:
@@ -81,7 +86,7 @@ def classify_with_hint(text: Column, lang: Column) -> Column:
         has = F.when(hint == "cjk", c.cjk > 0).when(hint == "hangul", c.hangul > 0).when(hint == "no-space", c.nospace > 0)
         return F.when(hint.isNotNull() & ((text == "") | has), hint).otherwise(_most(c))
 
-    return _counted(text)(settle)
+    return F.when(_all_latin(text), F.when(hint.isNotNull() & (text == ""), hint).otherwise("latin")).otherwise(_counted(text)(settle))
 
 
 def count_words(text: Column) -> Column:

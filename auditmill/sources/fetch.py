@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import codecs
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
+from auditmill.sources import charset
+
 # What a client keeps to unless told otherwise.
 MAX_BODY, TIMEOUT_S, MAX_REDIRECTS = 15 << 20, 15, 10
-_META = re.compile(rb"<meta[^>]*charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
-_PROLOG = re.compile(rb"<\?xml[^>?]*\bencoding\s*=\s*[\"']([A-Za-z0-9_.:-]+)", re.I)
 
 
 def truncated(body: Column, cap: int = MAX_BODY) -> Column:
@@ -40,28 +37,20 @@ def is_html(header: Column, body: Column) -> Column:
     return F.when(kind == "", looks_like_html(body)).otherwise(kind.isin("text/html", "application/xhtml+xml"))
 
 
-def charset_of(body: bytes, header: str | None) -> str:
-    """The character set that the header, the byte order mark, an XML prolog or a meta element names; else UTF-8."""
-    named = re.search(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", header or "", re.I)
-    if named:
-        return named[1]
-    if body.startswith(codecs.BOM_UTF8):
-        return "utf-8"
-    found = _PROLOG.search(body[:512]) or _META.search(body[:1024])
-    return found[1].decode() if found else "utf-8"
-
-
 def decode_body(body: bytes | None, header: str | None = None) -> str:
-    body = body or b""
-    try:
-        return codecs.decode(body, charset_of(body, header), "replace").removeprefix("﻿")
-    except LookupError:
-        return body.decode("utf-8", "replace")
+    return charset.decode(body, header)
 
 
 @F.arrow_udf(StringType())
 def decoded(body: pa.Array, header: pa.Array) -> pa.Array:
-    return pa.array([decode_body(b, h) for b, h in zip(body.to_pylist(), header.to_pylist())], pa.string())
+    """Bodies as text, by their content types and bytes (see charset)."""
+    return pa.array([charset.decode(b, h) for b, h in zip(body.to_pylist(), header.to_pylist())], pa.string())
+
+
+@F.arrow_udf(StringType())
+def charset_name(body: pa.Array, header: pa.Array) -> pa.Array:
+    """The sets that `decoded` goes by; empty where a body stays as it is."""
+    return pa.array([charset.charset_of(b or b"", h) for b, h in zip(body.to_pylist(), header.to_pylist())], pa.string())
 
 
 class WebSource(DataSource):

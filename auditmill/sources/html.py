@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from auditmill.functions.text import script_name
+from auditmill.sources.tree import Node, build
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# Elements whose content isn't rendered, for the words of a page and for its visible text.
 NO_BODY = frozenset(("script", "style", "noscript", "template", "svg"))
 NO_TEXT = NO_BODY - {"svg"}
 CODE = re.compile(r"^[a-zA-Z]{2,3}(-[a-zA-Z]{4})?(-([a-zA-Z]{2}|\d{3}))?$")
@@ -37,46 +35,39 @@ def excludes(directives: str) -> bool:
     return any(d.split(":", 1)[-1].strip() in ("noindex", "none") for d in directives.lower().split(","))
 
 
-class _Facts(HTMLParser):
+def _text(node: Node) -> str:
+    """All text within an element, a space after each run of it."""
+    out, todo = [], [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n + " ")
+        else:
+            todo.extend(reversed(n.kids))
+    return "".join(out)
+
+
+def _own_text(node: Node) -> str:
+    return "".join(k for k in node.kids if isinstance(k, str))
+
+
+class _Facts:
+    """Walks a page's tree in document order."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.taking: list[tuple[str, int, list[str], list[str]]] = []  # tag, depth, all text, direct text
-        self.meta: dict[str, str] = {}
         self.f: dict = {n: "" for n in ("title", "crawl_title", "lang", "description", "robots", "viewport", "og_title", "og_description", "og_image", "charset", "canonical")}
         self.f |= {n: 0 for n in ("h1_count", "h2_count", "h3_count", "list_count", "table_count")}
         self.f |= {n: False for n in ("has_author", "has_date", "noindex")}
         self.f |= {n: [] for n in ("h1", "paragraphs", "anchors", "jsonld", "headings", "images", "hreflang")}
-        self.body: list[str] = []
-        self.visible: list[str] = []
-        self.hidden = self.unseen = 0
-
-    def _close(self, depth: int) -> None:
-        while len(self.open) > depth:
-            tag = self.open.pop()
-            self.hidden -= tag in NO_BODY
-            self.unseen -= tag in NO_TEXT
-            while self.taking and self.taking[-1][1] > len(self.open):
-                self._taken(*self.taking.pop())
-
-    def _close_nearest(self, tags: tuple[str, ...], within: frozenset = frozenset()) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i] in tags:
-                return self._close(i)
-            if self.open[i] in within:
-                return None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        if tag in ENDS_P:
-            self._close_nearest(("p",), frozenset(("td", "th", "table", "button", "li", "div", "article", "section")))
-        if tag in SAME:
-            self._close_nearest(SAME[tag], frozenset(("ul", "ol", "dl", "table", "select")))
-        f = self.f
+
+    def element(self, node: Node) -> None:
+        """Facts that count wherever an element stands."""
+        tag, a, f = node.tag, node.attrs, self.f
         if tag == "html" and "lang" in a:
             f["lang"] = a["lang"]
+        elif tag == "title":
+            f["title"] = f["title"] or _text(node).strip()
+            f["crawl_title"] = f["crawl_title"] or _own_text(node).strip()
         elif tag == "meta":
             self._meta(a)
         elif tag == "link":
@@ -90,57 +81,40 @@ class _Facts(HTMLParser):
             f["images"].append({"src": a.get("src", "").strip(), "alt": a.get("alt"), "has_size": bool(a.get("width")) and bool(a.get("height")), "lazy": a.get("loading", "").lower() == "lazy"})
         elif tag == "a" and "href" in a:
             f["anchors"].append(a["href"].strip())
-        elif tag == "time" and a.get("datetime"):
-            f["has_date"] = True
+        elif tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
+            if _own_text(node).strip():
+                f["jsonld"].append(_own_text(node).strip())
+        if tag in ("h1", "h2", "h3"):
+            f[f"{tag}_count"] += 1
+        if tag == "h1" and _own_text(node).strip():
+            f["h1"].append(_own_text(node).strip())
+
+    def rendered(self, node: Node) -> None:
+        """Facts of elements that are part of the page's content."""
+        tag, a, f = node.tag, node.attrs, self.f
+        if tag == "p":
+            text = _text(node).strip()
+            if text:
+                f["paragraphs"].append(text)
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            text = _text(node).strip()
+            if text and len(f["headings"]) < 100:
+                f["headings"].append({"level": int(tag[1]), "text": text[:120]})
         elif tag in ("ul", "ol"):
             f["list_count"] += 1
         elif tag == "table":
             f["table_count"] += 1
-        if tag in ("h1", "h2", "h3"):
-            f[f"{tag}_count"] += 1
+        elif tag == "time" and a.get("datetime"):
+            f["has_date"] = True
+        elif tag == "meta":
+            name, prop, content = a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
+            if name == "author" and content.strip():
+                f["has_author"] = True
+            if content.strip() and (prop in ("article:published_time", "article:modified_time") or name == "date"):
+                f["has_date"] = True
         marks = " ".join(a.get(k, "") for k in ("class", "itemprop")).lower()
         if "author" in a.get("rel", "").lower() or "byline" in marks or "author" in marks:
             f["has_author"] = True
-        if tag in VOID:
-            return
-        self.open.append(tag)
-        self.hidden += tag in NO_BODY
-        self.unseen += tag in NO_TEXT
-        if tag in ("title", "p") or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456") or (tag == "script" and a.get("type", "").strip().lower() == "application/ld+json"):
-            self.taking.append((tag, len(self.open), [], []))
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._close_nearest((tag,))
-
-    def handle_data(self, data: str) -> None:
-        for _, depth, every, direct in self.taking:
-            every.append(data)
-            if depth == len(self.open):
-                direct.append(data)
-        if not self.hidden:
-            self.body.append(data)
-        if not self.unseen:
-            self.visible.append(data)
-
-    def _taken(self, tag: str, _depth: int, every: list[str], direct: list[str]) -> None:
-        text, f = "".join(x + " " for x in every).strip(), self.f
-        if tag == "title":
-            f["title"] = f["title"] or text
-            f["crawl_title"] = f["crawl_title"] or "".join(direct).strip()
-        elif tag == "script":
-            if "".join(every).strip():
-                f["jsonld"].append("".join(every).strip())
-        elif tag == "p":
-            if text:
-                f["paragraphs"].append(text)
-        else:
-            if text and len(f["headings"]) < 100:
-                f["headings"].append({"level": int(tag[1]), "text": text[:120]})
-            if tag == "h1" and "".join(direct).strip():
-                f["h1"].append("".join(direct).strip())
 
     def _meta(self, a: dict[str, str]) -> None:
         name, prop, content, f = a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", ""), self.f
@@ -152,20 +126,27 @@ class _Facts(HTMLParser):
         for n, key in (("og:title", "og_title"), ("og:description", "og_description"), ("og:image", "og_image")):
             if prop == n:
                 f[key] = content.strip()
-        if name == "author" and content.strip():
-            f["has_author"] = True
-        if content.strip() and (prop in ("article:published_time", "article:modified_time") or name == "date"):
-            f["has_date"] = True
         if name == "robots" and excludes(content):
             f["noindex"] = True
 
     def facts(self, page: str) -> dict:
-        self.feed(page)
-        self.close()
-        self._close(0)
-        self.f["body_text"] = " ".join("".join(x + " " for x in self.body).split())
+        body, visible, todo = [], [], [(build(page), False, False)]
+        while todo:
+            node, hidden, unseen = todo.pop()
+            if isinstance(node, str):
+                if not hidden:
+                    body.append(node)
+                if not unseen:
+                    visible.append(node)
+                continue
+            self.element(node)
+            if not hidden:
+                self.rendered(node)
+            hidden, unseen = hidden or node.tag in NO_BODY, unseen or node.tag in NO_TEXT
+            todo.extend((k, hidden, unseen) for k in reversed(node.kids))
+        self.f["body_text"] = " ".join(" ".join(body).split())
         self.f["body_script"] = script_name(self.f["body_text"], self.f["lang"])
-        self.f["visible_text"] = " ".join(" ".join(self.visible).split())
+        self.f["visible_text"] = " ".join(" ".join(visible).split())
         return self.f
 
 
