@@ -7,17 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditmill.shared import cut as _cut
+
 # Limits that a run keeps unless told otherwise; blocked links that a crawl reports at most.
 MAX_PAGES, MAX_REDIRECTS, MAX_BLOCKED = 100, 10, 200
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage, so that plans don't grow with levels: in the folder that the session names, else in its warehouse."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
-    return df.checkpoint()
+# Seconds that a site's wish to be left alone between requests is granted at most.
+MAX_DELAY = 30.0
 
 
 def resolve_redirects(start: DataFrame, hops: DataFrame, limit: int = MAX_REDIRECTS) -> DataFrame:
@@ -145,3 +140,16 @@ def sitemap_pages(visits: DataFrame, final_host: str, host: str) -> DataFrame:
     """
     fine = (F.col("status") == 200) & (F.lower(F.col(final_host)) == host.lower()) & ~F.coalesce(F.col("noindex"), F.lit(False))
     return visits.withColumn("outcome", F.when(F.col("status").isNull(), "error").when(fine, "page").otherwise("excluded"))
+
+
+def start_times(visits: DataFrame, delays: DataFrame) -> DataFrame:
+    """visits (host, depth, key) and delays (host, delay in seconds) -> visits with start, the seconds after which each is fetched.
+
+    A site that asks for a delay gets one request at a time, in order of depth and key, each the delay (MAX_DELAY at
+    most) after the one before; levels wait for the ones before them. Other sites' visits start at 0. Visits of a
+    host are as many as a crawl's budget of pages.
+    """
+    wait = delays.select("host", F.least(F.greatest("delay", F.lit(0.0)), F.lit(MAX_DELAY)).alias("_wait"))
+    nth = F.row_number().over(Window.partitionBy("host").orderBy("depth", "key")) - 1
+    rows = visits.join(wait, "host", "left").withColumn("_nth", nth)
+    return rows.withColumn("start", F.col("_nth") * F.coalesce("_wait", F.lit(0.0))).drop("_nth", "_wait")

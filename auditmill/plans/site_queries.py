@@ -221,17 +221,76 @@ def redirect_resolve(spark, d):
 
 # ---------------------------------------------------------------- robots
 _ROBOTS = "# all\nUser-agent: *\nDisallow: /cart\nDisallow: /*.pdf$\nAllow: /cart/help\nSitemap: https://s.example/map.xml\nDisallow: /tmp*\nCrawl-delay: 2\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: Google\nDisallow:\nDisallow: /exact$\nUser-agent: ClaudeBot\nDisallow: /\nAllow: /\n"
-_FILES = lambda spark: spark.createDataFrame([("s", _ROBOTS)], "site string, body string")
 
 
-@query("SELECT * FROM (VALUES (1, 'user-agent', '*'), (1, 'disallow', '/cart'), (1, 'disallow', '/*.pdf$'), (1, 'allow', '/cart/help'), (1, 'disallow', '/tmp*'), (1, 'crawl-delay', '2'), (2, 'user-agent', 'GPTBot'), (2, 'user-agent', 'CCBot'), (2, 'disallow', '/'), (3, 'user-agent', 'Google'), (3, 'disallow', ''), (3, 'disallow', '/exact$'), (4, 'user-agent', 'ClaudeBot'), (4, 'disallow', '/'), (4, 'allow', '/')) t(grp, directive, value)")
+def _files(spark, d):
+    """A file for each page: rules that all have, some of the page's own, and on every second one a group for a crawler by name."""
+    i = F.col("page_id").cast("string")
+    own = F.concat(F.lit("User-agent: *\nDisallow: /p"), i, F.lit("/\nCrawl-delay: "), (F.col("page_id") % 45).cast("string"), F.lit("\nCrawl-delay: soon\n"))
+    named = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("user-agent: perplexityBOT # "), i, F.lit("\nDisallow: /\nAllow: /only\n"))).otherwise("")
+    return table(spark, d, "pages").select(F.concat(F.lit("s"), i).alias("site"), F.concat(F.lit(_ROBOTS), own, named).alias("body"))
+
+
+@query("""SELECT 's' || page_id AS site, g.grp, g.directive, g.value FROM pages, (VALUES (1, 'user-agent', '*'), (1, 'disallow', '/cart'), (1, 'disallow', '/*.pdf$'), (1, 'allow', '/cart/help'), (1, 'disallow', '/tmp*'), (1, 'crawl-delay', '2'), (2, 'user-agent', 'GPTBot'), (2, 'user-agent', 'CCBot'), (2, 'disallow', '/'), (3, 'user-agent', 'Google'), (3, 'disallow', ''), (3, 'disallow', '/exact$'), (4, 'user-agent', 'ClaudeBot'), (4, 'disallow', '/'), (4, 'allow', '/')) g(grp, directive, value)
+UNION ALL SELECT 's' || page_id, 5, o.directive, o.value FROM pages, LATERAL (VALUES ('user-agent', '*'), ('disallow', '/p' || page_id || '/'), ('crawl-delay', CAST(page_id % 45 AS VARCHAR)), ('crawl-delay', 'soon')) o(directive, value)
+UNION ALL SELECT 's' || page_id, 6, o.directive, o.value FROM pages, (VALUES ('user-agent', 'perplexityBOT'), ('disallow', '/'), ('allow', '/only')) o(directive, value) WHERE page_id % 2 = 0""")
 def robots_groups(spark, d):
-    return robots.groups(_FILES(spark)).select(F.col("grp").cast("int").alias("grp"), "directive", "value")
+    return robots.groups(_files(spark, d)).select("site", F.col("grp").cast("int").alias("grp"), "directive", "value")
 
 
-@query("SELECT 's' AS site, 9::BIGINT AS rules, 4::BIGINT AS groups, 5::BIGINT AS agents")
+@query("SELECT 's' || page_id AS site, CAST(10 + CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS rules, CAST(5 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS groups, CAST(5 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS agents FROM pages")
 def robots_counts(spark, d):
-    return robots.counts(_FILES(spark))
+    return robots.counts(_files(spark, d))
+
+
+@query("""SELECT 's' || page_id AS site, b.bot, CAST(CASE b.bot WHEN 'anyone' THEN 2 END AS DOUBLE) AS delay FROM pages, (VALUES ('anyone')) b(bot)""")
+def robots_delays(spark, d):
+    """What a file asks crawlers to wait: the first group for all decides, and PerplexityBot's own group on every second site asks for nothing."""
+    bots = spark.createDataFrame([("anyone",), ("GPTBot",)], "bot string")
+    return robots.delays(robots.groups(_files(spark, d)), bots)
+
+
+_STEM = "'/' || CASE page_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'shop/' || (page_id % 13) WHEN 2 THEN 'x-' || (page_id % 5) || '/y' ELSE 'caf%C3%A9' END || '/p' || page_id"
+#: Rules of two hosts, as many as pages: each page gives four, and some hold all paths.
+_MANY = f"""SELECT 'h' || (page_id % 2) AS site, u.pattern, u.allow FROM (SELECT page_id, {_STEM} AS stem FROM pages), LATERAL (VALUES (stem, page_id % 3 = 0), (stem || '/*/z$', page_id % 3 <> 0), ('/*/q' || page_id || '*.gif$', false), ('*' || page_id || '*' || page_id || '/*end', true)) u(pattern, allow)
+ UNION ALL SELECT * FROM (VALUES ('h0', '/', true), ('h0', '/*?', false), ('h1', '/caf%C3%A9*', false), ('h1', '/caf', true)) f(site, pattern, allow)"""
+_ASKED = f"""SELECT page_id, 'h' || (page_id % 2) AS site, stem || CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/a/z' WHEN 2 THEN '/z/zz' WHEN 3 THEN '/q' || page_id || '/b.gif' WHEN 4 THEN '/' || page_id || '/x/endless' WHEN 5 THEN '?a=1' ELSE '0' END AS path FROM (SELECT page_id, {_STEM} AS stem FROM pages)"""
+
+
+@query(rf"""WITH r AS (SELECT site, pattern, allow, CASE WHEN pattern LIKE '%$' THEN replace(replace(rtrim(pattern, '$'), '%', '\%'), '*', '%') ELSE replace(replace(pattern, '%', '\%'), '*', '%') || '%' END AS lk FROM ({_MANY})), p AS ({_ASKED}),
+ m AS (SELECT page_id, max({{'size': length(pattern), 'allow': allow}}) AS best FROM p JOIN r ON r.site = p.site AND path LIKE lk ESCAPE '\' GROUP BY page_id)
+SELECT page_id, path, coalesce(best.allow, true) AS allowed FROM p LEFT JOIN m USING (page_id)""")
+def robots_many_rules(spark, d):
+    """Two hosts with rules for every page: plain beginnings, wildcards within and at the start, anchored ends."""
+    pages = table(spark, d, "pages")
+    i = F.col("page_id").cast("string")
+    k = F.col("page_id") % 4
+    stem = F.concat(F.lit("/"), F.when(k == 0, "a").when(k == 1, F.concat(F.lit("shop/"), (F.col("page_id") % 13).cast("string"))).when(k == 2, F.concat(F.lit("x-"), (F.col("page_id") % 5).cast("string"), F.lit("/y"))).otherwise("caf%C3%A9"), F.lit("/p"), i)
+    rows = pages.select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 2).cast("string")).alias("site"), stem.alias("stem"))
+    third = F.col("page_id") % 3 == 0
+    lines = F.array(
+        F.concat(F.when(third, "Allow: ").otherwise("Disallow: "), "stem"), F.concat(F.when(third, "Disallow: ").otherwise("Allow: "), "stem", F.lit("/*/z$")),
+        F.concat(F.lit("Disallow: /*/q"), i, F.lit("*.gif$")), F.concat(F.lit("Allow: *"), i, F.lit("*"), i, F.lit("/*end")),
+    )
+    own = {"h0": "Allow: /\nDisallow: /*?\n", "h1": "Disallow: /caf%C3%A9*\nAllow: /caf\n"}
+    ruled = rows.select("site", F.explode(lines).alias("line"))
+    # a host's file is what its lines say; here the lines are already rows
+    more = spark.createDataFrame([(h, x) for h, t in own.items() for x in t.split("\n") if x], "site string, line string")
+    ruled = ruled.unionByName(more).select("site", F.col("line").startswith("Allow").alias("allow"), F.regexp_extract("line", "^[^:]*: (.*)$", 1).alias("pattern"))
+    tail = F.col("page_id") % 7
+    path = F.concat("stem", F.when(tail == 0, "").when(tail == 1, "/a/z").when(tail == 2, "/z/zz").when(tail == 3, F.concat(F.lit("/q"), i, F.lit("/b.gif"))).when(tail == 4, F.concat(F.lit("/"), i, F.lit("/x/endless"))).when(tail == 5, "?a=1").otherwise("0"))
+    asked = rows.select("page_id", "site", path.alias("path"))
+    said = robots.verdicts(asked.select("site", "path").distinct(), ruled)
+    return asked.join(said, ["site", "path"]).select("page_id", "path", "allowed")
+
+
+@query("""SELECT 's' || page_id AS site, CAST(k AS INTEGER) AS depth, 'u' || k AS key, k * CASE WHEN page_id % 4 = 0 THEN 0 ELSE least(30, page_id % 45) END::DOUBLE AS start FROM pages, range(0, 3) r(k)""")
+def crawl_start_times(spark, d):
+    """When each visit begins, on sites of which three in four ask for a delay."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("host"), "page_id")
+    visits = pages.select("host", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("depth")).withColumn("key", F.concat(F.lit("u"), F.col("depth").cast("string")))
+    delays = pages.where("page_id % 4 <> 0").select("host", (F.col("page_id") % 45).cast("double").alias("delay"))
+    return crawl.start_times(visits, delays).withColumnRenamed("host", "site")
 
 
 _PATH = "(SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*([^?#]*)', 1) || CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.pdf?x' WHEN 2 THEN '' ELSE '/z' END AS rest, CASE page_id % 5 WHEN 0 THEN '/cart' WHEN 1 THEN '/cart/help' WHEN 2 THEN '/tmp1' ELSE '' END AS pre FROM pages)"
@@ -243,13 +302,14 @@ def robots_longest_match(spark, d):
     rest = F.concat(F.regexp_extract("url", "^[^:]*://[^/]*([^?#]*)", 1), F.when(i % 6 == 0, ".pdf").when(i % 6 == 1, ".pdf?x").when(i % 6 == 2, "").otherwise("/z"))
     pre = F.when(i % 5 == 0, "/cart").when(i % 5 == 1, "/cart/help").when(i % 5 == 2, "/tmp1").otherwise("")
     paths = table(spark, d, "pages").select(F.lit("s").alias("site"), F.concat(pre, rest).alias("path")).distinct()
-    ruled = robots.rules(robots.groups(_FILES(spark))).where("grp = 1")
+    files = spark.createDataFrame([("s", _ROBOTS)], "site string, body string")
+    ruled = robots.rules(robots.groups(files)).where("grp = 1")
     return robots.verdicts(paths, ruled).select("path", "allowed")
 
 
-@query("SELECT * FROM (VALUES ('Googlebot', 'google', 'Partial Restrictions'), ('Google-Extended', 'google', 'Partial Restrictions'), ('OAI-SearchBot', '*', 'Partial Restrictions'), ('GPTBot', 'GPTBot', 'Disallowed'), ('ClaudeBot', 'ClaudeBot', 'Partial Restrictions'), ('PerplexityBot', '*', 'Partial Restrictions'), ('CCBot', 'CCBot', 'Disallowed'), ('Bytespider', '*', 'Partial Restrictions'), ('Applebot-Extended', '*', 'Partial Restrictions')) t(bot, label, status)")
+@query("""SELECT 's' || page_id AS site, bot, CASE WHEN bot = 'PerplexityBot' AND page_id % 2 = 0 THEN bot ELSE label END AS label, CASE WHEN bot = 'PerplexityBot' AND page_id % 2 = 0 THEN 'Disallowed' ELSE status END AS status FROM pages, (VALUES ('Googlebot', 'google', 'Partial Restrictions'), ('Google-Extended', 'google', 'Partial Restrictions'), ('OAI-SearchBot', '*', 'Partial Restrictions'), ('GPTBot', 'GPTBot', 'Disallowed'), ('ClaudeBot', 'ClaudeBot', 'Partial Restrictions'), ('PerplexityBot', '*', 'Partial Restrictions'), ('CCBot', 'CCBot', 'Disallowed'), ('Bytespider', '*', 'Partial Restrictions'), ('Applebot-Extended', '*', 'Partial Restrictions')) t(bot, label, status)""")
 def ai_crawler_policy(spark, d):
-    return robots.policy(_FILES(spark)).select("bot", "label", "status")
+    return robots.policy(_files(spark, d)).select("site", "bot", "label", "status")
 
 
 # ---------------------------------------------------------------- sitemaps
@@ -283,10 +343,11 @@ def sitemap_sample(spark, d):
     return sitemap.sample(sitemap.urls(_maps(spark, d)), 10).select("file", "loc")
 
 
-@query("""SELECT url AS loc, CASE page_id % 23 WHEN 3 THEN 'broken' WHEN 5 THEN 'blocked' WHEN 7 THEN 'broken' ELSE CASE WHEN page_id % 17 = 0 THEN 'broken' WHEN page_id % 11 = 4 THEN 'redirect' ELSE 'ok' END END AS verdict FROM pages WHERE NOT (page_id % 17 = 0 AND page_id % 23 = 5)""")
+@query("""SELECT url AS loc, CASE WHEN page_id % 17 = 0 THEN 'broken' ELSE CASE page_id % 23 WHEN 3 THEN 'broken' WHEN 5 THEN 'blocked' WHEN 7 THEN 'broken' ELSE CASE WHEN page_id % 11 = 4 THEN 'redirect' ELSE 'ok' END END END AS verdict FROM pages""")
 def sitemap_health(spark, d):
+    """Every page's answer: none for every 17th, errors, refusals and redirects for others."""
     i = F.col("page_id")
-    pages = table(spark, d, "pages").where(~((i % 17 == 0) & (i % 23 == 5)))
+    pages = table(spark, d, "pages")
     status = F.when(i % 23 == 3, 404).when(i % 23 == 5, 503).when(i % 23 == 7, 500).otherwise(200)
     snapshot = pages.where(i % 17 != 0).select("url", status.alias("status"), F.when(i % 11 == 4, 1).otherwise(0).alias("hops"))
     return sitemap.health(pages.select(F.col("url").alias("loc")), snapshot)
@@ -330,12 +391,17 @@ def sitemap_collected(spark, d):
     return sitemap.collected(found, 60).select("loc")
 
 
-@query("SELECT * FROM (VALUES ('https://a', 'https://a/map1', 'robots'), ('https://a', 'https://a/map2', 'robots'), ('https://b', 'https://b/sitemap.xml', '/sitemap.xml'), ('https://c', 'https://c/sitemap_index.xml', '/sitemap_index.xml')) t(site, file, source)")
+@query("""SELECT 'https://s' || page_id AS site, f.file, f.source FROM pages, LATERAL (VALUES (0, 'https://s' || page_id || '/map1', 'robots'), (0, 'https://s' || page_id || '/map2', 'robots'), (1, 'https://s' || page_id || '/sitemap.xml', '/sitemap.xml'), (2, 'https://s' || page_id || '/sitemap_index.xml', '/sitemap_index.xml')) f(k, file, source) WHERE f.k = page_id % 4""")
 def sitemap_discover(spark, d):
-    sites = spark.createDataFrame([(x,) for x in ("https://a", "https://b", "https://c", "https://d")], "site string")
-    listed = spark.createDataFrame([("https://a", "https://a/map1", 1), ("https://a", "https://a/map2", 5)], "site string, value string, line int")
-    files = [("https://a/sitemap.xml", "<urlset/>"), ("https://b/sitemap.xml", "<urlset>"), ("https://b/sitemap_index.xml", "<sitemapindex>"), ("https://c/sitemap.xml", "nothing"), ("https://c/sitemap_index.xml", "<sitemapindex/>")]
-    return sitemap.discover(sites, listed, spark.createDataFrame(files, "file string, body string")).select("site", "file", "source")
+    """A site for each page: its robots file lists two files, or it has the first usual file, or only the second, or none."""
+    kind = F.col("page_id") % 4
+    sites = table(spark, d, "pages").select(F.concat(F.lit("https://s"), F.col("page_id").cast("string")).alias("site"), kind.alias("kind"))
+    at = lambda name: F.concat("site", F.lit(name))
+    listed = sites.where("kind = 0").select("site", F.explode(F.array(F.struct(at("/map1").alias("value"), F.lit(1).alias("line")), F.struct(at("/map2").alias("value"), F.lit(5).alias("line")))).alias("x")).select("site", "x.*")
+    first = F.when(F.col("kind").isin(0, 1), "<urlset/>").when(F.col("kind") == 2, "nothing")
+    second = F.when(F.col("kind").isin(1, 2), "<sitemapindex/>").otherwise("404")
+    files = sites.select(F.explode(F.array(F.struct(at("/sitemap.xml").alias("file"), first.alias("body")), F.struct(at("/sitemap_index.xml").alias("file"), second.alias("body")))).alias("x")).select("x.*").where("body is not null")
+    return sitemap.discover(sites.select("site"), listed, files).select("site", "file", "source")
 
 
 _HOST = "regexp_extract(url, '://([^/]*)', 1)"

@@ -110,12 +110,13 @@ def robots_targets(spark, d):
     return pages(spark, d).select("page_id", escaped.alias("escaped"), decoded.alias("decoded"))
 
 
-@query("""WITH a AS (SELECT a * 37 % 256 AS a, b * 29 % 256 AS b FROM range(0, 60) t(a), range(0, 40) u(b)), x AS (SELECT a, b, a || '.' || b || '.3.4' AS address FROM a)
-SELECT DISTINCT address, a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR a BETWEEN 224 AND 239 AS blocked FROM x""")
+@query("""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS line, (l_orderkey * 37 + l_linenumber) % 256 AS a, (l_partkey * 29) % 256 AS b, l_suppkey % 256 AS c FROM lineitem)
+SELECT DISTINCT a || '.' || b || '.' || c || '.4' AS address, a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR a BETWEEN 224 AND 239 AS blocked FROM x""")
 def ssrf_blocklist(spark, d):
-    a, b = spark.range(60).select((F.col("id") * 37 % 256).alias("a")), spark.range(40).select((F.col("id") * 29 % 256).alias("b"))
-    rows = a.join(b).select(F.concat_ws(".", "a", "b", F.lit("3"), F.lit("4")).alias("address")).distinct()
-    return rows.select("address", U.blocked_ipv4(F.col("address")).alias("blocked"))
+    """Addresses out of the numbers of order lines, of which some lie in ranges that no reader may reach."""
+    octet = lambda c: (c % 256).cast("string")
+    address = F.concat_ws(".", octet(F.col("l_orderkey") * 37 + F.col("l_linenumber")), octet(F.col("l_partkey") * 29), octet(F.col("l_suppkey")), F.lit("4"))
+    return table(spark, d, "lineitem").select(address.alias("address")).distinct().select("address", U.blocked_ipv4(F.col("address")).alias("blocked"))
 
 
 @query(f"""SELECT url_key, CASE WHEN page_id % 2 = 0 THEN 'new' ELSE 'old' END AS found, timestamp FROM (SELECT sha256(key)[1:16] AS url_key, page_id, TIMESTAMP '2026-01-01' + INTERVAL 1 HOUR * CAST(page_id % 50 AS INTEGER) AS timestamp FROM {URLS} WHERE page_id IN (SELECT min(page_id) FROM {URLS} GROUP BY key))""")

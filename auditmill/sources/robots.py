@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditmill.functions import urls as U
+
 # Crawlers that a policy is reported for.
 CRAWLERS = ("Googlebot", "Google-Extended", "OAI-SearchBot", "GPTBot", "ClaudeBot", "PerplexityBot", "CCBot", "Bytespider", "Applebot-Extended")
 
@@ -59,12 +61,46 @@ def blocks_all(files: DataFrame) -> DataFrame:
     return root.join(per, "site", "left").select("site", (F.coalesce("whole", F.lit(False)) & ~F.col("allowed")).alias("blocked"))
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """A rule's pattern as a regular expression: * is any text, $ at the end ends the path."""
-    ends = F.endswith(pattern, F.lit("$"))
-    body = F.when(ends, F.regexp_replace(pattern, r"\$$", "")).otherwise(pattern)
-    quoted = F.regexp_replace(body, r"([.\\+?()\[\]{}|^$])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\*", ".*"), F.when(ends, "$").otherwise(""))
+def indexed(ruled: DataFrame) -> DataFrame:
+    """Rules (site, pattern, ...) with head, the text before the first *, rest, the texts between the others, and ends, whether $ ends the path.
+
+    A pattern can match a path only if the path begins with its head.
+    """
+    ends = F.endswith("pattern", F.lit("$"))
+    body = F.when(ends, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
+    parts = F.split(body, r"\*")
+    return ruled.withColumns({"head": parts[0], "rest": F.slice(parts, 2, F.size(parts)), "ends": ends})
+
+
+def _rest_matches(path: Column, head: Column, rest: Column, ends: Column) -> Column:
+    """Whether the texts between wildcards follow the head in order, the last at the path's end if it is anchored.
+
+    Each text is taken where it first stands: whatever follows has then most room, so no other place need be tried.
+    """
+    last, size = F.try_element_at(rest, F.lit(-1)), F.length(path)
+    middle = F.when(ends, F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, path, at + 1)
+        return F.when(at < 0, at).when(part == "", at).when(found == 0, F.lit(-1)).otherwise(found - 1 + F.length(part))
+
+    at = F.aggregate(middle, F.length(head), step)
+    closes = F.when(F.size(rest) == 0, at == size).otherwise((at <= size - F.length(last)) & F.endswith(path, last))
+    return (at >= 0) & (~ends | closes)
+
+
+def matches(paths: DataFrame, ruled: DataFrame) -> DataFrame:
+    """paths (site, path) with the rules (site, pattern, ...) that match them: an equi-join on the path's beginnings.
+
+    Of a path only the beginnings of those lengths are looked up that heads of its site's patterns have, so a
+    path meets the rules whose heads it begins with, however many others its site has.
+    """
+    rules_ = indexed(ruled.where("pattern <> ''"))
+    sizes = rules_.groupBy("site").agg(F.collect_set(F.length("head")).alias("sizes"))
+    looked = paths.join(sizes, "site").withColumn("size", F.explode(F.filter("sizes", lambda s: s <= F.length("path"))))
+    looked = looked.select("site", "path", F.expr("left(path, size)").alias("head"))
+    hit = looked.join(rules_, ["site", "head"])
+    return hit.where(_rest_matches(F.col("path"), F.col("head"), F.col("rest"), F.col("ends"))).drop("head", "rest", "ends")
 
 
 def group_of(grouped: DataFrame, bots: DataFrame) -> DataFrame:
@@ -80,14 +116,30 @@ def group_of(grouped: DataFrame, bots: DataFrame) -> DataFrame:
 def verdicts(paths: DataFrame, ruled: DataFrame) -> DataFrame:
     """paths (site, path) against rules (site, allow, pattern) -> site, path, allowed.
 
-    The longest matching pattern decides, allow among equals; without a match all is allowed. The join is by
-    site, with the pattern as a condition: a site's rules are few.
+    The longest matching pattern decides, allow among equals; without a match all is allowed. Null paths are
+    allowed; paths that repeat give a row each.
     """
-    hit = paths.join(ruled.where("pattern <> ''").withColumn("rx", pattern_regex(F.col("pattern"))), "site", "left").where(F.col("rx").isNull() | F.expr("path rlike rx"))
-    best = hit.groupBy("site", "path").agg(F.max(F.struct(F.octet_length("pattern").alias("size"), "allow")).alias("best"))
+    best = matches(paths.select("site", "path").distinct(), ruled.select("site", "allow", "pattern").distinct())
+    best = best.groupBy("site", "path").agg(F.max(F.struct(F.octet_length("pattern").alias("size"), "allow")).alias("best"))
     return paths.join(best, ["site", "path"], "left").select("site", "path", F.coalesce("best.allow", F.lit(True)).alias("allowed"))
 
 
+def allowed_urls(urls: DataFrame, ruled: DataFrame, url: str = "url") -> DataFrame:
+    """urls (site, url) with allowed: rules must let both the escaped and the decoded form of a URL's path through."""
+    escaped, decoded = U.robots_targets(F.col(url))
+    forms = urls.select("site", url).distinct().withColumn("path", F.explode(F.array_distinct(F.array(escaped, decoded))))
+    said = verdicts(forms.select("site", "path").distinct(), ruled)
+    per = forms.join(said, ["site", "path"]).groupBy("site", url).agg(F.bool_and("allowed").alias("allowed"))
+    return urls.join(per, ["site", url], "left")
+
+
+def delays(grouped: DataFrame, bots: DataFrame) -> DataFrame:
+    """bots (bot) -> site, bot, delay: the seconds that the bot's group asks for between requests; the group's last valid line counts."""
+    said = grouped.where("directive = 'crawl-delay' and grp > 0").withColumn("delay", F.expr("try_cast(value as double)")).where("delay >= 0")
+    per = said.groupBy("site", "grp").agg(F.max_by("delay", "line").alias("delay"))
+    return group_of(grouped, bots).join(per, ["site", "grp"]).select("site", "bot", "delay")
+
+
 def crawlers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c,) for c in CRAWLERS], "bot string")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from auditmill.functions import urls as U
-from auditmill.operators.crawl import _cut
+from auditmill.shared import cut as _cut
+from auditmill.shared import numbered
 
 # Limits that a run keeps unless told otherwise.
 MAX_CHILDREN, MAX_DEPTH, MAX_URLS, MAX_FILE_URLS, MAX_BYTES, SAMPLE, MAX_SAMPLE = 50, 3, 200_000, 50_000, 50 << 20, 10, 100
@@ -124,20 +125,34 @@ def totals(found: DataFrame) -> DataFrame:
     return found.groupBy("file").agg(F.count("*").alias("urls"), (F.count("*") > MAX_FILE_URLS).alias("too_many"))
 
 
+def _full_rounds(n: DataFrame, size: int) -> int:
+    """The most rounds of dealing one place to each file with places left that `size` places pay for: a search by 32 sums at a time."""
+    lo, hi = 0, size + 1  # lo rounds can be paid, hi rounds can't or needn't
+    while hi - lo > 1:
+        tries = sorted({lo + (hi - lo) * i // 33 for i in range(1, 33)} - {lo})
+        cost = n.agg(*[F.coalesce(F.sum(F.least("n", F.lit(k))), F.lit(0)).alias(f"k{k}") for k in tries]).first()
+        paid = [k for k in tries if cost[f"k{k}"] <= size]
+        lo, hi = max([lo, *paid]), min([hi, *(k for k in tries if k not in paid)])
+    return lo
+
+
 def sample(found: DataFrame, size: int) -> DataFrame:
     """found (file, pos) -> a fair sample of `size` rows: places are dealt to files in turn, and are evenly spaced within a file.
 
-    With fewer places than files, evenly spaced files give one each. Round k of the dealing reaches the files
-    with more than k rows, so a file's quota follows from counts alone; no loop over rows is needed.
+    With fewer places than files, evenly spaced files give one each. Whole rounds of dealing follow from sums of
+    counts, and the places left go to the first files that have rows left. Files are numbered in two levels.
     """
-    n = found.groupBy("file").agg(F.count("*").alias("n")).withColumn("g", F.row_number().over(Window.orderBy("file")) - 1)
+    n = numbered(found.groupBy("file").agg(F.count("*").alias("n")), "g", "file")
     files = n.count()
     if files > size:
-        picked = n.where(F.exists(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.floor(i * files / size) == F.col("g"))).withColumn("q", F.lit(1))
+        # the files numbered floor(i * files / size)
+        picked = n.withColumn("i", F.expr(f"(g * {size} + {files - 1}) div {files}"))
+        picked = picked.where(f"i < {size} and (i * {files}) div {size} = g").drop("i").withColumn("q", F.lit(1))
     else:
-        turns = n.select("file", "n", "g", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(size)) - 1)).alias("k"))
-        dealt = turns.withColumn("turn", F.row_number().over(Window.orderBy("k", "g"))).where(F.col("turn") <= size)
-        picked = dealt.groupBy("file", "n", "g").agg(F.count("*").alias("q"))
+        rounds = _full_rounds(n, size)
+        left = size - int(n.agg(F.coalesce(F.sum(F.least("n", F.lit(rounds))), F.lit(0))).first()[0])
+        more = numbered(n.where(F.col("n") > rounds).select("file"), "r", "file").where(F.col("r") < left).select("file", F.lit(1).alias("extra"))
+        picked = n.join(more, "file", "left").withColumn("q", (F.least("n", F.lit(rounds)) + F.coalesce("extra", F.lit(0))).cast("int")).where("q > 0").drop("extra")
     ranked = found.withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
     want = picked.select("file", "g", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.floor(j * F.col("n") / F.col("q")))).alias("j", "at"))
     return ranked.join(want, ["file", "at"]).select(*found.columns, "j", "g").orderBy("j", "g")

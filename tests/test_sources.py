@@ -115,3 +115,42 @@ def test_keys_in_the_jvm(spark):
     urls = ["https://a.example/?utm%5Fsource=1&b=%zz&a", "HTTP://A.example/x?GCLID=1", "no url", "https://A.example/%7Euser", "http://a.example:80/a b/é?x=%C3%A9&a=1+2", "https://bücher.example/x", "https://a.example/a%2Fb/%7e", "https://a.example/%zz", "https://a.example/a+b%2Bc/(x)*!;=:@'$&,", "https://a.example/p?q=a%20b+c&q=a/b", "https://a.example/日本?k=日本"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.key_absolute(F.col("u")).alias("k"), U.normalize_absolute(F.col("u")).alias("n")).collect()
     assert {r.u: (r.k, r.n) for r in rows} == {u: (U.url_key(u), U.normalize_url(u)) for u in urls}
+
+
+def test_patterns_by_their_heads(spark):
+    """Wildcards match as a regular expression does, whatever the texts between them hold; long chains take no time."""
+    import random
+    import re
+
+    from auditmill.sources import robots
+
+    rng = random.Random(3)
+    paths = ["/" + "".join(rng.choices("ab/.$?", k=rng.randrange(9))) for _ in range(80)] + ["/" + "a" * 2000, "/é%C3%A9/x"]
+    patterns = ["/", "*", "/*", "$", "/$", "*$", "/a*b$", "/**a", "/a.b", "/a$b", "a", "/é*x$", "/é", "/" + "a*" * 60 + "$", "/" + "*a" * 60 + "b", ""] + ["".join(rng.choices("/ab*.$", k=rng.randrange(1, 7))) for _ in range(120)]
+    rows = spark.createDataFrame([("s", p) for p in paths], "site string, path string"), spark.createDataFrame([("s", p, k) for k, p in enumerate(patterns)] + [("t", "/", -1)], "site string, pattern string, k int")
+    got = {(r.path, r.pattern) for r in robots.matches(*rows).collect()}
+    for pattern in set(patterns) - {""}:
+        body = pattern.removesuffix("$")
+        like = re.compile(".*".join(map(re.escape, re.sub(r"\*+", "*", body).split("*"))) + ("$" if pattern.endswith("$") else ""), re.S)
+        for path in paths:
+            if len(path) < 100 or pattern.count("*") < 9:
+                assert ((path, pattern) in got) == bool(like.match(path) and (not pattern.endswith("$") or like.fullmatch(path))), (path, pattern)
+    assert ("/" + "a" * 2000, "/" + "a*" * 60 + "$") in got and ("/" + "a" * 2000, "/" + "*a" * 60 + "b") not in got
+
+
+def test_both_forms_of_a_path(spark):
+    from auditmill.sources import robots
+
+    urls = spark.createDataFrame([("s", "https://s/caf%C3%A9/x"), ("s", "https://s/caf%C3%A9/x"), ("s", "https://s/b%20c"), ("s", "https://s/free"), ("u", "https://u/any")], "site string, url string")
+    ruled = spark.createDataFrame([("s", "/café/", False), ("s", "/b%20c", False), ("s", "/b c", True)], "site string, pattern string, allow boolean")
+    got = [(r.url, r.allowed) for r in robots.allowed_urls(urls, ruled).collect()]
+    assert sorted(got) == [("https://s/b%20c", False), ("https://s/caf%C3%A9/x", False), ("https://s/caf%C3%A9/x", False), ("https://s/free", True), ("https://u/any", True)]
+
+
+def test_numbers_in_two_levels(spark):
+    from auditmill.shared import numbered
+
+    rows = spark.range(500).selectExpr("(id * 7919) % 503 as k", "id as other").repartition(7)
+    got = numbered(rows, "n", "k").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.k)] == list(range(500)) and got[0].asDict().keys() == {"k", "other", "n"}
+    assert numbered(rows.where("false"), "n", "k").collect() == []
