@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditmill.shared import folder
+
 #: Bytes of text that a Python worker treats at once; single longer texts are treated alone.
 CHUNK_BYTES = 1 << 20
 #: White space that parts words: space and 0x09 to 0x0D.
@@ -24,12 +26,11 @@ _P_INV = pow(_P, -1, 1 << 64)
 
 # ---------------------------------------------------------------- written tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset. A cluster's warehouse on one machine is refused."""
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not spark.conf.get("spark.checkpoint.dir", None) and own.isDefined():
+        return own.get()
+    return folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -203,7 +204,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
+            .where("u <> v")
         )
         large = written(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -63,6 +63,10 @@ FIT_PAGES, FIT_BLOCKS, LEAST = 1000, 40_000, 50
 #: The text's model where there is nothing to fit it to, and what a fitted one is drawn to: intercept, then the weights of `text_features`.
 PRIOR = (-0.6, 0.35, -3.0, 0.7, 0.5, 0.4, -0.3)
 RIDGE = 20.0
+#: Elements that some sites wrap around everything; they say nothing where they hold MOST of the text or stand around the article.
+WRAPPERS = frozenset(("form", "fieldset", "header"))
+#: What keeps an element from being shown, and what it says of the text below.
+HIDDEN, UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:;|!|$)"), -9.0
 #: Names say little against an element that holds so much of the page's text, and nothing against one around an article or main with so much of it.
 MOST, SHARE, LITTLE = 0.7, 0.2, -1.0
 
@@ -78,7 +82,11 @@ class Block:
 
 
 def _names(attributes: str) -> float:
-    """What an element's class, id and role say of it; the strongest statement holds."""
+    """What an element's class, id and role say of it, and whether it is shown at all; the strongest statement holds."""
+    if "hidden" in attributes.lower() or "display" in attributes.lower():
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            if name.lower() == "hidden" or name.lower() == "style" and HIDDEN.search((a or b or c).lower()):
+                return UNSEEN
     found = " ".join((a or b or c).lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role", "aria-label"))
     if not found:
         return 0.0
@@ -143,19 +151,22 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag not in VOID:
             number += 1
-            stack.append((number, tag, TAGS.get(tag, 0.0), _names(m[3])))
+            # the header of an article is part of it
+            own = tag == "header" and any(t in ("article", "main") for _, t, _, _ in stack)
+            stack.append((number, tag, 0.0 if own else TAGS.get(tag, 0.0), _names(m[3])))
     if at < len(page):
         text(page[at:])
     return [b for b in out if b.text()]
 
 
 def ease(found: list[Block], texts: list[str]) -> None:
-    """Takes back what names say against elements that can't be boilerplate as a whole.
+    """Takes back what names and WRAPPERS say against elements that can't be boilerplate as a whole.
 
     Names of html and body speak of the layout. Those of an element that holds MOST of the page's text, or of one
-    around an article or main that holds a SHARE of it, don't outweigh what is nearer to the text.
+    around an article or main that holds a SHARE of it, don't outweigh what is nearer to the text; nor does a form
+    or header say anything there.
     """
-    if not any(names < 0 for b in found for _, _, _, names in b.path):
+    if not any(names < 0 or odds < 0 and tag in WRAPPERS for b in found for _, tag, odds, names in b.path):
         return
     held: dict[int, int] = {}
     for b, t in zip(found, texts):
@@ -165,11 +176,14 @@ def ease(found: list[Block], texts: list[str]) -> None:
     for b in found:
         near, path = False, []
         for number, tag, odds, names in reversed(b.path):
+            most = held[number] >= MOST * whole
             if names < 0:
                 if near or tag in ("html", "body"):
                     names = 0.0
-                elif held[number] >= MOST * whole:
+                elif most:
                     names = max(names, LITTLE)
+            if odds < 0 and tag in WRAPPERS and (near or most):
+                odds = 0.0
             path.append((number, tag, odds, names))
             near = near or (tag in ("article", "main") and held[number] >= SHARE * whole)
         b.path = tuple(reversed(path))

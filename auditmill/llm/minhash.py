@@ -72,8 +72,8 @@ def _signatures(shingle: int, bands: int, rows: int):
                 flat = np.concatenate(keys) if keys else np.zeros(0, U)
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(count), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))],
-                    names=["id", "n", "h1", "h2", "bands"],
+                    [part.column(0), part.column(2), pa.array(count), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))],
+                    names=["id", "k", "n", "h1", "h2", "bands"],
                 )
 
     return run
@@ -119,52 +119,84 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, shingle: int
     Returns (doc_id, n_shingles, component_id), one row for each row of docs: component_id is the smallest
     doc_id that links reach, the row's own included. Null texts are empty; texts without words have no
     shingles and are linked with nothing. A row without doc_id is linked with nothing and has no component.
-    Rows that repeat each give a row of the same component. Where one doc_id comes with several texts, its
-    smallest text is the one that is compared. An empty table gives no rows.
+    Rows that repeat each give a row of the same component. Where one doc_id comes with several texts, each text is
+    compared, and each row has its own text's component. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = written(source.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
-    classes = written(sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k"))
+    sets = written(source.mapInArrow(_signatures(shingle, bands, rows), "id long, k long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    place = F.struct("id", "k")
+    classes = sets.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(place).alias("of"), F.min_by("bands", place).alias("bands"))
+    # a class goes by its set's hash, as a doc_id can stand with several texts
+    classes = written(classes.select(F.xxhash64("h1", "h2", "n").alias("rep"), "h1", "h2", "n", "of", "bands"), "classes")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = shared.where("size > 1").select("key", "size")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keys.join(shared, "key"), "members")
     # the document that meets most others is the likeliest centre of its group
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     members = written(members.join(weight, "rep").select("key", "rep", "n", "weight"), "members")
-    texts = source.join(weight.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    edges = _links(members, written(texts, "texts"), num, den, shingle)
-    linked = written(connected_components(edges), "linked")
-    of_class = classes.join(linked, classes.rep == linked.node, "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "of.id", "of.k")
+    texts = source.join(wanted, ["id", "k"]).groupBy("rep").agg(F.min("text").alias("text")).withColumnRenamed("rep", "id")
+    linked = linked_components(members, written(texts, "texts"), num, den, shingle)
+    named = linked.join(classes.select("rep", "of.id"), linked.node == classes.rep).select("rep", "id", "component")
+    least = named.join(named.groupBy("component").agg(F.min("id").alias("least")), "component").select("rep", "least")
+    of_class = classes.join(least, "rep", "left").select("h1", "h2", "n", F.coalesce("least", "of.id").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return sets.join(of_class, ["h1", "h2", "n"], "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _links(members: DataFrame, texts: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
-    """Links between class representatives that share a bucket; enough of them to give every component."""
+def _near_labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within two links, for every node of an edge. Nodes of one label are connected; others may be."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    one = both.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
+    two = both.join(one.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("far"))
+    return two.select(F.col("u").alias("node"), F.least("u", "far").alias("component"))
+
+
+def _relabelled(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with their labels; buckets whose members are all of one label can join nothing more, and go."""
+    left = left.drop("comp").join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return left.join(split, "key", "left_semi")
+
+
+def linked_components(members: DataFrame, texts: DataFrame, num: int, den: int, shingle: int) -> DataFrame:
+    """(node, component) for class representatives that are linked, of members (key, rep, n, weight) of buckets and texts (id, text).
+
+    Between rounds labels of two links are enough: they only save comparisons. Whole components are worked out
+    once, and links found after that join them as wholes.
+    """
     fits = F.least("n", "m") * den >= F.greatest("n", "m") * num
     left, edges, tried = members.withColumn("comp", F.col("rep")), None, None
     for _ in range(PIVOT_ROUNDS):
         pivot = left.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("of"))).alias("p"))
-        pairs = left.join(pivot.select("key", "p.a", "p.m", "p.of"), "key").where((F.col("rep") != F.col("a")) & (F.col("comp") != F.col("of")) & fits)
-        pairs = written(pairs.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+        met = left.join(pivot.select("key", "p.a", "p.m", "p.of"), "key").where("rep <> a")
+        pairs = written(met.where((F.col("comp") != F.col("of")) & fits).select("a", F.col("rep").alias("b")).distinct(), "pairs")
         found = written(confirmed(pairs, texts, num, den, shingle), "found")
         edges = found if edges is None else edges.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = written(connected_components(edges), "components")
-        left = left.drop("comp").join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        # the pivot has met all of its bucket; a bucket with one component left can join nothing more
-        left = left.join(pivot.select("key", "p.a"), "key").where("rep <> a").drop("a")
-        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        left = written(left.join(split, "key", "left_semi"), "unsettled")
+        # the pivot has met all of its bucket
+        labels = written(_near_labels(edges), "labels")
+        rest = left.join(pivot.select("key", "p.a"), "key").where("rep <> a").drop("a")
+        left = written(_relabelled(rest, labels), "unsettled")
         if left.isEmpty():
-            return edges
+            return written(connected_components(edges), "linked")
+    whole = written(connected_components(edges), "components")
+    left = written(_relabelled(left, whole), "unsettled")
+    if left.isEmpty():
+        return whole
     rest = _sharing_rare(left.select("rep", "n", "comp").distinct(), texts, num, den, shingle).where(fits)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    return edges.unionByName(written(confirmed(rest, texts, num, den, shingle), "found"))
+    found = written(confirmed(rest, texts, num, den, shingle), "found")
+    ends = [whole.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    over = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = written(connected_components(over), "joined")
+    top = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = whole.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(moved.unionByName(joined.join(whole, "node", "left_anti")), "linked")
 
 
 def _sharing_rare(docs: DataFrame, texts: DataFrame, num: int, den: int, shingle: int) -> DataFrame:

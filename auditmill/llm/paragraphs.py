@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.llm import minhash
-from auditmill.llm.common import U, WHITE, chunks, connected_components, mix, prefix_hash, signed, small_batches, span_hash, text_bytes, words, written
+from auditmill.llm.common import U, WHITE, chunks, mix, prefix_hash, signed, small_batches, span_hash, text_bytes, words, written
 
 SHINGLE = 5
 BANDS = 3
@@ -150,7 +150,7 @@ def classes(docs: DataFrame, num: int = 80, den: int = 100, bands: int = BANDS)
     want = want.select("of.k", F.struct("h", "of.a", "of.b").alias("w")).groupBy("k").agg(F.collect_list("w").alias("want"))
     texts = rows.select("k", "text").join(want.select("k"), "k", "left_semi").groupBy("k").agg(F.min("text").alias("text"))
     texts = written(texts.join(want, "k").select("text", "want").mapInArrow(_texts, "id long, text string"), "texts")
-    linked = written(connected_components(minhash._links(members, texts, num, den, SHINGLE)), "linked")
+    linked = minhash.linked_components(members, texts, num, den, SHINGLE)
     again = units.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     of = again.join(linked, again.h == linked.node, "full_outer").select(F.coalesce("h", "node").alias("h"), F.coalesce("component", "h").alias("class"))
     found = units.join(of, "h").select("doc_id", "k", "idx", "a", "b", "words", "class")
@@ -160,20 +160,23 @@ def classes(docs: DataFrame, num: int = 80, den: int = 100, bands: int = BANDS)
 
 
 def by_document(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """A row for each doc_id of docs (doc_id, text): n_repeated and n_removed paragraphs, the removed ones' bytes, and whose they repeat.
+    """A row for each row of docs (doc_id, text): n_repeated and n_removed paragraphs, the removed ones' bytes, and whose they repeat.
 
     doc_id, n_repeated long (paragraphs whose class has others), n_removed long (those that aren't the first),
     removed_words long, spans string ("a-b" in bytes of the text, comma-joined, in order), class_doc_ids
-    array<long> (the doc_ids of the first paragraphs of its classes, sorted). An empty table gives no rows.
+    array<long> (the doc_ids of the first paragraphs of its classes, sorted). Each row is told of its own text, also
+    where a doc_id is null or stands with several texts; rows that repeat have the same values, and each other's
+    paragraphs as repeats. Null, empty and blank texts have no paragraphs. An empty table gives no rows.
     """
     found = classes(docs, num, den)
-    gone = ~F.col("first")
-    spans = F.array_sort(F.collect_set(F.when(gone, F.struct("a", "b"))))
-    per = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_repeated"), F.count_if(gone).alias("n_removed"), F.coalesce(F.sum(F.when(gone, F.col("words"))), F.lit(0)).cast("long").alias("removed_words"),
-        F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s.a, s.b)), ",").alias("spans"), F.array_sort(F.collect_set("first_doc_id")).alias("class_doc_ids"),
-    ).withColumnRenamed("doc_id", "of")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(per, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_repeated", "n_removed", "removed_words")]
-    return out.select("doc_id", *zero, F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("class_doc_ids", F.array().cast("array<long>")).alias("class_doc_ids"))
+    gone = F.array_sort(F.collect_set(F.when(~F.col("first"), F.struct("a", "b", "words"))))
+    per = found.groupBy("doc_id", "k").agg(gone.alias("gone"), F.size(F.collect_set("idx")).alias("n_repeated"), F.array_sort(F.collect_set("first_doc_id")).alias("class_doc_ids"))
+    per = per.withColumnRenamed("doc_id", "of")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k"))
+    out = rows.join(per, rows["doc_id"].eqNullSafe(per["of"]) & (rows["k"] == per["k"]), "left")
+    gone = F.coalesce("gone", F.expr("cast(array() as array<struct<a:int,b:int,words:int>>)"))
+    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return out.select(
+        "doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.size(gone).cast("long").alias("n_removed"), removed.alias("removed_words"),
+        F.array_join(F.transform(gone, lambda s: F.concat_ws("-", s["a"], s["b"])), ",").alias("spans"), F.coalesce("class_doc_ids", F.array().cast("array<long>")).alias("class_doc_ids"),
+    )
