@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlsplit
 
@@ -224,18 +225,18 @@ def blocked_ipv4(address: Column) -> Column:
     return F.coalesce(~fine | inner, F.lit(True))
 
 
+def is_blocked(address: str | None) -> bool:
+    """Whether an address of either version lies where no fetcher may reach; what is no address does."""
+    try:
+        ip = ipaddress.ip_address((address or "").strip())
+    except ValueError:
+        return True
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    shared = ip.version == 4 and ip in ipaddress.ip_network("100.64.0.0/10")
+    return ip.is_loopback or ip.is_private or ip.is_multicast or ip.is_unspecified or ip.is_link_local or shared
+
+
 @F.arrow_udf(BooleanType())
 def blocked_address(address: pa.Array) -> pa.Array:
     """blocked_ipv4 for addresses of either version."""
-    import ipaddress
-
-    def one(s: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address((s or "").strip())
-        except ValueError:
-            return True
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        shared = ip.version == 4 and ip in ipaddress.ip_network("100.64.0.0/10")
-        return ip.is_loopback or ip.is_private or ip.is_multicast or ip.is_unspecified or ip.is_link_local or shared
-
-    return pa.array([one(s) for s in address.to_pylist()])
+    return pa.array([is_blocked(s) for s in address.to_pylist()])
