@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,34 @@ WEIGHTS = {"home": 3, "hub": 2, "detail": 1}
 MANY, TOO_MANY, THIN = 30, 50, 60
 
 
+def shared_results(results: DataFrame, shared: int = SHARED) -> DataFrame:
+    """Links (x, y) that connect all keywords of results (keyword, rank, url) which share at least `shared` of their first RESULTS.
+
+    Two keywords share so many exactly if they have a choice of `shared` URLs in common, and all that have one such
+    choice are linked to the smallest of them. A keyword has at most 210 choices of four out of ten, so work grows with keywords
+    alone, however many have a result in common. URLs that one keyword alone has are left out first.
+    """
+    top = results.where(F.col("rank") <= RESULTS).select("keyword", "url").distinct()
+    known = top.join(top.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url"), "url", "left_semi")
+    sets = known.groupBy("keyword").agg(F.sort_array(F.collect_set("url")).alias("urls")).where(F.size("urls") >= shared)
+    picks = ", ".join(f"array({', '.join(map(str, c))})" for c in combinations(range(RESULTS), shared))
+    fits = F.filter(F.expr(f"array({picks})"), lambda c: c[shared - 1] < F.size("urls"))
+    # two hashes name a choice: 128 bits
+    choice = F.transform(fits, lambda c: F.struct(*[F.xxhash64(F.lit(seed), *[F.get("urls", c[i]) for i in range(shared)]).alias(f"h{seed}") for seed in (1, 2)]))
+    chosen = sets.select("keyword", F.explode(choice).alias("c"))
+    first = chosen.groupBy("c").agg(F.min("keyword").alias("x"), F.max("keyword").alias("last")).where("x < last").select("c", "x")
+    stars = chosen.join(first, "c").where("keyword <> x").select("x", F.col("keyword").alias("y")).distinct()
+    return stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
+
+
 def keyword_clusters(results: DataFrame, shared: int = SHARED) -> DataFrame:
     """results (keyword, rank, url) -> keyword, cluster: the smallest keyword that shared results lead to.
 
-    Keywords meet by the URLs of their first results, of which each has ten at most. Labels are passed on until
-    none changes, every round being a join and an aggregate whose lineage is cut.
+    Labels are passed on along `shared_results` until none changes, every round being a join and an aggregate whose
+    lineage is cut.
     """
-    top = results.where(F.col("rank") <= RESULTS).select("keyword", "url").distinct()
-    pairs = top.alias("a").join(top.alias("b"), "url").where("a.keyword <> b.keyword").groupBy(F.col("a.keyword").alias("x"), F.col("b.keyword").alias("y")).agg(F.count("*").alias("n"))
-    links = _cut(pairs.where(F.col("n") >= shared).select("x", "y"))
+    links = _cut(shared_results(results, shared))
+    top = results.where(F.col("rank") <= RESULTS)
     now = _cut(top.select("keyword").distinct().withColumn("cluster", F.col("keyword")))
     while True:
         near = links.join(now, links.y == now.keyword).groupBy("x").agg(F.min("cluster").alias("near"))

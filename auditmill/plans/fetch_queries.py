@@ -88,3 +88,37 @@ def status_stream(spark, d):
 
     counts.writeStream.outputMode("complete").option("checkpointLocation", folder + "/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(folder + "/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _streamed(spark, d, plan, mode: str):
+    """A stream over events, put through `plan` and read to its end; what it gave out is read from the shared folder."""
+    import uuid
+
+    from auditmill import shared
+
+    out = shared.folder(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = plan(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    rows.writeStream.outputMode(mode).format("parquet").option("path", out + "/rows").option("checkpointLocation", out + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out + "/rows")
+
+
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS window_start, CASE WHEN event_id % 20 = 0 THEN 404 ELSE 200 END AS status FROM events)
+SELECT CAST(window_start AS TIMESTAMP) AS window_start, status, count(*) AS fetches FROM e WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+def status_stream_final(spark, d):
+    """Windows that the watermark has passed, each given out once; their state is gone."""
+    from auditmill.streaming import monitor
+
+    status = F.when(F.col("event_id") % 20 == 0, 404).otherwise(200)
+    out = _streamed(spark, d, lambda s: monitor.status_counts(s.select("ts", status.alias("status"))), "append")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT 'u' || user_id AS url_key, event_id AS seq, before, event_type AS after FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE n > 1 AND before <> event_type""")
+def drift_stream(spark, d):
+    """A page's visits as a stream: those that found something else than the visit before."""
+    from auditmill.streaming import monitor
+
+    visits = lambda s: s.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url_key"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("content"))
+    return _streamed(spark, d, lambda s: monitor.changes(visits(s)), "append").select("url_key", "seq", "before", "after")

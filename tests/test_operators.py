@@ -127,3 +127,24 @@ def test_summary_order(spark):
     rows = [("Deep pages", "INFO", "u", "")] * 3 + [("Broken links", "CRITICAL", "u", "")] + [("Orphans", "WARNING", f"u{i:02}", "") for i in range(30)]
     out = site.summary(spark.createDataFrame(rows, "category string, severity string, url string, detail string")).collect()
     assert [(r.category, r.affected) for r in out] == [("Broken links", 1), ("Orphans", 30), ("Deep pages", 3)] and len(out[1].sample.split()) == 20
+
+
+def test_clusters_of_hot_results(spark):
+    """Keywords that share three results with all others, and four with some: links are those of all pairs, and their number stays small."""
+    import random
+    from itertools import combinations
+
+    from auditmill.operators import strategy
+
+    rng = random.Random(4)
+    results = {k: ["hot1", "hot2", "hot3"] + rng.sample([f"u{i}" for i in range(40)], rng.randrange(0, 6)) + [f"own{k}"] for k in range(60)}
+    rows = [(k, r + 1, u) for k, us in results.items() for r, u in enumerate(us[:10])] + [(0, 11, "u1"), (None, 1, "hot1")]
+    got = strategy.keyword_clusters(spark.createDataFrame(rows, "keyword long, rank int, url string").where("keyword is not null")).collect()
+    label = {k: k for k in results}
+    for _ in results:
+        for x, y in combinations(results, 2):
+            if len(set(results[x]) & set(results[y])) >= 4:
+                label[x] = label[y] = min(label[x], label[y])
+    assert {r.keyword: r.cluster for r in got} == label
+    everyone = spark.range(3000).selectExpr("id as keyword", "explode(sequence(1, 10)) as rank").selectExpr("keyword", "rank", "concat('same', rank) as url")
+    assert strategy.shared_results(everyone).count() == 2 * 2999
