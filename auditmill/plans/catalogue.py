@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditmill.plans import feed_queries, fetch_queries, markup_queries, page_queries, parse_queries, site_queries, text_queries, url_queries  # noqa: F401  they register themselves
+from auditmill.plans import feed_queries, fetch_queries, markup_queries, page_queries, parse_queries, site_queries, store_queries, text_queries, url_queries  # noqa: F401  they register themselves
 from auditmill.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
