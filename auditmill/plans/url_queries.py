@@ -43,10 +43,10 @@ def url_key_dupes(spark, d):
     return pages(spark, d).groupBy(U.key_absolute(F.col("url")).alias("key")).agg(F.count("*").alias("urls"), F.min("url").alias("first_url")).where("urls > 1")
 
 
-@query(f"SELECT page_id, norm <> key AS changed, len(string_split(query, '&')) AS params FROM {URLS} WHERE query LIKE '%utm_%'")
+@query(f"SELECT page_id, norm <> key AS changed, len(string_split(query, '&')) AS params FROM {URLS}")
 def tracking_params_stripped(spark, d):
     q = U.parts(F.col("url"))["query"]
-    return pages(spark, d).where(q.contains("utm_")).select("page_id", (U.normalize_absolute(F.col("url")) != U.key_absolute(F.col("url"))).alias("changed"), F.size(F.split(q, "&")).cast("long").alias("params"))
+    return pages(spark, d).select("page_id", (U.normalize_absolute(F.col("url")) != U.key_absolute(F.col("url"))).alias("changed"), F.size(F.split(q, "&")).cast("long").alias("params"))
 
 
 @query()
