@@ -73,9 +73,16 @@ def lookup(pages: DataFrame) -> DataFrame:
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
     """Pages that aren't redirects to a page known already: pages without redirects, and the first redirect to each other landing URL."""
+    if "_distinct" not in pages.columns:
+        pages = with_distinct(pages)
+    return pages.where("_distinct").drop("_distinct")
+
+
+def with_distinct(pages: DataFrame) -> DataFrame:
+    """pages with _distinct: whether the page is one of `distinct_pages`. Pages without a landing key aren't."""
     first = pages.groupBy(F.col("final_key").alias("_at")).agg(F.min(F.struct(F.col("hops") > 0, "url")).alias("_first"))
-    rows = pages.join(first, pages.final_key == first["_at"])
-    return rows.where((F.col("hops") == 0) | (F.struct(F.col("hops") > 0, "url") == F.col("_first"))).drop("_at", "_first")
+    own = F.col("_at").isNotNull() & ((F.col("hops") == 0) | (F.struct(F.col("hops") > 0, "url") == F.col("_first")))
+    return pages.join(first, pages.final_key == first["_at"], "left").withColumn("_distinct", F.coalesce(own, F.lit(False))).drop("_at", "_first")
 
 
 def _url(df: DataFrame, detail: Column | str = "") -> DataFrame:
@@ -174,38 +181,72 @@ def deep(pages: DataFrame) -> DataFrame:
     return _url(distinct_pages(pages).where(indexable() & (F.col("depth") > 3)), F.col("depth"))
 
 
+def _page_issues(pages: DataFrame) -> DataFrame:
+    """category, url, detail of the checks that one row of pages (with _distinct and _in, its in-links) decides: one pass for all."""
+    own = F.col("_distinct") & indexable()
+    checks = {
+        "Broken links": (broken() & F.col("_in").isNotNull(), F.concat_ws(" ", "status", "_in")),
+        "Linked redirects": ((F.col("depth") > 0) & (F.col("hops") >= 1) & F.col("_in").isNotNull(), F.col("_in")),
+        "Redirect chains": (F.col("hops") >= 2, F.col("hops")),
+        "Missing title": (own & (F.col("title") == ""), F.lit("")),
+        "Missing description": (own & (F.col("description") == ""), F.lit("")),
+        "Deep pages": (own & (F.col("depth") > 3), F.col("depth")),
+    }
+    cells = [F.when(holds, F.struct(F.lit(c).alias("category"), detail.cast("string").alias("detail"))) for c, (holds, detail) in checks.items()]
+    rows = pages.select("url", F.explode(F.array_compact(F.array(*cells))).alias("i"))
+    return rows.select("i.category", "url", "i.detail")
+
+
+def _shared_values(pages: DataFrame) -> DataFrame:
+    """category, url, detail of values that distinct pages share (see `duplicates`): one aggregate for titles, descriptions and texts."""
+    values = {"Duplicate title": ("title", True), "Duplicate description": ("description", True), "Duplicate text": ("text_hash", False)}
+    value = lambda c, fold: F.lower(F.trim(c)) if fold else F.col(c)
+    cells = [F.when(F.col(c) != "", F.struct(F.lit(name).alias("category"), value(c, fold).alias("value"))) for name, (c, fold) in values.items()]
+    rows = distinct_pages(pages).where(indexable()).select("url", F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.category", "v.value", "url")
+    by = ["category", "value"]
+    out = rows.groupBy(*by).agg(F.count("*").alias("pages")).where("pages > 1").join(first_few(rows, by, "url", 4, "u"), by)
+    return out.select("category", F.get("u", F.lit(0)).alias("url"), F.concat_ws(" ", "pages", F.array_join(F.slice("u", 2, 3), " ")).alias("detail"))
+
+
+#: The category of each kind that a check of targets gives.
+_CANONICAL = {"not-200": "Canonical not 200", "noindex": "Canonical noindex", "redirects": "Canonical redirects", "elsewhere": "Canonical elsewhere"}
+_ALTERNATE = {"not-200": "Hreflang not 200", "one-way": "Hreflang one-way"}
+_LISTED = {"not-200": "Sitemap not 200", "redirect": "Sitemap redirect", "noindex": "Sitemap noindex", "canonicalised": "Sitemap canonicalised"}
+
+
+def _of_kinds(rows: DataFrame, categories: dict[str, str], url: str) -> DataFrame:
+    named = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
+    return rows.where(F.col("kind").isin(*categories)).select(F.try_element_at(named, F.col("kind")).alias("category"), F.col(url).alias("url"), F.lit("").alias("detail"))
+
+
 def issues(pages: DataFrame, links: DataFrame, alternates: DataFrame, sitemap: DataFrame, sitemap_complete: bool = True, truncated: bool = False, robots_blocked: DataFrame | None = None) -> DataFrame:
     """category, severity, url, detail of every check. Checks that an incomplete sitemap or crawl makes unsound aren't run.
 
     Of the sitemap, URLs on hosts that the crawl has seen count, the first listed of each key. robots_blocked
     (url, key): internal links that robots.txt disallows.
     """
-    # a score of checks reads these tables: they are made once
-    pages, links, alternates = _cut(pages), _cut(links), _cut(alternates)
+    # the checks read one table of pages with what several of them ask, so that it is worked out once
+    links, alternates = _cut(links), _cut(alternates)
+    pages = _cut(pages)
+    inside = in_links(pages, links).select(F.col("key").alias("_key"), F.col("in_links").alias("_in"))
+    pages = _cut(with_distinct(pages).join(inside, F.col("key") == F.col("_key"), "left").drop("_key"))
     sitemap = _cut(on_site(sitemap, pages))
-    canonical, alternate, listed = canonical_kinds(pages), alternate_kinds(pages, alternates), sitemap_kinds(pages, sitemap)
-    of = lambda df, kind, url: df.where(F.col("kind") == kind).select(F.col(url).alias("url"), F.lit("").alias("detail"))
-    dup = lambda c, fold=True: duplicates(pages, c, fold).select(F.col("first").alias("url"), F.concat_ws(" ", "pages", "others").alias("detail"))
-    found = {
-        "Broken links": broken_links(pages, links), "Linked redirects": linked_redirects(pages, links), "Redirect chains": redirect_chains(pages),
-        "Missing title": missing(pages, "title"), "Missing description": missing(pages, "description"),
-        "Duplicate title": dup("title"), "Duplicate description": dup("description"), "Duplicate text": dup("text_hash", False),
-        "Canonical not 200": of(canonical, "not-200", "url"), "Canonical noindex": of(canonical, "noindex", "url"), "Canonical redirects": of(canonical, "redirects", "url"), "Canonical elsewhere": of(canonical, "elsewhere", "url"),
-        "Hreflang not 200": of(alternate, "not-200", "dst_url").distinct(), "Hreflang one-way": of(alternate, "one-way", "dst_url").distinct(),
-        "Sitemap not 200": of(listed, "not-200", "loc"), "Sitemap redirect": of(listed, "redirect", "loc"), "Sitemap noindex": of(listed, "noindex", "loc"), "Sitemap canonicalised": of(listed, "canonicalised", "loc"),
-        "Deep pages": deep(pages),
-    }
+    one = lambda df, category: df.select(F.lit(category).alias("category"), "url", "detail")
+    found = [
+        _page_issues(pages), _shared_values(pages), _of_kinds(canonical_kinds(pages), _CANONICAL, "url"), _of_kinds(alternate_kinds(pages, alternates), _ALTERNATE, "dst_url").distinct(),
+        _of_kinds(sitemap_kinds(pages, sitemap), _LISTED, "loc"),
+    ]
     if sitemap_complete:
-        found["Missing from sitemap"] = not_listed(pages, sitemap)
+        found.append(one(not_listed(pages, sitemap), "Missing from sitemap"))
     if not truncated:
-        found["Orphans"] = orphans(pages, links, sitemap, robots_blocked)
+        found.append(one(orphans(pages, links, sitemap, robots_blocked), "Orphans"))
     if robots_blocked is not None:
-        found["Blocked by robots"] = robots_blocked.select("url", F.lit("").alias("detail"))
-    out = None
-    for category, df in found.items():
-        df = df.select(F.lit(category).alias("category"), F.lit(SEVERITY[category]).alias("severity"), "url", "detail")
-        out = df if out is None else out.unionByName(df)
-    return out
+        found.append(one(robots_blocked.select("url", F.lit("").alias("detail")), "Blocked by robots"))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return out.select("category", F.try_element_at(severity, F.col("category")).alias("severity"), "url", "detail")
 
 
 def on_site(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
