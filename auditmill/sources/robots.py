@@ -64,7 +64,7 @@ def blocks_all(files: DataFrame) -> DataFrame:
 def indexed(ruled: DataFrame) -> DataFrame:
     """Rules (site, pattern, ...) with head, the text before the first *, rest, the texts between the others, and ends, whether $ ends the path.
 
-    A pattern can match a path only if the path begins with its head.
+    A pattern can match a path only if the path begins with its head and holds the others.
     """
     ends = F.endswith("pattern", F.lit("$"))
     body = F.when(ends, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
@@ -86,21 +86,47 @@ def _rest_matches(path: Column, head: Column, rest: Column, ends: Column) -> Col
 
     at = F.aggregate(middle, F.length(head), step)
     closes = F.when(F.size(rest) == 0, at == size).otherwise((at <= size - F.length(last)) & F.endswith(path, last))
-    return (at >= 0) & (~ends | closes)
+    return F.startswith(path, head) & (at >= 0) & (~ends | closes)
 
 
-def matches(paths: DataFrame, ruled: DataFrame) -> DataFrame:
-    """paths (site, path) with the rules (site, pattern, ...) that match them: an equi-join on the path's beginnings.
+def _anchored(ruled: DataFrame) -> DataFrame:
+    """Rules (site, pattern) with anchor, the text that a rule is looked up by, and inside, whether it stands behind the head.
+
+    A path that a pattern matches begins with its head and holds each text between its wildcards. Of these the one
+    is taken that fewest of the site's patterns have, the longest among equals; a pattern of wildcards alone has ''.
+    """
+    held = F.transform(F.array_distinct(F.filter("rest", lambda x: x != "")), lambda x: F.struct(F.lit(True).alias("inside"), x.alias("anchor")))
+    head = F.when((F.col("head") != "") | (F.size(held) == 0), F.array(F.struct(F.lit(False).alias("inside"), F.col("head").alias("anchor")))).otherwise(F.array())
+    own = indexed(ruled.select("site", "pattern").distinct()).select("site", "pattern", F.explode(F.concat(head, held)).alias("x")).select("site", "pattern", "x.*")
+    shared = own.groupBy("site", "inside", "anchor").agg(F.count("*").alias("n"))
+    best = F.min_by(F.struct("inside", "anchor"), F.struct("n", -F.length("anchor"), "inside", "anchor")).alias("x")
+    return own.join(shared, ["site", "inside", "anchor"]).groupBy("site", "pattern").agg(best).select("site", "pattern", "x.*")
+
+
+def candidates(paths: DataFrame, ruled: DataFrame) -> DataFrame:
+    """paths (site, path), each once, with the rules (site, pattern, ...) that they may match, taken apart as `indexed` does: an equi-join on texts within the path.
 
-    Of a path only the beginnings of those lengths are looked up that heads of its site's patterns have, so a
-    path meets the rules whose heads it begins with, however many others its site has.
+    A rule is looked up by its rarest text. Of a path only the beginnings and the texts within are looked up that
+    have the lengths of its site's rarest texts, so a path meets the rules whose rarest text it holds, however many
+    others its site has that begin alike.
     """
-    rules_ = indexed(ruled.where("pattern <> ''"))
-    sizes = rules_.groupBy("site").agg(F.collect_set(F.length("head")).alias("sizes"))
-    looked = paths.join(sizes, "site").withColumn("size", F.explode(F.filter("sizes", lambda s: s <= F.length("path"))))
-    looked = looked.select("site", "path", F.expr("left(path, size)").alias("head"))
-    hit = looked.join(rules_, ["site", "head"])
-    return hit.where(_rest_matches(F.col("path"), F.col("head"), F.col("rest"), F.col("ends"))).drop("head", "rest", "ends")
+    ruled = ruled.where("pattern <> ''")
+    anchors = _anchored(ruled)
+    rules_ = indexed(ruled).join(anchors, ["site", "pattern"])
+    sizes = anchors.groupBy("site").agg(F.collect_set(F.struct("inside", F.length("anchor").alias("size"))).alias("sizes"))
+
+    def texts(s: Column) -> Column:
+        starts = F.when(s["inside"], F.sequence(F.lit(1), F.length("path") - s["size"] + 1)).otherwise(F.array(F.lit(1)))
+        return F.transform(starts, lambda at: F.struct(s["inside"].alias("inside"), F.substring(F.col("path"), at, s["size"]).alias("anchor")))
+
+    fits = F.filter("sizes", lambda s: s["size"] <= F.length("path"))
+    looked = paths.join(sizes, "site").select("site", "path", F.explode(F.array_distinct(F.flatten(F.transform(fits, texts)))).alias("x")).select("site", "path", "x.*")
+    return looked.join(rules_, ["site", "inside", "anchor"]).drop("inside", "anchor")
+
+
+def matches(paths: DataFrame, ruled: DataFrame) -> DataFrame:
+    """paths (site, path), each once, with the rules (site, pattern, ...) that match them."""
+    return candidates(paths, ruled).where(_rest_matches(F.col("path"), F.col("head"), F.col("rest"), F.col("ends"))).drop("head", "rest", "ends")
 
 
 def group_of(grouped: DataFrame, bots: DataFrame) -> DataFrame:

@@ -138,6 +138,18 @@ def test_patterns_by_their_heads(spark):
     assert ("/" + "a" * 2000, "/" + "a*" * 60 + "$") in got and ("/" + "a" * 2000, "/" + "*a" * 60 + "b") not in got
 
 
+def test_rules_that_begin_alike(spark):
+    """A path meets the rules whose rarest text it holds, not all that begin as it does."""
+    from auditmill.sources import robots
+
+    n = 2000
+    patterns = [f"/*/q{i}x*.gif$" for i in range(n)] + [f"*i{i}x*/end" for i in range(n)]
+    paths = [f"/a/q{i}x/b.gif" for i in range(n)] + [f"/i{i}x/end" for i in range(n)]
+    rows = spark.createDataFrame([("s", p) for p in paths], "site string, path string"), spark.createDataFrame([("s", p) for p in patterns], "site string, pattern string")
+    assert robots.candidates(*rows).count() == 2 * n
+    assert {(r.path, r.pattern) for r in robots.matches(*rows).collect()} == set(zip(paths, patterns, strict=True))
+
+
 def test_both_forms_of_a_path(spark):
     from auditmill.sources import robots
 
