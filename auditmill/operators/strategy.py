@@ -21,18 +21,19 @@ def shared_results(results: DataFrame, shared: int = SHARED) -> DataFrame:
 
     Two keywords share so many exactly if they have a choice of `shared` URLs in common, and all that have one such
     choice are linked to the smallest of them. A keyword has at most 210 choices of four out of ten, so work grows with keywords
-    alone, however many have a result in common. URLs that one keyword alone has are left out first.
+    alone, however many have a result in common. URLs that one keyword alone has are left out first. Spark takes a
+    table's size from its files, before results and choices multiply its rows: without the hints it would send
+    the larger ones through the driver.
     """
     top = results.where(F.col("rank") <= RESULTS).select("keyword", "url").distinct()
-    known = top.join(top.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url"), "url", "left_semi")
+    known = top.join(top.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url").hint("merge"), "url", "left_semi")
     sets = known.groupBy("keyword").agg(F.sort_array(F.collect_set("url")).alias("urls")).where(F.size("urls") >= shared)
     picks = ", ".join(f"array({', '.join(map(str, c))})" for c in combinations(range(RESULTS), shared))
-    fits = F.filter(F.expr(f"array({picks})"), lambda c: c[shared - 1] < F.size("urls"))
+    picked = sets.select("keyword", "urls", F.explode(F.expr(f"array({picks})")).alias("p")).where(F.col("p")[shared - 1] < F.size("urls"))
     # two hashes name a choice: 128 bits
-    choice = F.transform(fits, lambda c: F.struct(*[F.xxhash64(F.lit(seed), *[F.get("urls", c[i]) for i in range(shared)]).alias(f"h{seed}") for seed in (1, 2)]))
-    chosen = sets.select("keyword", F.explode(choice).alias("c"))
-    first = chosen.groupBy("c").agg(F.min("keyword").alias("x"), F.max("keyword").alias("last")).where("x < last").select("c", "x")
-    stars = chosen.join(first, "c").where("keyword <> x").select("x", F.col("keyword").alias("y")).distinct()
+    chosen = picked.select("keyword", *[F.xxhash64(F.lit(seed), *[F.get("urls", F.col("p")[i]) for i in range(shared)]).alias(f"h{seed}") for seed in (1, 2)])
+    first = chosen.groupBy("h1", "h2").agg(F.min("keyword").alias("x"), F.max("keyword").alias("last")).where("x < last").select("h1", "h2", "x")
+    stars = chosen.join(first.hint("merge"), ["h1", "h2"]).where("keyword <> x").select("x", F.col("keyword").alias("y")).distinct()
     return stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
@@ -42,15 +43,15 @@ def keyword_clusters(results: DataFrame, shared: int = SHARED) -> DataFrame:
     Labels are passed on along `shared_results` until none changes, every round being a join and an aggregate whose
     lineage is cut.
     """
-    links = _cut(shared_results(results, shared))
+    links = _cut(shared_results(results, shared)).hint("merge")
     top = results.where(F.col("rank") <= RESULTS)
     now = _cut(top.select("keyword").distinct().withColumn("cluster", F.col("keyword")))
     while True:
-        near = links.join(now, links.y == now.keyword).groupBy("x").agg(F.min("cluster").alias("near"))
-        new = now.join(near, now.keyword == near.x, "left").select("keyword", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"))
+        near = links.join(now.hint("merge"), links.y == now.keyword).groupBy("x").agg(F.min("cluster").alias("near"))
+        new = now.join(near.hint("merge"), now.keyword == near.x, "left").select("keyword", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"))
         # a label's own label is nearer to the end of a long chain
         ahead = new.select(F.col("keyword").alias("of"), F.col("cluster").alias("ahead"))
-        new = _cut(new.join(ahead, new.cluster == ahead.of, "left").select("keyword", "was", F.least("cluster", F.coalesce("ahead", "cluster")).alias("cluster")))
+        new = _cut(new.join(ahead.hint("merge"), new.cluster == ahead.of, "left").select("keyword", "was", F.least("cluster", F.coalesce("ahead", "cluster")).alias("cluster")))
         now = new.select("keyword", "cluster")
         if new.where("was <> cluster").isEmpty():
             return now

@@ -148,3 +148,13 @@ def test_clusters_of_hot_results(spark):
     assert {r.keyword: r.cluster for r in got} == label
     everyone = spark.range(3000).selectExpr("id as keyword", "explode(sequence(1, 10)) as rank").selectExpr("keyword", "rank", "concat('same', rank) as url")
     assert strategy.shared_results(everyone).count() == 2 * 2999
+
+
+def test_choices_stay_off_the_driver(spark):
+    """Results and choices multiply the rows of a small file: no join may send them through the driver."""
+    from auditmill.operators import strategy
+
+    rows = spark.createDataFrame([(k, r, f"u{k // 6 * 10 + r}") for k in range(40) for r in range(1, 11)], "keyword long, rank int, url string")
+    links = strategy.shared_results(rows)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r.x, r.y) for r in links.collect()} >= {(0, 1), (1, 0), (0, 5), (6, 7)}
