@@ -345,12 +345,12 @@ def sitemap_sample(spark, d):
 
 @query("""SELECT url AS loc, CASE WHEN page_id % 17 = 0 THEN 'broken' ELSE CASE page_id % 23 WHEN 3 THEN 'broken' WHEN 5 THEN 'blocked' WHEN 7 THEN 'broken' ELSE CASE WHEN page_id % 11 = 4 THEN 'redirect' ELSE 'ok' END END END AS verdict FROM pages""")
 def sitemap_health(spark, d):
-    """Every page's answer: none for every 17th, errors, refusals and redirects for others."""
+    """Every page's answer: none for every 17th, errors, refusals and redirects for others. A URL of several pages is fetched for each."""
     i = F.col("page_id")
     pages = table(spark, d, "pages")
     status = F.when(i % 23 == 3, 404).when(i % 23 == 5, 503).when(i % 23 == 7, 500).otherwise(200)
-    snapshot = pages.where(i % 17 != 0).select("url", status.alias("status"), F.when(i % 11 == 4, 1).otherwise(0).alias("hops"))
-    return sitemap.health(pages.select(F.col("url").alias("loc")), snapshot)
+    snapshot = pages.where(i % 17 != 0).select("url", "page_id", status.alias("status"), F.when(i % 11 == 4, 1).otherwise(0).alias("hops"))
+    return sitemap.health(pages.select(F.col("url").alias("loc"), "page_id"), snapshot, by=("page_id",))
 
 
 @query(f"SELECT url, '<url><loc>' || {_ESC} || '</loc>' || CASE WHEN page_id % 2 = 0 THEN '<lastmod>2026-01-0' || (1 + page_id % 9) || '</lastmod>' ELSE '' END || '</url>' AS xml FROM pages")

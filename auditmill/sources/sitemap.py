@@ -158,11 +158,16 @@ def sample(found: DataFrame, size: int) -> DataFrame:
     return ranked.join(want, ["file", "at"]).select(*found.columns, "j", "g").orderBy("j", "g")
 
 
-def health(sampled: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """sampled (loc) against snapshot (url, status, hops) -> loc, verdict: ok, broken, blocked, redirect."""
-    s = F.col("status")
-    verdict = F.when(s.isNull(), "broken").when(s.isin(401, 403, 429, 503), "blocked").when(s >= 400, "broken").when(F.col("hops") > 0, "redirect").otherwise("ok")
-    return sampled.join(snapshot, sampled["loc"] == snapshot["url"], "left").select("loc", verdict.alias("verdict"))
+def health(sampled: DataFrame, snapshot: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """sampled (loc) against snapshot (url, status, hops) -> loc, verdict: ok, broken, blocked, redirect; a row for each sampled one.
+
+    by: columns of both that tell the fetches of a URL apart, so that an entry gets its own fetch's verdict. Of
+    several answers that are left for an entry the worst counts: broken, then blocked, then redirect.
+    """
+    s, grades = F.col("status"), F.array(*map(F.lit, ("ok", "redirect", "blocked", "broken")))
+    grade = F.when(s.isNull(), 4).when(s.isin(401, 403, 429, 503), 3).when(s >= 400, 4).when(F.col("hops") > 0, 2).otherwise(1)
+    said = snapshot.groupBy(F.col("url").alias("loc"), *by).agg(F.max(grade).alias("grade"))
+    return sampled.join(said, ["loc", *by], "left").select("loc", F.element_at(grades, F.coalesce("grade", F.lit(4))).alias("verdict"))
 
 
 def escape(c):

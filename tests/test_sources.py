@@ -166,3 +166,14 @@ def test_numbers_in_two_levels(spark):
     got = numbered(rows, "n", "k").collect()
     assert [r.n for r in sorted(got, key=lambda r: r.k)] == list(range(500)) and got[0].asDict().keys() == {"k", "other", "n"}
     assert numbered(rows.where("false"), "n", "k").collect() == []
+
+
+def test_health_of_repeated_urls(spark):
+    """Each listed entry gets one verdict: its own fetch's, or the worst of those that can't be told apart."""
+    from auditmill.sources import sitemap
+
+    listed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4)], "loc string, n int")
+    answers = spark.createDataFrame([("a", 1, 200, 0), ("a", 2, 404, 0), ("b", 3, 200, 1)], "url string, n int, status int, hops int")
+    own = sorted((r.loc, r.verdict) for r in sitemap.health(listed, answers, by=("n",)).collect())
+    assert own == [("a", "broken"), ("a", "broken"), ("a", "ok"), ("b", "redirect")]
+    assert sorted((r.loc, r.verdict) for r in sitemap.health(listed, answers).collect()) == [("a", "broken")] * 3 + [("b", "redirect")]
