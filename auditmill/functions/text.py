@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from auditmill.shared import parts
+
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 HANGUL = r"\p{IsHangul}"
 NOSPACE = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
@@ -238,8 +241,10 @@ def keyword_hits(text: str | None, keyword: str | None) -> int:
 
 
 @F.arrow_udf(LongType())
-def count_keyword(text: pa.Array, keyword: pa.Array) -> pa.Array:
-    return pa.array([keyword_hits(t, k) for t, k in zip(text.to_pylist(), keyword.to_pylist())], pa.int64())
+def count_keyword(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for text, keyword in parts(*batch):
+            yield pa.array([keyword_hits(t, k) for t, k in zip(text.to_pylist(), keyword.to_pylist())], pa.int64())
 
 
 def count_ascii_keyword(text: Column, keyword: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from auditmill.shared import parts
+
 # Types that no longer earn rich results, fields that types need, and marks of unfilled templates.
 DEPRECATED = ("HowTo", "SpecialAnnouncement", "ClaimReview", "VehicleListing", "EstimatedSalary", "LearningVideo", "CourseInfo")
 REQUIRED = {
@@ -126,13 +129,17 @@ def lint(raw: str | None) -> list[dict]:
 
 
 @F.arrow_udf(from_arrow_type(pa.list_(_FINDING)))
-def findings(raw: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else validate(r) for r in raw.to_pylist()], pa.list_(_FINDING))
+def findings(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (raw,) in parts(batch):
+            yield pa.array([None if r is None else validate(r) for r in raw.to_pylist()], pa.list_(_FINDING))
 
 
 @F.arrow_udf(from_arrow_type(pa.list_(_FINDING)))
-def lint_findings(raw: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else lint(r) for r in raw.to_pylist()], pa.list_(_FINDING))
+def lint_findings(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for (raw,) in parts(batch):
+            yield pa.array([None if r is None else lint(r) for r in raw.to_pylist()], pa.list_(_FINDING))
 
 
 # what stands in each text that a placeholder pattern finds, in lower case; and letters that patterns take for i and s

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 from string import Template
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from auditmill.shared import parts
+
 
 def clamp(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0)), F.lit(100))
@@ -84,10 +87,12 @@ def render_html(title: str, scores: dict[str, int], findings: list[tuple[str, st
 
 
 @F.arrow_udf(StringType())
-def technical_report(url: pa.Array, score: pa.Array, issues: pa.Array) -> pa.Array:
+def technical_report(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Each page's report from its own row; a page without URL has no title."""
-    rows = zip(url.to_pylist(), score.to_pylist(), issues.to_pylist())
-    return pa.array([render_html(u or "", {"technical": s}, [(i["severity"], i["category"], i["message"], i["details"]) for i in found]) for u, s, found in rows], pa.string())
+    for batch in batches:
+        for part in parts(*batch, most=1 << 14):  # a report is many times its page's URL
+            rows = zip(*[x.to_pylist() for x in part])
+            yield pa.array([render_html(u or "", {"technical": s}, [(i["severity"], i["category"], i["message"], i["details"]) for i in found]) for u, s, found in rows], pa.string())
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -177,3 +177,22 @@ def test_health_of_repeated_urls(spark):
     own = sorted((r.loc, r.verdict) for r in sitemap.health(listed, answers, by=("n",)).collect())
     assert own == [("a", "broken"), ("a", "broken"), ("a", "ok"), ("b", "redirect")]
     assert sorted((r.loc, r.verdict) for r in sitemap.health(listed, answers).collect()) == [("a", "broken")] * 3 + [("b", "redirect")]
+
+
+def test_batches_are_parsed_in_parts(spark):
+    """Slices hold all rows in order and few bytes, a page is parsed once, whatever filters say of its facts."""
+    import pyarrow as pa
+
+    from auditmill.operators import rules
+    from auditmill.shared import parts
+    from auditmill.sources import html
+
+    texts = pa.array(["x" * (k * 37 % 900) for k in range(500)] + [None, "y" * 9000, ""])
+    for batch in (texts, texts.slice(3, 400), texts.slice(0, 0)):
+        got = list(parts(batch, batch, most=4096))
+        assert [x for a, _ in got for x in a.to_pylist()] == batch.to_pylist() and all(a.equals(b) for a, b in got)
+        assert all(sum(len(x or "") for x in a.to_pylist()[1:]) <= 4096 for a, _ in got)
+    pages = spark.createDataFrame([(k, f"<title>t{k}</title><p>the page {k}") for k in range(3000)], "page_id long, html string")
+    rows = rules.content(html.parsed(pages), "the").where("units > 0").select("page_id", "hits", "facts.title")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parse_page(") == 1
+    assert sorted((r.page_id, r.hits, r.title) for r in rows.collect()) == [(k, 1, f"t{k}") for k in range(3000)]
