@@ -122,16 +122,21 @@ def first_units(text: Column, script: Column, n: int) -> Column:
 
 @cache
 def _wide() -> str:
-    """A character class of wide and full-width code points that aren't combining marks, from the Unicode database."""
-    out, lo = [], None
+    """A character class of wide and full-width code points that aren't combining marks, from the Unicode database.
+
+    A class is tried range by range: its whole span stands before the ranges, as most characters lie outside, and
+    the largest ranges come first.
+    """
+    spans, lo = [], None
     for c in range(0x1100, 0x3FFFF):
         wide = unicodedata.east_asian_width(chr(c)) in "WF" and unicodedata.category(chr(c)) != "Mn"
         if wide and lo is None:
             lo = c
         elif not wide and lo is not None:
-            out.append(rf"\x{{{lo:x}}}-\x{{{c - 1:x}}}")
+            spans.append((lo, c - 1))
             lo = None
-    return "[" + "".join(out) + "]"
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in sorted(spans, key=lambda s: s[0] - s[1]))
+    return rf"[\x{{{spans[0][0]:x}}}-\x{{{spans[-1][1]:x}}}&&[{ranges}]]"
 
 
 def display_width(text: Column) -> Column:

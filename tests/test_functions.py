@@ -87,3 +87,17 @@ def test_page_facts():
     assert [i["alt"] for i in f["images"]] == ["", None] and f["has_author"] and f["has_date"]
     assert "vector" not in f["body_text"] and "vector" in f["visible_text"] and f["body_text"].startswith("A & B")
     assert html.page_facts(None)["title"] == ""
+
+
+def test_wide_characters_are_tried_within_their_span(spark):
+    """The class holds exactly the wide characters, and tests the whole span before its many ranges."""
+    import unicodedata
+
+    from auditmill.functions import text as T
+
+    assert T._wide().startswith("[\\x{1100}-") and "&&[" in T._wide()
+    points = [c for c in range(0x20, 0x3FFFF, 7) if not 0xD800 <= c <= 0xDFFF]
+    blocks = ["".join(map(chr, points[i : i + 500])) for i in range(0, len(points), 500)]
+    want = [sum(unicodedata.east_asian_width(c) in "WF" and unicodedata.category(c) != "Mn" for c in b if c < "\U0003fffe" and c >= "ᄀ") for b in blocks]
+    rows = spark.createDataFrame(list(enumerate(blocks)), "i int, s string").select("i", T._count(F.col("s"), T._wide()).alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == want
