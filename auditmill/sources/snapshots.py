@@ -72,8 +72,10 @@ def save(snapshots: DataFrame, path: str) -> None:
         F.concat(F.col("url_key"), F.lit("-"), F.unix_timestamp("timestamp").cast("string"), F.lit(".json")).alias("name"),
         F.struct(F.col("timestamp").alias("_at"), F.col("content_sha256").alias("_hash"), F.struct(*[_out(f) for f in FIELDS]).alias("s")).alias("r"),
     )
-    rows = rows.groupBy("name").agg(F.max_by("r.s", F.struct("r._at", "r._hash")).alias("s"))
     spark = snapshots.sparkSession
+    # a file takes its time however few bytes it has: a stated number of tasks isn't merged for being small
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    rows = rows.groupBy("name").agg(F.max_by("r.s", F.struct("r._at", "r._hash")).alias("s"))
     spark.dataSource.register(NamedFiles)
     rows.select("name", F.to_json("s", {"ignoreNullFields": "false"}).alias("body")).write.format(NamedFiles.name()).mode("append").save(path)
 

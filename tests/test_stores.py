@@ -56,6 +56,19 @@ def _snapshot(spark, rows):
     return made.withColumns({"timestamp": F.to_timestamp("at"), **more})
 
 
+def test_files_are_written_by_many_tasks(spark, tmp_path):
+    """Small rows aren't merged into one task that writes all files."""
+    rows = _snapshot(spark, [(f"{n:016x}", "2026-01-01 00:00:00", "h", "t") for n in range(60)]).coalesce(1)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("files", "files written")
+    try:
+        snapshots.save(rows, str(tmp_path / "s"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert max(tasks) >= 4 and len(list((tmp_path / "s").glob("*.json"))) == 60
+
+
 def test_snapshots_saved_as_files(spark, tmp_path):
     """Names follow from rows; one second of a page holds one file; nothing is left of drafts."""
     k = "00000000000000aa"
