@@ -7,10 +7,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditmill.operators.crawl import _cut
+from auditmill.shared import forget, written
 
 #: Results of a keyword that are compared, and how many of them two keywords of a cluster share at least.
 RESULTS, SHARED = 10, 4
+#: Fixed value: keywords that are compared pair by pair if they have a result in common.
+FEW = 32
 # Weights of a page's template in its site's score; pages of a template that are looked at twice, and too many; score of thin content.
 WEIGHTS = {"home": 3, "hub": 2, "detail": 1}
 MANY, TOO_MANY, THIN = 30, 50, 60
@@ -19,42 +21,81 @@ MANY, TOO_MANY, THIN = 30, 50, 60
 def shared_results(results: DataFrame, shared: int = SHARED) -> DataFrame:
     """Links (x, y) that connect all keywords of results (keyword, rank, url) which share at least `shared` of their first RESULTS.
 
-    Two keywords share so many exactly if they have a choice of `shared` URLs in common, and all that have one such
-    choice are linked to the smallest of them. A keyword has at most 210 choices of four out of ten, so work grows with keywords
-    alone, however many have a result in common. URLs that one keyword alone has are left out first. Spark takes a
+    A keyword's URLs are put in order, those of fewest keywords first. The first URL that two keywords share stands
+    among the first seven of ten in both, if they share four. If at most FEW keywords have it, it's a bucket in which all pairs are
+    compared. Else all that they share are URLs of more than FEW, and they have a choice of four of these in common; all that have one
+    such choice are linked to the smallest of them. So a keyword has seven rows at most in buckets and 210 in choices, work grows with
+    keywords alone, however many have a result in common, and only URLs of many keywords are ever chosen from.
+    URLs that one keyword alone has are left out first. URLs are compared by 64 bits. Spark takes a
     table's size from its files, before results and choices multiply its rows: without the hints it would send
     the larger ones through the driver.
     """
-    top = results.where(F.col("rank") <= RESULTS).select("keyword", "url").distinct()
-    known = top.join(top.groupBy("url").agg(F.count("*").alias("n")).where("n > 1").select("url").hint("merge"), "url", "left_semi")
-    sets = known.groupBy("keyword").agg(F.sort_array(F.collect_set("url")).alias("urls")).where(F.size("urls") >= shared)
+    top = results.where((F.col("rank") <= RESULTS) & F.col("keyword").isNotNull() & F.col("url").isNotNull()).select("keyword", F.xxhash64("url").alias("h")).distinct()
+    known = top.join(top.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), "h")
+    ranked = F.sort_array(F.collect_list(F.struct(F.least("n", F.lit(FEW + 1)).alias("n"), "h")))
+    sets = known.groupBy("keyword").agg(ranked.alias("urls")).where(F.size("urls") >= shared)
+    urls = F.col("urls")
+
+    rest = F.transform(urls, lambda u, i: F.struct(u["n"].alias("n"), u["h"].alias("h"), F.slice(urls["h"], i + 2, RESULTS).alias("rest")))
+    open_ = F.filter(rest, lambda u: (u["n"] <= FEW) & (F.size(u["rest"]) >= shared - 1))
+    buckets = sets.select("keyword", F.explode(open_).alias("u")).groupBy("u.h").agg(F.sort_array(F.collect_list(F.struct("keyword", "u.rest"))).alias("m")).where(F.size("m") > 1)
+    alike = lambda a, b: F.size(F.array_intersect(a["rest"], b["rest"])) >= shared - 1
+    later = lambda a, i: F.filter(F.slice("m", i + 2, FEW), lambda b: alike(a, b))
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(later(a, i), lambda b: F.struct(a["keyword"].alias("x"), b["keyword"].alias("y")))))
+    near = buckets.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
+
+    many = sets.select("keyword", F.filter(urls, lambda u: u["n"] > FEW)["h"].alias("urls")).where(F.size("urls") >= shared)
     picks = ", ".join(f"array({', '.join(map(str, c))})" for c in combinations(range(RESULTS), shared))
-    picked = sets.select("keyword", "urls", F.explode(F.expr(f"array({picks})")).alias("p")).where(F.col("p")[shared - 1] < F.size("urls"))
+    picked = many.select("keyword", "urls", F.explode(F.expr(f"array({picks})")).alias("p")).where(F.col("p")[shared - 1] < F.size("urls"))
     # two hashes name a choice: 128 bits
     chosen = picked.select("keyword", *[F.xxhash64(F.lit(seed), *[F.get("urls", F.col("p")[i]) for i in range(shared)]).alias(f"h{seed}") for seed in (1, 2)])
     first = chosen.groupBy("h1", "h2").agg(F.min("keyword").alias("x"), F.max("keyword").alias("last")).where("x < last").select("h1", "h2", "x")
-    stars = chosen.join(first.hint("merge"), ["h1", "h2"]).where("keyword <> x").select("x", F.col("keyword").alias("y")).distinct()
-    return stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    stars = chosen.join(first.hint("merge"), ["h1", "h2"]).where("keyword <> x").select("x", F.col("keyword").alias("y"))
+    links = near.unionByName(stars).distinct()
+    return links.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("l")).select("l.*")
 
 
 def keyword_clusters(results: DataFrame, shared: int = SHARED) -> DataFrame:
-    """results (keyword, rank, url) -> keyword, cluster: the smallest keyword that shared results lead to.
+    """results (keyword, rank, url) -> keyword, cluster: the smallest keyword that shared results lead to."""
+    top = results.where(F.col("rank") <= RESULTS)
+    label = _smallest(shared_results(results, shared).where("x < y"))
+    return top.select("keyword").distinct().join(label.hint("merge"), "keyword", "left").select("keyword", F.coalesce("cluster", "keyword").alias("cluster"))
+
 
-    Labels are passed on along `shared_results` until none changes, every round being a join and an aggregate whose
-    lineage is cut.
+def _smallest(links: DataFrame) -> DataFrame:
+    """links (x, y), each once -> keyword, cluster: the smallest keyword that links lead to, for every keyword of a link.
+
+    In each round a keyword goes to its neighbour of smallest hash, if that is smaller than its own, and from there once more; links are
+    then those of the keywords that were gone to. Hashes are new in every round, so that few remain, and all rounds together
+    write a few times what the first one does, however long a chain is. The smallest keyword is taken along, and handed down in the end.
     """
-    links = _cut(shared_results(results, shared)).hint("merge")
-    top = results.where(F.col("rank") <= RESULTS)
-    now = _cut(top.select("keyword").distinct().withColumn("cluster", F.col("keyword")))
-    while True:
-        near = links.join(now.hint("merge"), links.y == now.keyword).groupBy("x").agg(F.min("cluster").alias("near"))
-        new = now.join(near.hint("merge"), now.keyword == near.x, "left").select("keyword", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"))
-        # a label's own label is nearer to the end of a long chain
-        ahead = new.select(F.col("keyword").alias("of"), F.col("cluster").alias("ahead"))
-        new = _cut(new.join(ahead.hint("merge"), new.cluster == ahead.of, "left").select("keyword", "was", F.least("cluster", F.coalesce("ahead", "cluster")).alias("cluster")))
-        now = new.select("keyword", "cluster")
-        if new.where("was <> cluster").isEmpty():
-            return now
+    links, steps, smallest = written(links, "links"), [], None
+    while not links.isEmpty():
+        rank = lambda c: F.xxhash64(F.lit(len(steps)), c)
+        both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        best = both.groupBy("x").agg(F.min(F.struct(rank("y").alias("r"), "y")).alias("to"))
+        to = F.struct(F.col("to.r").alias("r"), F.col("to.y").alias("y"))
+        goes = written(best.select("x", F.least(to, F.struct(rank("x").alias("r"), F.col("x").alias("y")))["y"].alias("to")), "goes")
+        twice = goes.join(goes.select(F.col("x").alias("to"), F.col("to").alias("end")).hint("merge"), "to").select("x", "end")
+        twice = twice.withColumn("least", F.col("x")) if smallest is None else twice.join(smallest.withColumnRenamed("end", "x").hint("merge"), "x")
+        step = written(twice.select("x", "end", "least"), "step")
+        forget(goes)
+        steps.append(step)
+        smallest = step.groupBy("end").agg(F.min("least").alias("least"))
+        left = step.select("x", F.col("end").alias("u")).hint("merge")
+        right = step.select(F.col("x").alias("y"), F.col("end").alias("v")).hint("merge")
+        ends = links.join(left, "x").join(right, "y").where("u <> v").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
+        was, links = links, written(ends, "links")
+        forget(was)
+    label = links.select(F.col("x").alias("end"), F.col("y").alias("cluster"))  # none is left
+    for step in reversed(steps):
+        ends = step.groupBy("end").agg(F.min("least").alias("least")).join(label.hint("merge"), "end", "left").select("end", F.coalesce("cluster", "least").alias("cluster"))
+        was, label = label, written(step.join(ends.hint("merge"), "end").select(F.col("x").alias("end"), "cluster"), "clusters")
+        forget(was)
+        forget(step)
+    if steps:
+        forget(links)
+    return label.withColumnRenamed("end", "keyword")
 
 
 def weighted_score(pages: DataFrame) -> DataFrame:

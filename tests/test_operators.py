@@ -158,3 +158,42 @@ def test_choices_stay_off_the_driver(spark):
     links = strategy.shared_results(rows)
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
     assert {(r.x, r.y) for r in links.collect()} >= {(0, 1), (1, 0), (0, 5), (6, 7)}
+
+
+def test_results_of_few_keywords_are_not_chosen_from(spark):
+    """Groups of six keywords with the same results in a chain: a stage shuffles a few rows a keyword, not its 210 choices of four."""
+    from auditmill.operators import strategy
+
+    n = 1200
+    rows = spark.range(n).selectExpr("id as keyword", "explode(sequence(1, 10)) as rank").selectExpr("keyword", "rank", "concat('u', keyword div 6 * 5 + rank) as url")
+    spark.sparkContext.setJobGroup("clusters", "clusters of a chain")
+    try:
+        got = strategy.keyword_clusters(rows).groupBy("cluster").count().collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in got] == [(0, n)]
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("clusters") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    most = max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 10 * n <= most <= 100 * n
+
+
+def test_clusters_of_results_of_few_and_many(spark):
+    """Results of one, few and more than FEW keywords mixed, some null and some listed twice: clusters are those of all pairs."""
+    import random
+    from itertools import combinations
+
+    from auditmill.operators import strategy
+
+    rng = random.Random(7)
+    lists = {f"k{k:03}": rng.sample([f"hot{i}" for i in range(8)], rng.randrange(0, 5)) + rng.sample([f"u{i}" for i in range(60)], rng.randrange(0, 4)) + [f"v{k // 3 * 3 + i}" for i in range(rng.randrange(0, 5))] for k in range(150)}
+    rows = [(k, r + 1, u) for k, us in lists.items() for r, u in enumerate(us[:10])] + [("k000", 9, None), ("k001", 10, "hot1"), ("k002", 10, "hot1"), ("alone", 1, None)]
+    label = {k: k for k, _, _ in rows}
+    sets = {k: {u for q, _, u in rows if q == k and u} for k in label}
+    pairs = [(x, y) for x, y in combinations(sets, 2) if len(sets[x] & sets[y]) >= 4]
+    for _ in label:
+        for x, y in pairs:
+            label[x] = label[y] = min(label[x], label[y])
+    got = strategy.keyword_clusters(spark.createDataFrame(rows, "keyword string, rank int, url string")).collect()
+    assert {r.keyword: r.cluster for r in got} == label and 5 < len(set(label.values())) < 145
+    assert not strategy.keyword_clusters(spark.createDataFrame([("a", 1, "x")], "keyword string, rank int, url string")).where("keyword <> cluster").count()
