@@ -94,6 +94,24 @@ def test_history_goes_back_to_old_keys(spark, tmp_path):
     assert sorted((r.page, r.title) for r in snapshots.history(snapshots.read(spark, str(tmp_path)), pages).collect()) == [(a, "a2"), (b, "b1")]
 
 
+def test_history_opens_files_once(spark, tmp_path):
+    """What is made of a history reads a table written from the files, not the files again; a page's own key wins over several old files."""
+    a, b = "https://h.example/A/", "https://h.example/B/"
+    rows = [(_key(spark, a), f"2026-01-0{n} 00:00:00", "1", f"a{n}") for n in (1, 2)] + [(_key(spark, x, True), f"2026-01-0{n} 00:00:00", "1", f"old{n}") for x in (a, b) for n in (3, 4)]
+    snapshots.save(_snapshot(spark, rows), str(tmp_path))
+    got = snapshots.history(snapshots.read(spark, str(tmp_path)), spark.createDataFrame([(a,), (b,)], "url string"))
+    assert not [f for f in got.inputFiles() if f.endswith(".json")]
+    assert sorted((r.page, r.title) for r in got.collect()) == [(a, "a1"), (a, "a2"), (b, "old3"), (b, "old4")]
+    assert got.columns[:2] == ["url_key", "page"]
+
+
+def test_files_keep_their_bytes(spark, tmp_path):
+    """Texts beyond ASCII come back as they were."""
+    k = "00000000000000ab"
+    snapshots.save(_snapshot(spark, [(k, "2026-01-01 00:00:00", "h", "né\u2028日本 \U0001f600")]), str(tmp_path))
+    assert [r.title for r in snapshots.read(spark, str(tmp_path)).collect()] == ["né\u2028日本 \U0001f600"]
+
+
 def test_changes_against_files(spark, tmp_path):
     page = lambda title: spark.createDataFrame([("https://h.example/A", f"<html><head><title>{title}</title></head><body><p>x</p></body></html>", 200, 5)], "url string, html string, status int, ttfb_ms long")
     snapshots.save(drift.capture(api.html.parsed(page("one")), "2026-01-01"), str(tmp_path))
