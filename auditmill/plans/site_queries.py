@@ -168,7 +168,7 @@ _CRAWL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), page AS (SELE
 
 
 def _crawled(spark, d, **limits):
-    """A site in which some pages fail, some land on another host, and some are held back by robots."""
+    """A site in which some pages fail, some land on another host, and some are held back by robots; without limits, all of it."""
     i = F.col("page_id")
     pages = table(spark, d, "pages").select("page_id")
     n = pages.count()
@@ -177,18 +177,18 @@ def _crawled(spark, d, **limits):
     snapshot = pages.select(i.cast("string").alias("key"), F.lit("s.example").alias("host"), status.alias("status"), F.when(away, F.concat(F.lit("o"), i.cast("string"))).otherwise(i.cast("string")).alias("final_key"), F.when(away, "o.example").otherwise("s.example").alias("final_host"), (i % 19 == 18).alias("noindex"))
     links = pages.select(i.cast("string").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: ((i * 3 + k) % n).cast("string"))).alias("dst"))
     blocked = pages.where("page_id % 8 = 7").select(i.cast("string").alias("key"))
-    return crawl.site_crawl("0", snapshot, links, blocked, **limits)
+    return crawl.site_crawl("0", snapshot, links, blocked, **{"max_pages": n} | limits)
 
 
 @query(f"{_CRAWL} SELECT CAST(id AS VARCHAR) AS key, CAST(depth AS INTEGER) AS depth, status FROM met JOIN page USING (id)")
 def crawl_site(spark, d):
-    return _crawled(spark, d, max_pages=100_000).visits.select("key", "depth", "status")
+    return _crawled(spark, d).visits.select("key", "depth", "status")
 
 
 @query(f"{_CRAWL} SELECT key FROM (SELECT DISTINCT CAST(dst AS VARCHAR) AS key, m.depth FROM met m JOIN edge ON src = m.id JOIN page p ON p.id = dst WHERE p.shut) GROUP BY key ORDER BY min(depth), key LIMIT 200")
 def crawl_blocked_links(spark, d):
     """The links that robots held back, level by level, 200 at most."""
-    return _crawled(spark, d, max_pages=100_000).blocked
+    return _crawled(spark, d).blocked
 
 
 @query(f"{_CRAWL} SELECT key, depth FROM (SELECT CAST(id AS VARCHAR) AS key, CAST(depth AS INTEGER) AS depth FROM met) ORDER BY depth, key LIMIT 30")
@@ -201,7 +201,7 @@ def crawl_budget(spark, d):
 def crawl_sitemap_pages(spark, d):
     """Visited pages that a sitemap would list, and those it wouldn't."""
     host = F.when(F.col("final_key").startswith("o"), "O.example").otherwise("S.example")
-    rows = _crawled(spark, d, max_pages=100_000).visits.withColumn("final_host", host)
+    rows = _crawled(spark, d).visits.withColumn("final_host", host)
     return crawl.sitemap_pages(rows, "final_host", "s.example").groupBy("outcome").agg(F.count("*").alias("pages"))
 
 

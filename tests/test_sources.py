@@ -95,6 +95,20 @@ def test_site_crawl(spark):
     assert run(spark, pages, "x", robots_status=404)[0].keys() == set("abcdfx")
 
 
+def test_whole_sites_are_crawled(spark, tmp_path, monkeypatch):
+    """A site's budget is its number of pages, however many there are, unless a query states one."""
+    from auditmill.operators import crawl
+    from auditmill.plans import site_queries
+
+    spark.range(120_000).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    asked = []
+    real = crawl.Crawl(spark.createDataFrame([], "key string, depth int, status int, final_key string, noindex boolean"), None, False)
+    monkeypatch.setattr(crawl, "site_crawl", lambda *a, max_pages, **k: asked.append(max_pages) or real)
+    for name in ("crawl_site", "crawl_blocked_links", "crawl_sitemap_pages", "crawl_budget"):
+        getattr(site_queries, name)(spark, str(tmp_path))
+    assert asked == [120_000] * 3 + [30]
+
+
 def test_keyword_chains(spark):
     """Keywords 0 to 11, each sharing five results with the next, are one cluster; 20 stands alone."""
     rows = [(k, r + 1, f"u{k * 5 + r}") for k in range(12) for r in range(10)] + [(20, r + 1, f"v{r}") for r in range(10)]
